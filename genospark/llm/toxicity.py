@@ -1,10 +1,11 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Fit.  Document frequencies of words in toxic and clean labelled documents give log-odds under a
-Dirichlet prior (a flat part plus a part that follows the pooled frequencies).  Words whose
-log-odds stand `z_min` standard deviations above zero form the lexicon; a lexicon word scores its
-log-odds less `shrink` standard deviations, any other word scores the log-odds of "not in the
-lexicon", which is slightly negative.
+Fit.  Document frequencies of terms (words, and stems of 4 and 5 letters) in toxic and clean labelled
+documents give log-odds under a Dirichlet prior (a flat part plus a part that follows the pooled
+frequencies).  Terms whose log-odds stand `z_min` standard deviations above zero form the lexicon; a word
+scores the log-odds of its best term less `shrink` standard deviations (terms under `least` are left out), a
+word without a term scores the
+log-odds of "not in the lexicon", which is slightly negative.
 
 Scan.  The linear-time all-maximal-segments algorithm of Ruzzo and Tompa, run over the lexicon
 hits with the gaps between them summed up, finds every maximal segment.
@@ -13,6 +14,7 @@ Calibration.  A segment of score S in a text of n words has the expected number
 occurrences E = K n exp(-lambda S) (Karlin and Altschul); lambda solves sum p exp(lambda s) = 1 over the
 clean background and K is fitted on clean labelled texts.  A document's evidence is the sum of
 -ln E over its segments with E < e_max; a logistic curve fitted on the labelled sample maps it to 0..1.
+lambda, K and the curve are fitted crosswise: each half of the sample is scored by the lexicon of the other.
 
 Edge cases.  Null and empty texts have no evidence and get the lowest score.  Labels that are null
 are left out; a doc_id labelled twice counts as toxic if any label says so.  Without labelled toxic
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,14 +34,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, slices
+from .common import crc_bucket, slices, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+class Lexicon(dict):
+    """Best score of a word's terms, or None; words looked up once are remembered, up to `most` of them."""
+
+    def __init__(self, terms: dict[str, float], most: int = 300_000):
+        super().__init__()
+        self.terms, self.most = terms, most
+
+    def __missing__(self, word: str) -> float | None:
+        if len(self) >= self.most:
+            self.clear()
+        found = [s for t in terms_of(word) if (s := self.terms.get(t)) is not None]
+        self[word] = best = max(found, default=None)
+        return best
+
+    def __reduce__(self):
+        return Lexicon, (self.terms, self.most)
+
+
+def terms_of(word: str) -> tuple[str, ...]:
+    """The word itself and its stems of 4 and 5 letters, if it is longer."""
+    return (word, word[:5] + "*", word[:4] + "*") if len(word) > 5 else (word, word[:4] + "*") if len(word) == 5 else (word,)
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    lexicon: dict[str, float] = field(default_factory=dict)
+    lexicon: Lexicon = field(default_factory=lambda: Lexicon({}))
     other: float = -0.01
     lam: float = 1.0
     k: float = 0.1
@@ -76,8 +101,7 @@ def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int
 def evidence(text: str | None, m: ToxicityModel) -> tuple[float, int, float]:
     """Summed -ln E over significant segments, their number, the best segment's score."""
     tokens = LETTERS.findall(text.lower()) if text else []
-    get = m.lexicon.get
-    hits = [(i, s) for i, s in enumerate(map(get, tokens)) if s is not None]
+    hits = [(i, s) for i, s in enumerate(map(m.lexicon.__getitem__, tokens)) if s is not None]
     if not hits:
         return 0.0, 0, 0.0
     found = segments(hits, m.other)
@@ -96,89 +120,97 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Da
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    # equal texts fall into the same half
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+
 
+NAMES = ["tox0", "clean0", "tox1", "clean1"]
 
-def word_counts(sample: DataFrame, flush: int = 200_000) -> DataFrame:
-    """word, toxic documents with it, clean documents with it; the empty word counts documents."""
+
+def term_counts(sample: DataFrame, flush: int = 200_000) -> DataFrame:
+    """term and, for either half, the toxic and clean documents with it; the empty term counts documents."""
 
     def count(batches):
-        tox, clean = Counter(), Counter()
+        counts = defaultdict(Counter)
         for b in slices(batches):
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                into = tox if y == 1 else clean
-                into.update(set(LETTERS.findall(text.lower())) if text else ())
+            for text, y, half in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
+                into = counts[2 * half + (y != 1)]
+                into.update({t for w in set(LETTERS.findall(text.lower())) for t in terms_of(w)} if text else ())
                 into[""] += 1
-            if len(tox) + len(clean) > flush:
-                yield _rows(tox, clean)
-                tox, clean = Counter(), Counter()
-        yield _rows(tox, clean)
+            if sum(map(len, counts.values())) > flush:
+                yield rows(counts)
+                counts.clear()
+        yield rows(counts)
 
-    def _rows(tox, clean):
-        keys = list(tox.keys() | clean.keys())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([tox[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["word", "toxic", "clean"])
+    def rows(counts):
+        keys = list(set().union(*counts.values()))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[i][k] for k in keys], pa.int64()) for i in range(4))], ["term", *NAMES])
 
-    parts = sample.mapInArrow(count, "word string, toxic long, clean long")
-    return parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    parts = sample.mapInArrow(count, "term string, " + ", ".join(f"{n} long" for n in NAMES))
+    return parts.groupBy("term").agg(*(F.sum(n).alias(n) for n in NAMES))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, max_terms: int = 20_000, flat: float = 0.5, pooled: float = 1.0, z_min: float = 2.5, shrink: float = 1.5, e_max: float = 1.0) -> ToxicityModel:
-    """Learn from a bounded labelled sample (max_labelled rows); the lexicon keeps the max_terms most significant words."""
-    sample = labelled_sample(docs, labels, max_labelled)
-    counts = word_counts(sample)
-    seen = {r["word"]: r for r in counts.where("word = ''").collect()}
-    n_tox, n_clean = (seen[""]["toxic"], seen[""]["clean"]) if seen else (0, 0)
-    if not n_tox or not n_clean:
-        return ToxicityModel(bias=math.log((n_tox + 0.5) / (n_clean + 0.5)))
-    t, c = F.col("toxic"), F.col("clean")
+def _terms(counts: DataFrame, t, c, n_tox: int, n_clean: int, max_terms: int, flat: float, pooled: float, z_min: float, shrink: float, least: float) -> dict[str, float]:
+    """The lexicon's terms from counts t and c: at most max_terms, the most significant ones."""
     prior = F.lit(flat) + F.lit(pooled) * (t + c) / F.lit(float(n_tox + n_clean))
     odds = lambda x, n: F.log((x + prior) / (F.lit(n + 2 * flat + pooled) - x))
     scored = (
-        counts.where("word <> '' and toxic > 0").withColumn("odds", odds(t, n_tox) - odds(c, n_clean))
+        counts.where((F.col("term") != "") & (t > 0)).withColumn("odds", odds(t, n_tox) - odds(c, n_clean))
         .withColumn("sd", F.sqrt(1 / (t + prior) + 1 / (c + prior)))
-        .where(F.col("odds") >= z_min * F.col("sd"))
+        .where((F.col("odds") >= z_min * F.col("sd")) & (F.col("odds") >= least + shrink * F.col("sd")))
     )
-    top = scored.orderBy(F.desc(F.col("odds") / F.col("sd")), "word").limit(max_terms).collect()
-    lexicon = {r["word"]: r["odds"] - shrink * r["sd"] for r in top if r["odds"] > shrink * r["sd"]}
-    if not lexicon:
-        return ToxicityModel(bias=math.log((n_tox + 0.5) / (n_clean + 0.5)))
+    top = scored.orderBy(F.desc(F.col("odds") / F.col("sd")), "term").limit(max_terms).collect()
+    return {r["term"]: r["odds"] - shrink * r["sd"] for r in top}
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, max_terms: int = 20_000, flat: float = 0.5, pooled: float = 1.0, z_min: float = 2.5, shrink: float = 1.5, least: float = 1.8, e_max: float = 1.0) -> ToxicityModel:
+    """Learn from a bounded labelled sample (max_labelled rows); the lexicon keeps the max_terms most significant terms."""
+    sample = labelled_sample(docs, labels, max_labelled)
+    counts = stored(term_counts(sample), "toxic-terms")
+    whole = (counts.where("term = ''").collect() or [dict.fromkeys(NAMES, 0)])[0]
+    n_tox, n_clean = whole["tox0"] + whole["tox1"], whole["clean0"] + whole["clean1"]
+    prior = ToxicityModel(bias=math.log((n_tox + 0.5) / (n_clean + 0.5)))
+    if not n_tox or not n_clean:
+        return prior
+    how = (max_terms, flat, pooled, z_min, shrink, least)
+    terms = _terms(counts, F.col("tox0") + F.col("tox1"), F.col("clean0") + F.col("clean1"), n_tox, n_clean, *how)
+    if not terms:
+        return prior
+    halves = [Lexicon(_terms(counts, F.col(f"tox{h}"), F.col(f"clean{h}"), whole[f"tox{h}"], whole[f"clean{h}"], *how)) for h in (0, 1)]
 
     def stats(batches):
         for b in slices(batches):
-            xs, ys, ns, hs = [], [], [], []
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            out = []
+            for text, y, half in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
                 tokens = LETTERS.findall(text.lower()) if text else []
-                hits = [(i, s) for i, s in enumerate(map(lexicon.get, tokens)) if s is not None]
-                xs.append([s for _, _, s in segments(hits, -0.01)])
-                ys.append(int(y == 1)), ns.append(len(tokens)), hs.append([s for _, s in hits])
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(hs, pa.list_(pa.float64()))], ["segs", "y", "n", "hits"])
-
-    # at most max_labelled short rows
-    rows = sample.mapInArrow(stats, "segs array<double>, y int, n long, hits array<double>").collect()
-    clean_words = sum(r["n"] for r in rows if r["y"] == 0) or 1
-    tox_words = sum(r["n"] for r in rows if r["y"] == 1) or 1
-    clean_hits = [s for r in rows if r["y"] == 0 for s in r["hits"]]
-    tox_hits = sum(len(r["hits"]) for r in rows if r["y"] == 1)
-    rate = (tox_hits + 0.5) / (tox_words + 1), (len(clean_hits) + 0.5) / (clean_words + 1)
-    other = min(-1e-4, math.log((1 - rate[0]) / (1 - rate[1])))
-    p_hit = rate[1]
-    scores = np.array(clean_hits or list(lexicon.values()))
-    lam = _lambda(scores, p_hit, other)
-    x0 = float(np.quantile(np.array(list(lexicon.values())), 0.25))
-    over = sum(1 for r in rows if r["y"] == 0 and r["segs"] and max(r["segs"]) >= x0)
-    k = min(10.0, max(1e-6, (1 + over) / (clean_words * math.exp(-lam * x0))))
-    model = ToxicityModel(lexicon, other, lam, k, e_max)
-    base = [(math.log(k * max(1, r["n"])), r) for r in rows]
-    x = np.array([sum(v for s in r["segs"] if (v := lam * s - b) > -math.log(e_max)) for b, r in base])
-    bias, slope = _logistic(np.log1p(x), np.array([r["y"] for r in rows], dtype=float))
-    return ToxicityModel(model.lexicon, other, lam, k, e_max, bias, slope)
+                hits = [(i, s) for i, s in enumerate(map(halves[1 - half].__getitem__, tokens)) if s is not None]
+                out.append(([i for i, _ in hits], [s for _, s in hits], int(y == 1), len(tokens)))
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["at", "s", "y", "n"])
+
+    # at most max_labelled rows with the hits of their texts
+    rows = [(list(zip(r["at"], r["s"], strict=True)), r["y"], r["n"]) for r in sample.mapInArrow(stats, "at array<int>, s array<double>, y int, n long").collect()]
+    clean_words, tox_words = (sum(n for _, y, n in rows if y == v) for v in (0, 1))
+    clean_hits = np.array([s for h, y, _ in rows if y == 0 for _, s in h])
+    tox_hits = sum(len(h) for h, y, _ in rows if y == 1)
+    rate_tox, rate_clean = (tox_hits + 0.5) / (tox_words + 1), (len(clean_hits) + 0.5) / (clean_words + 1)
+    scores = clean_hits if len(clean_hits) else np.array(list(terms.values()))
+    # at least twice what clean hits bring, so that clean text drifts downwards
+    other = min(-1e-3, math.log((1 - min(rate_tox, 0.5)) / (1 - min(rate_clean, 0.49))), -2 * rate_clean * float(scores.mean()) / (1 - min(rate_clean, 0.5)))
+    lam = _lambda(scores, rate_clean, other)
+    found = [[s for _, _, s in segments(h, other)] for h, _, _ in rows]
+    # K from the share of clean texts whose best segment passes a high level
+    best = np.array([max(f, default=0.0) for f, (_, y, _) in zip(found, rows, strict=True) if y == 0])
+    level = max(float(np.quantile(best, 0.95)), 1.0)
+    k = min(10.0, max(1e-6, (1 + float((best >= level).sum())) / (max(1, clean_words) * math.exp(-lam * level))))
+    x = np.array([sum(v for s in f if (v := lam * s - math.log(k * max(1, n))) > -math.log(e_max)) for f, (_, _, n) in zip(found, rows, strict=True)])
+    bias, slope = _logistic(np.log1p(x), np.array([y for _, y, _ in rows], dtype=float))
+    return ToxicityModel(Lexicon(terms), other, lam, k, e_max, bias, slope)
 
 
 def _lambda(scores: np.ndarray, p_hit: float, other: float) -> float:
     """The positive root of (1-p) exp(l other) + p mean(exp(l s)) = 1, by bisection."""
     f = lambda v: (1 - p_hit) * math.exp(v * other) + p_hit * float(np.mean(np.exp(np.minimum(v * scores, 600)))) - 1
-    if (1 - p_hit) * other + p_hit * float(scores.mean()) >= 0:
-        return 0.1
     lo, hi = 1e-6, 1.0
     while f(hi) < 0 and hi < 64:
         hi *= 2
@@ -188,16 +220,15 @@ def _lambda(scores: np.ndarray, p_hit: float, other: float) -> float:
     return min(max(hi, 0.05), 5.0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[float, float]:
     """Newton's method for a one-variable logistic curve with a small ridge on the slope."""
     a = np.column_stack([np.ones_like(x), x])
     w = np.zeros(2)
     pen = np.diag([1e-6, ridge])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (y - p) - pen @ w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pen, g)
-        w += np.clip(step, -5, 5)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pen, a.T @ (y - p) - pen @ w)
+        w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
     return float(w[0]), float(max(w[1], 0.0))
@@ -237,7 +268,7 @@ def passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 low = (text or "").lower()
                 spans = [m.span() for m in LETTERS.finditer(low)]
-                hits = [(i, s) for i, (x, y) in enumerate(spans) if (s := model.lexicon.get(low[x:y])) is not None]
+                hits = [(i, s) for i, (x, y) in enumerate(spans) if (s := model.lexicon[low[x:y]]) is not None]
                 for x, y, s in segments(hits, model.other) if hits else ():
                     e = model.k * len(spans) * math.exp(-model.lam * s)
                     if e < model.e_max:
