@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, substring, token_counts, toxicity
-from .common import table
+from . import ann, bagminhash, decontaminate, katz, mixing, secrets, sharding, substring, token_counts, toxicity
+from .common import crc_bucket, table
 
 #: Rank file of a public byte-level BPE.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,15 +30,50 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(table(spark, sf_dir, "documents"), RANKS, by=["source"])
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+#: Shares of the tokens that the mixture is to have, by the labelled table's classes.
+TARGETS = {"high": 0.80, "low": 0.12, "toxic": 0.08}
+
+
+def label_domain():
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_domain(), TARGETS)
+    p = [F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    return rows.select("doc_id", "n_tokens", *p, F.round("rate", 9).alias("rate"), mixing.copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.grow(secrets.labelled_findings(spark))
+    return secrets.findings(table(spark, sf_dir, "documents"), forest)
+
+
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 7) == 2
+    out = katz.scores(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op6_decontamination, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_nearest_neighbours, op5_mixing, op6_decontamination, op7_near_duplicates, op8_secrets, op9_katz, op10_substring_dedup)}
 
 #: None of these operators can be written in portable SQL over the tables (checksums, alignment, tokenizers, sketches).
 ORACLES: dict[str, str] = {}
