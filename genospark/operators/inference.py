@@ -61,7 +61,7 @@ def gene_trees(seqs: DataFrame, estimator: str = "nj", precision: int = 6) -> Da
     """locus, nsamples, gene_tree.  seqs: locus, name, seq.  Loci without differences get a star tree."""
     build = ESTIMATORS[estimator]
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("name")
         names, texts = list(g["name"]), list(g["seq"])
         if len(set(texts)) == 1:
