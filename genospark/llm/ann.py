@@ -92,7 +92,8 @@ def scan(q: np.ndarray, c: np.ndarray, turn: np.ndarray, top: int, block: int, e
             seed = np.argpartition(part, top - 1)[:top]
             reach = math.sqrt(max(0.0, float(((rq[i] - rc[seed]) ** 2).sum(axis=1).max())))
             for lo, hi in zip(cuts[1:-1], cuts[2:], strict=True):
-                keep = np.sqrt(np.maximum(part, 0) * (d / lo)) <= reach * (1 + eps / math.sqrt(lo)) + 1e-6
+                # squared, with room for the rounding of single-precision sums
+                keep = part * (d / lo) <= (reach * (1 + eps / math.sqrt(lo))) ** 2 + 1e-5
                 alive, part = alive[keep], part[keep]
                 part = part + ((rq[i, lo:hi] - rc[alive, lo:hi]) ** 2).sum(axis=1)
                 if len(alive) > top and hi == d:
