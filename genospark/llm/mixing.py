@@ -72,13 +72,14 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def rate_of(steps: list[np.ndarray]) -> Column:
-    """r after the given steps, from the column p."""
+    """r after the given steps, from the column p.
+
+    Written out step by step: inside a higher-order function the optimizer would compute p again at every step.
+    """
     r = F.lit(1.0)
-    if not steps:
-        return r
-    every = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-    move = lambda g: F.aggregate(F.zip_with("p", g, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(every, r, lambda a, g: F.greatest(F.lit(0.0), a - move(g)))
+    for g in steps:
+        r = F.greatest(F.lit(0.0), r - sum((F.col("p")[i] * float(x) for i, x in enumerate(g)), F.lit(0.0)))
+    return r
 
 
 def fit_rates(rows: DataFrame, targets: np.ndarray, most: int = 25, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray]:
@@ -148,5 +149,8 @@ def resample(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[s
     model, _, steps = solve(docs, labels, domain, weights, **options)
     # the row travels in a struct, so that none of its columns can clash with the model's
     again = posteriors(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text"), model)
-    taken = again.withColumn("__copies", copies_of(rate_of(steps), F.col("doc_id"))).where("__copies > 0")
-    return taken.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__k")).select("__doc.*")
+    copies = copies_of(F.col("__rate"), F.col("doc_id"))
+    taken = again.withColumn("__rate", rate_of(steps)).withColumn("__copies", copies)
+    # an outer explode: a filter on the copies would be pushed below the model and have it computed over and over
+    each = taken.select("__doc", F.explode_outer(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies")))).alias("__k"))
+    return each.where("__k is not null").select("__doc.*")
