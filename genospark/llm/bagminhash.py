@@ -11,9 +11,12 @@ Bands.  `bands` bands of `rows` registers are hashed to buckets.  Documents are
 word sequences.  A bucket's smallest member leads it; in the first round every member is compared with the two
 leaders that it shares most buckets with.  Links join classes to components.  In later rounds a component sends one
 member to each of its buckets, which meets leaders of other components there, and each component compares the three
-pairs that share most buckets; rounds with other members follow until one finds no new link.  So the comparisons of
-a round are at most thrice the members, never all pairs of a bucket.  A comparison computes the exact weighted
-Jaccard similarity of the two texts.
+pairs that share most buckets; rounds with other members follow until one finds no new link.  These rounds join large
+groups of copies with few comparisons.  In the end every pair that shares a bucket, lies in two components and has not
+been compared yet is compared, so that no candidate pair stays untested; texts whose sizes alone keep them below the
+threshold need no comparison.  The pairs of a family of texts that are alike without being near duplicates grow
+with the square of its size; its texts travel in blocks, not with each pair.  A comparison computes the exact
+weighted Jaccard similarity of the two texts.
 
 Edge cases.  A text with fewer words than a shingle is one shingle of all its words.  Texts without
 words are copies of byte-equal texts only; a null text is in a class of its own.  Rows that share doc_id
@@ -150,7 +153,7 @@ def digests(doc_id: int | None, text: str | None, tokens: list[str]) -> tuple[in
 
 
 def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, d1, d2 (digest of the word sequence), keys (bucket of each band; none without words)."""
+    """doc_id, d1, d2 (digest of the word sequence), keys (bucket of each band; none without words), size (shingles)."""
 
     def run(batches):
         hashes = WordHashes()
@@ -163,9 +166,10 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             some = np.array([bool(w) for w in tokens], dtype=bool)
             ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists], ["doc_id", "d1", "d2", "keys"])
+            total = np.bincount(doc, weights=count, minlength=len(tokens)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists, pa.array(total)], ["doc_id", "d1", "d2", "keys", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, keys array<long>, size long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -225,12 +229,12 @@ def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32
     With the defaults a pair at exactly 0.8 shares a bucket with probability 0.99994.
     """
     sig = stored(signed(docs, n, bands, rows), "near-signed")
-    reps = stored(sig.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-reps")
+    reps = stored(sig.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("size").alias("size")), "near-reps")
     keyed = reps.where("rep is not null").select("rep", F.explode("keys").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("key", "lead")
     # only buckets with company go on
     members = stored(keyed.join(crowded, "key"), "near-members")
-    own = stored(reps.join(members.select("rep").distinct(), "rep", "left_semi"), "near-own")
+    own = stored(reps.join(members.groupBy("rep").agg(F.min("lead").alias("home")), "rep"), "near-own")
     texts = stored(_texts(docs, own.select("rep", "d1", "d2")), "near-texts")
     comps = tested = None
     k = 0
@@ -243,6 +247,7 @@ def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32
             comps = joined_components(comps, new)
         elif k > 1:
             break
+    comps = _rest(own, texts, comps, tested, n, threshold)
     final = reps.select("d1", "d2", F.col("rep").alias("class_id"))
     if comps is not None:
         final = relabelled(final, "class_id", comps)
@@ -288,6 +293,64 @@ def _later_pairs(own: DataFrame, comps: DataFrame | None, tested: DataFrame, k:
     return pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).select("a", "b").distinct()
 
 
+def _rest(own: DataFrame, texts: DataFrame, comps: DataFrame | None, tested: DataFrame, n: int, threshold: float, block: int = 128, most: int = 4_000_000) -> DataFrame | None:
+    """The components after every pair of a bucket that still lies in two of them has been compared.
+
+    Buckets are cut into blocks of about `block` members, and any two blocks of a bucket are one piece of work.  The
+    pieces go in as many slices as keep one at about `most` pairs; links of a slice spare later ones their pairs.
+    """
+    def placed() -> DataFrame:
+        at = own.select("rep", F.col("rep").alias("comp"), "size", F.explode("keys").alias("key"))
+        return at if comps is None else relabelled(at, "comp", comps)
+
+    each = placed().groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).where("comps > 1")
+    mixed = stored(mixed.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"), ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs")), "near-mixed")
+    total = mixed.agg(F.sum("pairs")).first()[0] or 0
+    parts = math.ceil(total / most)
+    for part in range(parts):
+        at = placed().join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        mine = F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)) == part
+        left = at.withColumnsRenamed({"rep": "a", "comp": "ca", "size": "na"}).withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).where(mine)
+        right = at.withColumnsRenamed({"rep": "b", "comp": "cb", "size": "nb"}).withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).where(mine)
+        both = left.select("key", "i", "j", "a", "ca", "na").join(right.select("key", "i", "j", "b", "cb", "nb"), ["key", "i", "j"])
+        # the similarity is at most the quotient of the sizes
+        both = both.where("ca <> cb and (i < j or a < b)").where(F.least("na", "nb") >= (threshold - 1e-9) * F.greatest("na", "nb"))
+        pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        new = stored(_verified_in_blocks(stored(pairs, "near-pairs"), own, texts, n, threshold, block), "near-links")
+        if new.limit(1).count():
+            comps = joined_components(comps, new)
+    return comps
+
+
+def _verified_in_blocks(pairs: DataFrame, own: DataFrame, texts: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+    """As verified(), for many pairs among few texts: pairs are grouped by blocks of texts with one home."""
+    many = own.groupBy("home").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    spot = stored(own.join(many, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "blocks")).alias("spot")), "near-spots")
+    side = lambda c: spot.select(F.col("rep").alias(c), F.col("spot").alias(f"s{c}"))
+    groups = pairs.join(side("a"), "a").join(side("b"), "b").select(F.xxhash64(F.least("sa", "sb"), F.greatest("sa", "sb")).alias("g"), "a", "b")
+    groups = stored(groups, "near-groups")
+    needed = groups.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("rep")).distinct().join(texts, "rep").select("h", "rep", "text")
+
+    def run(pairs_: pa.Table, texts_: pa.Table) -> pa.Table:
+        place = {r: i for i, r in enumerate(texts_.column("rep").to_pylist())}
+        doc, sh, count = shingles([words(t) for t in texts_.column("text").to_pylist()], n, WordHashes())
+        ends = np.searchsorted(doc, np.arange(len(place) + 1))
+        total = np.bincount(doc, weights=count, minlength=len(place))
+        out = []
+        for a, b in zip(pairs_.column("a").to_pylist(), pairs_.column("b").to_pylist(), strict=True):
+            i, j = place[a], place[b]
+            x, y = slice(ends[i], ends[i + 1]), slice(ends[j], ends[j + 1])
+            _, u, v = np.intersect1d(sh[x], sh[y], assume_unique=True, return_indices=True)
+            least = float(np.minimum(count[x][u], count[y][v]).sum())
+            s = least / (total[i] + total[j] - least)
+            if s >= threshold:
+                out.append((a, b, s))
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64()), "sim": pa.array([float(r[2]) for r in out], pa.float64())})
+
+    return groups.groupBy("g").cogroup(needed.groupBy("h")).applyInArrow(run, "a long, b long, sim double")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, one of each class, with their columns."""
     stay = classes(docs, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()

@@ -331,6 +331,23 @@ def test_near_duplicates_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == slow_classes(texts)
 
 
+def test_near_duplicates_in_a_templated_family(spark):
+    """Texts that are alike below the threshold, with a near copy of some: the copies share their buckets with all."""
+    base, r = rng_words(300, 5, 5000), np.random.default_rng(6)
+
+    def changed(w, k, tag):
+        w = list(w)
+        for i in r.choice(len(w) // 6, k, replace=False):
+            w[6 * i + 2] = f"{tag}x{i}"
+        return w
+
+    family = [changed(base, 5, f"f{k}") for k in range(150)]
+    copies = [changed(family[3 * k + 1], 1, f"c{k}") for k in range(40)]
+    texts = [" ".join(w) for w in family + copies]
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_classes(texts)
+
+
 def test_near_duplicates_query(spark, sf):
     """The whole small table against all pairs that share a word shingle."""
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
