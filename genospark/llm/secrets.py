@@ -1,7 +1,8 @@
 """Secret scan: candidate strings, judged by a random forest, in DataFrame functions only.
 
-Candidates are words of at least `shortest` characters after the key and the quotes are taken off that mix letters with
-digits or capitals inside, found in the whole text.  Features of a candidate: its length, the share of
+Candidates are all runs of at least `shortest` letters, digits and +/_.~- (with = as padding at the end) in words that
+mix letters with digits or capitals inside, found in the whole text; words may have any length and hold several.  The key of
+a run is the name in front of it, if only quotes and = or : lie between.  Features of a candidate: its length, the share of
 changes between character classes, the share of digits and of capitals, the share of its letters that lie in dictionary
 words, whether it is hexadecimal, whether the path looks like tests or samples, and whether a neighbouring word or
 the key in front names a secret or a placeholder.
@@ -43,20 +44,30 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 CLASSES = "a" * 26 + "A" * 26 + "0" * 10
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source", shortest: int = 12, longest: int = 512) -> DataFrame:
-    """id, path, position (of the word), before, key, value of every candidate."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source", shortest: int = 12) -> DataFrame:
+    """id, path, position (of the word), part (number of the piece in the word), before, key, value of every candidate."""
     w = F.split(F.coalesce(F.col(docs_text(docs)).cast("string"), F.lit("")), r"[ \n\t\r]")
     rows = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), w.alias("w"))
     # cheap tests first: most words are short or plain
     odd = F.filter(
         F.transform("w", lambda x, i: F.when(F.length(x) >= shortest, F.struct(i.alias("position"), x.alias("word")))),
-        lambda x: x.isNotNull() & x["word"].rlike(r"[0-9]|[a-z][A-Z]|[A-Z]{12}") & (F.length(x["word"]) <= longest),
+        lambda x: x.isNotNull() & x["word"].rlike(r"[0-9]|[a-z][A-Z]|[A-Z]{12}"),
     )
     at = lambda k: F.coalesce(F.try_element_at("w", F.col("c.position") + 1 + k), F.lit(""))
-    found = rows.select("id", "path", "w", F.explode(odd).alias("c"))
     before = F.lower(F.concat_ws(" ", F.when(F.col("c.position") >= 2, at(-2)), F.when(F.col("c.position") >= 1, at(-1))))
-    value = F.regexp_extract("c.word", r"([A-Za-z0-9+/_.~-]{%d,}={0,2})[^A-Za-z0-9=]*$" % shortest, 1)
-    out = found.select("id", "path", F.col("c.position").cast("long").alias("position"), before.alias("before"), F.lower(F.regexp_extract("c.word", r"([A-Za-z_.-]+)[\"']?[=:]", 1)).alias("key"), value.alias("value"))
+    # a word is cut into runs and what lies between them
+    pieces = F.regexp_extract_all("c.word", F.lit(r"([A-Za-z0-9+/_.~-]+|[^A-Za-z0-9+/_.~-]+)"), 1)
+    found = rows.select("id", "path", "w", F.explode(odd).alias("c")).select("id", "path", F.col("c.position").cast("long").alias("position"), before.alias("before"), pieces.alias("x"))
+    beside = lambda i: F.coalesce(F.get("x", i), F.lit(""))
+    run = lambda x, i: F.when((F.length(x) >= shortest) & x.rlike("^[A-Za-z0-9+/_.~-]"), F.struct(i.alias("part"), x.alias("run"), beside(i - 2).alias("name"), beside(i - 1).alias("left"), beside(i + 1).alias("right"), (F.size("x") == i + 2).alias("last")))
+    found = found.select("id", "path", "position", "before", F.explode(F.filter(F.transform("x", run), lambda r: r.isNotNull())).alias("r"))
+    key = F.when(F.col("r.left").rlike(r"^\\?[\"']?[=:]"), F.lower(F.regexp_extract("r.name", r"([A-Za-z_.-]+)$", 1))).otherwise("")
+    # the user of an address begins after the slashes
+    bare = F.when(F.col("r.left").endswith(":") & F.col("r.right").rlike("^[@:]"), F.regexp_replace("r.run", "^//", "")).otherwise(F.col("r.run"))
+    # = belongs to the run at the word's end, and elsewhere if it fills up a group of four and doesn't lead to a value
+    fill = F.regexp_extract("r.right", "^(={1,2})", 1)
+    filled = F.col("r.last") | (((F.length(bare) + F.length(fill)) % 4 == 0) & (F.length("r.right") > F.length(fill)))
+    out = found.select("id", "path", "position", F.col("r.part").cast("long").alias("part"), "before", key.alias("key"), F.concat(bare, F.when(filled, fill).otherwise("")).alias("value"))
     return out.where((F.length("value") >= shortest) & F.col("value").rlike("[0-9A-Z]") & F.col("value").rlike("[A-Za-z]"))
 
 
@@ -177,9 +188,9 @@ def forest_score(forest: list[dict]) -> Column:
 
 
 def findings(docs: DataFrame, forest: list[dict], id_col: str = "doc_id", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
-    """id_col, position, key, value_sha256, shown (a masked form), length, score, is_secret of every candidate."""
+    """id_col, position, part, key, value_sha256, shown (a masked form), length, score, is_secret of every candidate."""
     found = with_features(candidates(docs, id_col, path_col)).withColumn("score", F.round(forest_score(forest), 6))
     return found.select(
-        F.col("id").alias(id_col), "position", "key", F.sha2("value", 256).alias("value_sha256"), F.concat(F.substring("value", 1, 4), F.lit("…")).alias("shown"),
+        F.col("id").alias(id_col), "position", "part", "key", F.sha2("value", 256).alias("value_sha256"), F.concat(F.substring("value", 1, 4), F.lit("…")).alias("shown"),
         F.length("value").alias("length"), "score", (F.col("score") >= threshold).cast("int").alias("is_secret"),
     )

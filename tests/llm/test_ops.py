@@ -391,6 +391,18 @@ def test_secrets(spark, odd, none):
     assert secrets.findings(odd, forest).where("is_secret = 1").count() == 0 and secrets.findings(none, forest).count() == 0
 
 
+def test_every_secret_of_a_word(spark):
+    one, two = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "b7db7aa4a5fcc78305c1d2e3f4a5b6c7d8e9f0a1"
+    long = '{"a":"' + "lorem," * 200 + '","token":"' + one + '","text":"' + "ipsum," * 200 + '"}'
+    texts = ['{"token":"%s","id":1}' % one, f"token={one}&user=bob", f"https://u:{one}@host.org", f"https://{one}@host.org", f"a={one};b={two}", long, "password=AbCdEfGh1234567=&user=bob"]
+    want = [{one}, {one}, {one}, {one}, {one, two}, {one}, {"AbCdEfGh1234567="}]
+    rows = secrets.candidates(docs_of(spark, texts)).collect()
+    assert [{r.value for r in rows if r.id == i} for i in range(len(texts))] == want
+    assert {r.key for r in rows if r.id in (0, 1, 5)} == {"token"} and len({(r.id, r.position, r.part) for r in rows}) == len(rows)
+    got = secrets.findings(docs_of(spark, texts[:2] + texts[5:6]), secrets.grow(secrets.labelled_findings(spark))).collect()
+    assert len(got) == 3 and all(r.is_secret for r in got)
+
+
 # 9
 
 
