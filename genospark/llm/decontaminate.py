@@ -7,13 +7,16 @@ its `least` rarest ones.  A document's windows around seed hits are joined to th
 
 Alignment.  Local alignment of the item's words with each window (match 2, mismatch -1, gap -1);
 the score is divided by that of a perfect match, so 1 is an exact copy, and edited or paraphrased copies
-lie between.  Windows that reach `threshold` are matches.
+lie between.  Passages that reach `threshold` are matches; what a window has on both sides of one is aligned again, until
+nothing there reaches the threshold.
+
+Short items, of fewer than `min_words` words, are too short for alignment; they match where all their words follow one another
+exactly, with score 1 and no seed hits.
 
 The items go to the executors in blocks of at most `block_items`; more items mean more blocks, each
 over all documents.
 
-Edge cases.  Null and empty texts match nothing.  Items of fewer than `min_words` words take no part: a few
-common words are no evidence of a leak.  Items with equal texts are reported each; rows repeated in the
+Edge cases.  Null and empty texts match nothing, nor do items without words.  Items with equal texts are reported each; rows repeated in the
 documents are reported each.  Empty tables give an empty result.  Other columns are not read.
 """
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, words
+from .common import WORD, mix64, slices, words
 
 OUT = "doc_id long, item_id long, score double, char_start long, char_end long, seed_hits int"
 
@@ -50,15 +53,29 @@ def smith_waterman(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch:
     return best
 
 
+def rolled(codes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k codes."""
+    out = np.zeros(max(0, len(codes) - k + 1), dtype=np.uint64)
+    for i in range(k):
+        out = mix64(out + codes[i : i + len(out)].astype(np.uint64) + np.uint64(i + 1))
+    return out
+
+
 class Index:
     """Words, codes and seeds of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], n: int, min_words: int):
-        self.n, self.items, self.vocab = n, [], {}
+        self.n, self.items, self.short, self.vocab = n, [], [], {}
         for item_id, text in items:
-            if len(w := words(text)) >= max(n, min_words):
-                self.items.append((item_id, np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], dtype=np.int64)))
+            if w := words(text):
+                codes = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], dtype=np.int64)
+                (self.items if len(w) >= max(n, min_words) else self.short).append((item_id, codes))
         self.base = len(self.vocab) + 1
+        by = defaultdict(lambda: defaultdict(list))
+        for item_id, codes in self.short:
+            by[len(codes)][tuple(codes.tolist())].append(item_id)
+        # length of the short items, sorted hashes, items by words
+        self.exact = [(k, np.unique(np.concatenate([rolled(np.array(c), k) for c in known])), dict(known)) for k, known in by.items()]
 
     def grams(self, codes: np.ndarray) -> np.ndarray:
         """A number for each n-gram of codes; -1 where a word isn't in any item."""
@@ -124,6 +141,24 @@ def _windows(found: list[tuple[int, int]], length: int, slack: int, end: int) ->
     return out
 
 
+def _passages(item: np.ndarray, text: np.ndarray, lo: int, hi: int, threshold: float) -> list[tuple[int, int, int]]:
+    """score, from, to of the passages of text[lo:hi] that reach the threshold."""
+    out, left = [], [(lo, hi)]
+    while left:
+        lo, hi = left.pop()
+        # a part with too few words can't reach it
+        if hi - lo < threshold * len(item):
+            continue
+        score, i, j = smith_waterman(item, text[lo:hi])
+        if score < threshold * 2 * len(item) or not score:
+            continue
+        back = smith_waterman(item[:i][::-1], text[lo : lo + j][::-1])
+        start, end = lo + j - back[2], lo + j
+        out.append((score, start, end))
+        left += [(end, hi), (lo, start)]
+    return out
+
+
 def _match_block(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
     def run(batches):
         for b in slices(batches):
@@ -137,17 +172,24 @@ def _match_block(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
             for p, d, s in zip(hit.tolist(), (np.searchsorted(starts, hit, side="right") - 1).tolist(), at[hit].tolist(), strict=True):
                 for k, i in index.hits[s]:
                     by[d, k].append((p - int(starts[d]), i))
+            spans = {}
+
+            def chars(d, start, end, texts=texts, spans=spans):
+                if d not in spans:
+                    spans[d] = [m.span() for m in WORD.finditer(texts[d].lower())]
+                return spans[d][start][0], spans[d][end - 1][1]
+
             for (d, k), found in by.items():
                 item_id, item = index.items[k]
                 text = codes[starts[d] : starts[d + 1] - index.n]
-                spans = None
                 for lo, hi, n in _windows(found, len(item), 8 + len(item) // 4, len(text)):
-                    score, i, j = smith_waterman(item, text[lo:hi])
-                    if score < threshold * 2 * len(item):
-                        continue
-                    back = smith_waterman(item[:i][::-1], text[lo : lo + j][::-1])
-                    spans = spans or [m.span() for m in WORD.finditer(texts[d].lower())]
-                    out.append((ids[d], item_id, score / (2 * len(item)), spans[lo + j - back[2]][0], spans[lo + j - 1][1], n))
+                    for score, start, end in _passages(item, text, lo, hi, threshold):
+                        out.append((ids[d], item_id, score / (2 * len(item)), *chars(d, start, end), n))
+            for k, keys, known in index.exact:
+                for p in np.flatnonzero(np.isin(rolled(codes, k), keys)).tolist():
+                    d = int(np.searchsorted(starts, p, side="right")) - 1
+                    for item_id in known.get(tuple(codes[p : p + k].tolist()), ()):
+                        out.append((ids[d], item_id, 1.0, *chars(d, p - int(starts[d]), p - int(starts[d]) + k), 0))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "char_start", "char_end", "seed_hits"])
@@ -164,8 +206,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 1e-
         # about block_items rows
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         index = Index([tuple(r) for r in block], n, min_words)
-        if index.items:
-            index.seed(frequencies(docs, index), rare, least)
+        if index.items or index.short:
+            index.seed(frequencies(docs, index) if index.items else np.zeros(index.base), rare, least)
             out = out.unionByName(_match_block(docs, index, threshold))
     return out
 

@@ -275,6 +275,16 @@ def test_leaks(spark, odd, none):
     assert decontaminate.matches(odd, bench).count() == 0 and decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items_and_second_copies(spark):
+    long = " ".join(rng_words(30, 77, 3000))
+    bench = spark.createDataFrame([(1, "Who wrote Faust?"), (2, long), (3, "a b c d e f g")], "item_id long, text string")
+    texts = [f"quiz: who wrote faust? goethe. who wrote faust", "who wrote about faust", f"x {long} y z {long} end", "say a b c d e f g", "a b c d", None]
+    got = decontaminate.matches(docs_of(spark, texts), bench).collect()
+    spans = sorted((r.doc_id, r.item_id, r.score, texts[r.doc_id][r.char_start : r.char_end]) for r in got)
+    assert spans == [(0, 1, 1.0, "who wrote faust")] * 2 + [(2, 2, 1.0, long)] * 2 + [(3, 3, 1.0, "a b c d e f g")]
+    assert len({(r.doc_id, r.char_start) for r in got}) == 5
+
+
 # 7
 
 
