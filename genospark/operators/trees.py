@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 ROOT_DIST = 1e-5
 
 
-def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """name, ancestor, depth of every node and each of its ancestors, itself at depth 0.
 
-    Paths double with each pass, so depth d needs log2(d) joins.
+    Paths double with each pass, so depth d needs log2(d) joins; each pass cuts the plan, which would grow with them.
     """
     step = nodes.where("parent is not null").select("name", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).persist()
     after = lambda far, near: near.select("name", F.col("ancestor").alias("mid"), "depth").join(far.select(F.col("name").alias("mid"), F.col("ancestor").alias("top"), F.col("depth").alias("more")), "mid").select("name", F.col("top").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
     paths, jump, reach = step, step, 1
+    # no path has more steps than there are nodes
+    most = nodes.count()
     while reach < most:
         # paths reach depth `reach`, jump holds those of just that depth
         longer = after(paths, jump).persist()
+        longer = longer.sparkSession.createDataFrame(longer.rdd, longer.schema)
         if not longer.limit(1).count():
             break
         paths, jump, reach = paths.unionByName(longer), longer.where(F.col("depth") == 2 * reach), 2 * reach

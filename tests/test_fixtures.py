@@ -161,6 +161,13 @@ def test_ancestors_of_a_long_path(spark):
     assert got.count() == n * (n + 1) // 2 and got.where("depth = 20").count() == 1
 
 
+def test_ancestors_deeper_than_64(spark):
+    n = 150
+    nodes = spark.createDataFrame([(str(i), str(i + 1) if i < n - 1 else None) for i in range(n)], "name string, parent string")
+    got = T.ancestors(nodes)
+    assert got.count() == n * (n + 1) // 2 and got.where("name = '0' and ancestor = '149' and depth = 149").count() == 1
+
+
 def test_pack_round_trip(calls):
     seqs = writers.pack(calls)
     back = writers.unpack(seqs)
