@@ -353,9 +353,11 @@ def _verified_in_blocks(pairs: DataFrame, own: DataFrame, texts: DataFrame, n: i
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, one of each class, with their columns."""
-    stay = classes(docs, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    left = docs.join(stay, same, "left_semi")
+    # a row without an id goes by its text, after all rows with ids
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+    keyed = docs.withColumn("__key", key)
+    stay = classes(keyed.select(F.col("__key").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    left = keyed.join(stay, F.col("__key") == F.col("__id"), "left_semi")
     # repeated rows of one doc_id and text count once
     one = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
     return left.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)

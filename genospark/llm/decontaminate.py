@@ -214,5 +214,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 1e-
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a matching passage, with their columns."""
-    found = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__id"], "left_anti")
+    # a match depends on the text alone, and doc_id may be null
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
+    found = matches(texts, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(found, F.xxhash64(docs["text"].cast("string")) == found["__id"], "left_anti")

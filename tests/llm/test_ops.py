@@ -553,6 +553,16 @@ def test_no_other_part_imports_llm():
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
 
 
+def test_rows_without_an_id(spark):
+    a, b = rng_words(100, 1, 5000), rng_words(40, 2, 5000)
+    near = [" ".join(a), " ".join([*a[:-1], "other"])]
+    docs = spark.createDataFrame([(None, near[0]), (None, near[1]), (None, " ".join(b)), (None, "alone here"), (7, "with an id")], "doc_id long, text string")
+    kept = {r.text for r in bagminhash.keep_one(docs).collect()}
+    assert len(kept) == 4 and len(kept & set(near)) == 1
+    bench = spark.createDataFrame([(1, " ".join(b))], "item_id long, text string")
+    assert {r.text for r in decontaminate.clean(docs, bench).collect()} == {*near, "alone here", "with an id"}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as c
 
