@@ -22,24 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it; unset, a local session takes one under /tmp."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"file:///tmp/genospark-shared-{spark.sparkContext.applicationId}"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file:///tmp/genospark-shared-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut by files every executor sees.
+#: A write is a query of its own, so its shuffle files may go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The files go when the session's Python process ends.
+
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder (in folders by a column, if named) and read it back: lineage is cut by files every executor sees.
+
+    The files go with `drop`, or when the session's Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/genospark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    atexit.register(_delete, spark, path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that `stored` has returned; nothing may read them any more."""
+    for df in tables:
+        if df is not None:
+            _delete(df.sparkSession, df.stored_at)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,37 +1,55 @@
 """Katz backoff language model over documents.
 
-Tables.  For each order k the n-gram counts are a table (context, word, n) partitioned by its hashed key; contexts and
-words are 64-bit hashes.  Counts up to `most` (5) are discounted by Good and Turing's estimate, higher ones are trusted.
-P(w | h) = d_c c / c(h) where the n-gram occurs, else alpha(h) P(w | shorter h); alpha(h) is the mass that the discounts
-free in h over the mass that the shorter model gives to the words unseen in h, summed exactly over the table.
-Unseen words share what the unigram discounts free, as one unknown type, so that all probabilities sum to 1.
+Model.  P(w | h) = D(c) / c(h) where the n-gram h w occurs c times, else alpha(h) P(w | shorter h).  D(c) is c times Good and
+Turing's discount for counts up to `most`; higher counts are trusted.  Where every follower of h has a higher count, Good and
+Turing free no mass in h; there D(c) = c - d with the absolute discount d = n1 / (n1 + 2 n2) of the order (1/2 without n1), so that
+no word ever has probability 0.  alpha(h) is the mass freed in h over the mass that the shorter model gives to the words not seen
+after h, summed exactly over the words seen.  What the unigrams free goes to one unknown type, so that all probabilities sum to 1.
 
-Evaluation is a chain of joins from the longest context down: every distinct (context, word) of the texts gets its
-log10 probability once, and documents sum over theirs.
+Tables.  `fit` writes, for each order, the n-gram counts, and for each context the freed mass, the number of followers and the
+sum of their lower-order counts; both in parts by ranges of the n-gram's id.  An id is a chained hash; its width is 28 bits more
+than the number of tokens needs, so an n-gram meets another one's id with a probability of some 2**-28 at any size.
+`rows_of` gives a table's rows.
+
+Exchange.  Texts are tokenised once and kept in splits of about `split_bytes`, as indices into a split's vocabulary.  A split sends
+each part the sorted ids of its distinct n-grams with their counts, and gets back the totals for exactly those ids; the first split
+that learned an n-gram owns it, and speaks for it where contexts are summed.  So a frequent n-gram or word travels once
+a split, and no task holds more than a split or a part.  A split and a part share about split tokens * part tokens / all
+tokens ids; with very many splits both sizes should grow with the executors' memory.
+
+Evaluation.  Every token is evaluated by the recursion over the orders, with the totals its split got back.
 
 Tokens.  A-Z are lower-cased; tokens are runs of characters other than blanks and \\t\\n\\v\\f\\r, then one end.
 
-Edge cases.  A null text is empty and is scored by its end alone.  Without training texts every token has the
-probability of the unknown type, 1.  Rows that share doc_id and text get the same result each.  Where counts
-of counts don't allow a discount, absolute discounting by n1 / (n1 + 2 n2) takes its place.  Other columns are not read.
+Edge cases.  A null text is empty and is scored by its end alone.  A null training mark means held out.  Without training texts every
+token has the probability of the unknown type, 1.  Repeated rows are learned from and scored each.  Where counts of counts don't
+allow Good and Turing's discount, absolute discounting by n1 / (n1 + 2 n2) takes its place.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bagminhash import WordHashes
+from .bagminhash import word_hash
 from .common import mix64, slices, stored
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 END = "\x20end"
-START = np.uint64(0x5DEECE66D)
+START = "\x20start"
+PAD = np.uint64(0x5DEECE66D)
+
+SPLIT = "split long, n long, doc_ids array<long>, train array<boolean>, sizes array<int>, words binary, at binary"
+MESSAGE = "what string, level int, part int, split long, ids binary, a binary, b binary, c binary, stats array<long>"
+NAMES = ["what", "level", "part", "split", "ids", "a", "b", "c", "stats"]
+KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64())]
 
 
 def tokens(text: str | None) -> list[str]:
@@ -39,125 +57,416 @@ def tokens(text: str | None) -> list[str]:
     return [*TOKEN.findall(text.translate(LOWER)), END] if text else [END]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+class Vocabulary(dict):
+    """Numbers of words, as they come; 0 is the start, 1 the end of a text."""
 
+    def __init__(self):
+        super().__init__({START: 0, END: 1})
+        self.words = [START, END]
 
-def contexts(h: np.ndarray, order: int) -> list[np.ndarray]:
-    """For k = 1 .. order-1: the hash of the k words before each token (starts stand in front)."""
-    out, prev = [], np.zeros(len(h), dtype=np.uint64)
-    padded = np.concatenate([np.full(order - 1, START, dtype=np.uint64), h])
-    for k in range(1, order):
-        prev = mix64(prev * np.uint64(31) + padded[order - 1 - k : len(padded) - k] + np.uint64(k))
-        out.append(prev)
-    return out
+    def __missing__(self, word: str) -> int:
+        low = word.translate(LOWER)
+        if low != word:
+            i = self[low]
+        else:
+            i = len(self.words)
+            self.words.append(word)
+        self[word] = i
+        return i
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array as compressed byte planes, with its item size and length in front."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    size, n = raw[0], int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(pa.decompress(raw[9:], size * n, codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(-1)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Sorted ids by their differences."""
+    return packed(np.diff(ids, prepend=np.uint64(0)))
 
 
-def occurrences(docs: DataFrame, order: int, training) -> DataFrame:
-    """row (hash of id and text), train, h1 .. , w, n: how often each row's text holds each n-gram."""
-    names = [f"h{k}" for k in range(1, order)] + ["w"]
+def unpacked_ids(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, np.uint64), dtype=np.uint64)
+
+
+def splits(docs: DataFrame, training, split_bytes: int) -> DataFrame:
+    """The tokenised texts: a vocabulary's hashes, and the words of all documents as indices, each text with a start in front."""
 
     def run(batches):
-        hashes = WordHashes()
-        for b in slices(batches, most=1 << 20):
-            keys, cols, counts, train = [], [[] for _ in names], [], []
-            for key, text, tr in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
-                t = tokens(text)
-                h = np.fromiter(map(hashes.__getitem__, t), dtype=np.uint64, count=len(t))
-                all_ = [*contexts(h, order), h]
-                # the longest context and the word fix the shorter contexts
-                gram = mix64(all_[-2] * np.uint64(31) + h) if order > 1 else h
-                _, at, n = np.unique(gram, return_index=True, return_counts=True)
-                for c, x in zip(cols, all_, strict=True):
-                    c.append(x[at])
-                counts.append(n), keys.append(np.full(len(at), key, dtype=np.int64)), train.append(np.full(len(at), bool(tr)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(train)), *(_signed(np.concatenate(c)) for c in cols), pa.array(np.concatenate(counts).astype(np.int64))], ["row", "train", *names, "n"])
-
-    rows = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text"), training.alias("train"))
-    return rows.mapInArrow(run, "row long, train boolean, " + ", ".join(f"{c} long" for c in names) + ", n long")
-
-
-def row_key():
-    return F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-
-
-def discounts(counts: DataFrame, most: int = 5) -> dict[int, float]:
-    """d_c for c = 1 .. most from the counts of counts: at most `most` + 1 numbers reach the driver."""
-    got = {r["n"]: r["types"] for r in counts.where(F.col("n") <= most + 1).groupBy("n").agg(F.count("*").alias("types")).collect()}
-    n = [0] + [got.get(c, 0) for c in range(1, most + 2)]
-    out = {}
-    if n[1]:
-        a = (most + 1) * n[most + 1] / n[1]
-        for c in range(1, most + 1):
-            star = (c + 1) * n[c + 1] / n[c] if n[c] else 0.0
-            out[c] = (star / c - a) / (1 - a) if a < 1 else 0.0
-    if not n[1] or not all(0 < d < 1 for d in out.values()):
+        for k, b in enumerate(slices(batches, most=split_bytes)):
+            vocabulary, at, sizes = Vocabulary(), [], []
+            for text in b.column("text").to_pylist():
+                t = TOKEN.findall(text) if text else []
+                x = np.zeros(len(t) + 2, dtype=np.uint32)
+                x[1:-1] = np.fromiter(map(vocabulary.__getitem__, t), dtype=np.uint32, count=len(t))
+                x[-1] = 1
+                at.append(x), sizes.append(len(x))
+            x = np.concatenate(at)
+            # frequent words get small indices
+            order = np.argsort(-np.bincount(x, minlength=len(vocabulary.words)), kind="stable")
+            place = np.empty(len(order), dtype=np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            h = np.fromiter(map(word_hash, vocabulary.words), dtype=np.uint64, count=len(order))[order]
+            cols = [(TaskContext.get().partitionId() << 32) + k, len(x), b.column("doc_id").to_pylist(), b.column("train").to_pylist(), sizes, packed(h), packed(place[x])]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], ["split", "n", "doc_ids", "train", "sizes", "words", "at"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train")).mapInArrow(run, SPLIT)
+
+
+@dataclass
+class Split:
+    """A split's tokens, and its distinct n-grams by order with what is known of them."""
+
+    number: int
+    doc_ids: list
+    starts: np.ndarray  # where each text has its start
+    train: np.ndarray  # positions to learn from
+    grams: list[np.ndarray]  # by order: the id of the n-gram that ends at each position
+    ids: dict[int, np.ndarray] = field(default_factory=dict)  # by order: the distinct ids, sorted
+    place: dict[int, np.ndarray] = field(default_factory=dict)  # by order: which of them ends at each position
+    count: dict[int, np.ndarray] = field(default_factory=dict)  # by order: how often training texts have them
+    own: dict[int, np.ndarray] = field(default_factory=dict)  # by order: those that this split speaks for
+    context: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)  # by order: freed mass and so on of the contexts asked for
+
+
+def opened(rows: pa.Table, order: int, bits: int) -> Split:
+    row = rows.to_pylist()[0]
+    h = unpacked(row["words"], np.uint64)[unpacked(row["at"], np.uint32)]
+    sizes = np.array(row["sizes"], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    grams = [h]
+    for k in range(2, order + 1):
+        # the n-gram before, and this word; the starts of all texts are the same context
+        g = np.empty_like(h)
+        g[1:] = mix64(grams[-1][:-1] * np.uint64(31) + h[1:] + np.uint64(k))
+        g[starts] = PAD * np.uint64(k)
+        grams.append(g)
+    shift = np.uint64(64 - bits)
+    return Split(row["split"], row["doc_ids"], starts, np.repeat(np.array(row["train"], dtype=bool), sizes), [g >> shift for g in grams])
+
+
+def start_ids(order: int, bits: int) -> list[np.uint64]:
+    """By order: the id of the start, which is a context and no token."""
+    return [np.uint64(word_hash(START)) >> np.uint64(64 - bits)] + [PAD * np.uint64(k) >> np.uint64(64 - bits) for k in range(2, order + 1)]
+
+
+def distinct(s: Split, levels) -> None:
+    for k in levels:
+        s.ids[k], s.place[k] = np.unique(s.grams[k - 1], return_inverse=True)
+
+
+def cuts(ids: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Where the parts' ranges begin and end in sorted ids."""
+    bounds = np.array([(p << bits) // parts for p in range(1, parts)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(ids, bounds), [len(ids)]])
+
+
+def messages(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)], NAMES)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in 4 bytes where they fit."""
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
+
+
+def whole(raw: bytes) -> np.ndarray:
+    return unpacked(raw, np.uint32 if raw[0] == 4 else np.uint64).astype(np.int64)
+
+
+def counted(texts: DataFrame, order: int, bits: int, parts: int, most: int) -> DataFrame:
+    """Messages `grams` (the counts of a part) and `reply` (the totals a split asked for)."""
+
+    def ask(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                s = opened(pa.Table.from_batches([b.slice(i, 1)]), order, bits)
+                for k in range(1, order + 1):
+                    distinct(s, [k])
+                    n = np.bincount(s.place[k][s.train], minlength=len(s.ids[k]))
+                    edges = cuts(s.ids[k], parts, bits)
+                    yield messages([("ask", k, p, s.number, packed_ids(s.ids[k][x:y]), packed(small(n[x:y])), None, None, None) for p, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x])
+                    del s.ids[k], s.place[k]
+
+    starts = start_ids(order, bits)
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("split").to_pydict()
+        level, part = rows["level"][0], rows["part"][0]
+        lists = [unpacked_ids(x) for x in rows["ids"]]
+        ids, n = np.concatenate(lists), np.concatenate([whole(x) for x in rows["a"]])
+        by = np.argsort(ids, kind="stable")
+        ordered = ids[by]
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(n[by], at)
+        # the first split that has learned it
+        first = np.minimum.reduceat(np.where(n[by] > 0, by, len(ids)), at)
+        own = np.zeros(len(ids), dtype=np.uint8)
+        own[first[total > 0]] = 1
+        back = np.empty(len(ids), dtype=np.int64)
+        back[by] = total[np.cumsum(new) - 1]
+        known = ordered[at][total > 0], total[total > 0]
+        real = known[1][known[0] != starts[level - 1]]
+        stats = [int(real.sum()), len(real), *np.bincount(np.minimum(real, most + 2), minlength=most + 3)[1 : most + 2].tolist()]
+        out, to = [("grams", level, part, None, packed_ids(known[0]), packed(small(known[1])), None, None, stats)], 0
+        for split, x in zip(rows["split"], lists, strict=True):
+            here = slice(to, to + len(x))
+            out.append(("reply", level, part, split, None, packed(small(back[here])), packed(own[here]), None, None))
+            to += len(x)
+        return pa.Table.from_batches([messages(out)])
+
+    asked = texts.select("split", "doc_ids", "train", "sizes", "words", "at").mapInArrow(ask, MESSAGE)
+    return asked.groupBy("level", "part").applyInArrow(add, MESSAGE)
+
+
+@dataclass(frozen=True)
+class Discounts:
+    """D(c) of an order."""
+
+    factor: np.ndarray  # by count, 1 above `most`
+    absolute: float
+    most: int
+
+    @staticmethod
+    def of(n: list[int]) -> Discounts:
+        """From the numbers of n-grams that occur 1 .. most + 1 times."""
+        most = len(n) - 1
+        n, d = [0, *n], {}
+        if n[1]:
+            a = (most + 1) * n[most + 1] / n[1]
+            for c in range(1, most + 1):
+                star = (c + 1) * n[c + 1] / n[c] if n[c] else 0.0
+                d[c] = (star / c - a) / (1 - a) if a < 1 else 0.0
         b = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        out = {c: 1 - b / c for c in range(1, most + 1)}
-        out = {c: min(max(d, 0.05), 0.999) for c, d in out.items()}
+        if not n[1] or not all(0 < x < 1 for x in d.values()):
+            d = {c: min(max(1 - b / c, 0.05), 0.999) for c in range(1, most + 1)}
+        return Discounts(np.array([1.0, *(d[c] for c in sorted(d)), 1.0]), b, most)
+
+    def kept(self, c: np.ndarray, bare: np.ndarray | bool = False) -> np.ndarray:
+        """D(c); bare: the context has no follower that Good and Turing discount."""
+        return np.where(bare, c - self.absolute, c * self.factor[np.minimum(c, self.most + 1)])
+
+
+@dataclass
+class Model:
+    """What is broadcast of a model (a few numbers an order), and its tables."""
+
+    order: int
+    bits: int
+    parts: int
+    most: int
+    tokens: int = 0
+    types: int = 0
+    discounts: dict[int, Discounts] = field(default_factory=dict)
+    bare: bool = False  # no unigram is discounted by Good and Turing
+    unknown: float = 1.0
+
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        """D(c) of unigrams."""
+        return self.discounts[1].kept(c, self.bare)
+
+
+def informed(s: Split, replies: pa.Table, model: Model, levels: int) -> None:
+    """Put the replies of the first `levels` orders into the split."""
+    rows = replies.select(["what", "level", "part", "a", "b", "c"]).sort_by([("level", "ascending"), ("part", "ascending")]).to_pylist()
+    for k in range(1, levels + 1):
+        distinct(s, [k])
+        mine = [r for r in rows if r["what"] == "reply" and r["level"] == k]
+        s.count[k] = np.concatenate([whole(r["a"]) for r in mine])
+        s.own[k] = np.concatenate([unpacked(r["b"], np.uint8) for r in mine]).astype(bool)
+    for k in range(2, levels + 1):
+        if mine := [r for r in rows if r["what"] == "context" and r["level"] == k]:
+            got = [np.concatenate(x) for x in zip(*((unpacked(r["a"], np.float64), whole(r["b"]), unpacked(r["c"], np.float64)) for r in mine), strict=True)]
+            lower = len(s.ids[k - 1])
+            s.context[k] = {name: np.zeros(lower) for name in ("freed", "types", "low")}
+            for name, x in zip(s.context[k], got, strict=True):
+                s.context[k][name][asked(s, k, model)] = x
+
+
+def before(s: Split, k: int) -> np.ndarray:
+    """For each distinct n-gram of order k: its context among the distinct n-grams of order k - 1 (0 for a text's start)."""
+    out = np.zeros(len(s.ids[k]), dtype=np.int64)
+    inside = np.ones(len(s.place[k]), dtype=bool)
+    inside[s.starts] = False
+    at = np.flatnonzero(inside)
+    out[s.place[k][at]] = s.place[k - 1][at - 1]
     return out
 
 
-def discounted(n, d: dict[int, float]):
-    """d_c c of a count column."""
-    out = F.when(n == 1, F.lit(d[1]))
-    for c in sorted(d)[1:]:
-        out = out.when(n == c, F.lit(d[c] * c))
-    return out.otherwise(n.cast("double"))
-
-
-def fit(occ: DataFrame, order: int) -> dict:
-    """The model's tables: words (w, n, p), grams[k] (h, w, p), alphas[k] (h, alpha), and N, V, p of an unknown word."""
-    train = occ.where("train")
-    words = stored(train.groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
-    total, kinds = words.agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    d = discounts(words)
-    words = words.withColumn("p", discounted(F.col("n"), d) / float(max(1, total)))
-    unknown = 1.0 - (words.agg(F.sum("p")).first()[0] or 0.0)
-    model = {"N": total, "V": kinds, "unknown": unknown, "words": words, "grams": {}, "alphas": {}, "discounts": {1: d}}
-    lower = words.select("w", F.col("p").alias("low"))
-    for k in range(1, order):
-        keep = [f"h{i}" for i in range(1, k + 1)]
-        counts = stored(train.groupBy(*keep, "w").agg(F.sum("n").alias("n")), f"lm-grams-{k + 1}")
-        d = discounts(counts)
-        mass = counts.groupBy(f"h{k}").agg(F.sum("n").alias("all"))
-        lows = counts.join(lower, "w") if k == 1 else counts.join(lower, [f"h{k - 1}", "w"])
-        grams = lows.join(mass, f"h{k}").withColumn("p", discounted(F.col("n"), d) / F.col("all")).select(*keep, "w", "p", "low")
-        grams = stored(grams, f"lm-probs-{k + 1}")
-        alphas = grams.groupBy(f"h{k}").agg(((1 - F.sum("p")) / (1 - F.sum("low"))).alias(f"alpha{k}"))
-        model["grams"][k], model["alphas"][k], model["discounts"][k + 1] = grams.select(f"h{k}", "w", F.col("p").alias(f"p{k}")), stored(alphas, f"lm-alphas-{k + 1}"), d
-        lower = grams.select(f"h{k}", "w", F.col("p").alias("low"))
-    return model
-
-
-def probabilities(types: DataFrame, model: dict) -> DataFrame:
-    """Distinct n-grams (h1 .., w) with count (of w in training) and p (probability of w after the longest context)."""
-    out = types.join(model["words"].select("w", F.col("n").alias("count"), F.col("p").alias("p0")), "w", "left")
-    p = F.coalesce("p0", F.lit(model["unknown"]))
-    for k in sorted(model["grams"]):
-        out = out.join(model["grams"][k], [f"h{k}", "w"], "left").join(model["alphas"][k], f"h{k}", "left")
-        p = F.coalesce(F.col(f"p{k}"), F.coalesce(f"alpha{k}", F.lit(1.0)) * p)
-    return out.withColumns({"p": p, "count": F.coalesce("count", F.lit(0))})
-
-
-def scores(docs: DataFrame, training, order: int = 2) -> DataFrame:
+def behind(s: Split, k: int) -> np.ndarray:
+    """For each distinct n-gram of order k: the n-gram of order k - 1 that ends it."""
+    out = np.zeros(len(s.ids[k]), dtype=np.int64)
+    out[s.place[k]] = s.place[k - 1]
+    return out
+
+
+def is_start(s: Split, k: int) -> np.ndarray:
+    out = np.zeros(len(s.ids[k]), dtype=bool)
+    out[s.place[k][s.starts]] = True
+    return out
+
+
+def asked(s: Split, k: int, model: Model) -> np.ndarray:
+    """The contexts (among the n-grams of order k - 1) that evaluation needs: those with a word unseen after them, and
+    those that may have no discounted follower."""
+    c, ctx = s.count[k], before(s, k)
+    need = ((c == 0) & (s.count[k - 1][ctx] > 0)) | (c > model.most)
+    return np.unique(ctx[need & ~is_start(s, k)])
+
+
+def bare_of(s: Split, k: int, ctx: np.ndarray) -> np.ndarray | bool:
+    """Whether each context has followers, none of them discounted by Good and Turing."""
+    known = s.context.get(k)
+    return False if known is None else (known["types"][ctx] > 0) & (known["freed"][ctx] == 0)
+
+
+def summed(texts: DataFrame, replies: DataFrame, model: Model, k: int) -> DataFrame:
+    """Messages `contexts` (a part's table of contexts of order k) and `context` (what a split asked for)."""
+    bits, parts, d = model.bits, model.parts, model.discounts[k]
+
+    def tell(rows: pa.Table, told: pa.Table) -> pa.Table:
+        s = opened(rows, k, bits)
+        informed(s, told, model, k)
+        ctx, low = before(s, k), behind(s, k)
+        mine = s.own[k] & ~is_start(s, k)
+        c, ctx, low = s.count[k][mine], ctx[mine], low[mine]
+        lower = s.count[k - 1][low]
+        # the counts that the shorter model gives to the words seen
+        share = model.unigram(lower) if k == 2 else model.discounts[k - 1].kept(lower, (lower > model.most) & bare_of(s, k - 1, before(s, k - 1)[low]))
+        n = len(s.ids[k - 1])
+        add = lambda w: np.bincount(ctx, weights=w, minlength=n)
+        freed, types, lows = add(c - d.kept(c)), np.bincount(ctx, minlength=n), add(share)
+        want = np.zeros(n, dtype=np.uint8)
+        want[asked(s, k, model)] = 1
+        some = np.flatnonzero((types > 0) | (want > 0))
+        ids, edges = s.ids[k - 1][some], cuts(s.ids[k - 1][some], parts, bits)
+        out = []
+        for p, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            at = some[x:y]
+            if y > x:
+                # the wish is the lowest bit of the number of types
+                out.append(("tell", k, p, s.number, packed_ids(ids[x:y]), packed(freed[at]), packed(small(types[at] * 2 + want[at])), packed(lows[at]), None))
+        return pa.Table.from_batches([messages(out)])
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("split").to_pydict()
+        lists, wishes = [unpacked_ids(x) for x in rows["ids"]], [whole(x) for x in rows["b"]]
+        ids, at = np.unique(np.concatenate(lists), return_inverse=True)
+        total = lambda x: np.bincount(at, weights=x, minlength=len(ids))
+        freed, low = (total(np.concatenate([unpacked(x, np.float64) for x in rows[c]])) for c in ("a", "c"))
+        types = total(np.concatenate(wishes) // 2).astype(np.int64)
+        known = types > 0
+        out, to = [("contexts", k, rows["part"][0], None, packed_ids(ids[known]), packed(freed[known]), packed(small(types[known])), packed(low[known]), None)], 0
+        for split, x, w in zip(rows["split"], lists, wishes, strict=True):
+            here = at[to : to + len(x)][w % 2 > 0]
+            if len(here):
+                out.append(("context", k, rows["part"][0], split, None, packed(freed[here]), packed(small(types[here])), packed(low[here]), None))
+            to += len(x)
+        return pa.Table.from_batches([messages(out)])
+
+    told = texts.groupBy("split").cogroup(replies.where(F.col("level") <= k).groupBy("split")).applyInArrow(tell, MESSAGE)
+    return told.groupBy("part").applyInArrow(add, MESSAGE)
+
+
+def evaluated(texts: DataFrame, replies: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every text."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        s = opened(rows, model.order, model.bits)
+        informed(s, told, model, model.order)
+        c = s.count[1]
+        p = np.where(c > 0, model.unigram(c) / max(1, model.tokens), model.unknown)
+        for k in range(2, model.order + 1):
+            ctx, c, shorter = before(s, k), s.count[k], p[behind(s, k)]
+            mass = s.count[k - 1][ctx]
+            d = model.discounts[k]
+            p = np.where(c > 0, d.kept(c, (c > model.most) & bare_of(s, k, ctx)) / np.maximum(mass, 1), shorter)
+            back = (c == 0) & (mass > 0) & ~is_start(s, k)
+            if back.any():
+                x = ctx[back]
+                known = s.context[k]
+                freed = np.where(bare_of(s, k, x), d.absolute * known["types"][x], known["freed"][x])
+                # the mass of the shorter context
+                under = model.tokens if k == 2 else s.count[k - 2][behind(s, k - 1)[x]]
+                p[back] = freed / mass[back] / np.maximum(1 - known["low"][x] / under, 1e-15) * shorter[back]
+        inside = np.ones(len(s.place[1]), dtype=bool)
+        inside[s.starts] = False
+        c = s.count[1][s.place[1]]
+        total = lambda x: np.add.reduceat(np.where(inside, x, 0), s.starts)
+        with np.errstate(divide="ignore"):
+            score = total(np.log10(np.maximum(p, 1e-300))[s.place[model.order]])
+        base = total(np.log10((c + 1) / float(model.tokens + model.types + 1)))
+        cols = [pa.array(s.doc_ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in (total(1), total(c > 0))), pa.array(base), pa.array(score)]
+        return pa.table(dict(zip(("doc_id", "n_tokens", "n_known", "base_score", "score"), cols, strict=True)))
+
+    return texts.groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def fit(docs: DataFrame, training, order: int = 3, most: int = 5, split_bytes: int = 8 << 20, part_tokens: int = 2_000_000) -> tuple[Model, DataFrame, list[DataFrame]]:
+    """The model, the texts' splits, and the written tables with the messages of each step."""
+    texts = stored(splits(docs, training, split_bytes), "lm-splits")
+    size = int(texts.agg(F.sum("n")).first()[0] or 0)
+    model = Model(order, min(64, 28 + size.bit_length()), max(1, -(-size // part_tokens)), most)
+    tables = [stored(counted(texts, order, model.bits, model.parts, most), "lm-grams", by="what")]
+    each = tables[0].where("what = 'grams'").select("level", F.posexplode("stats").alias("i", "n")).groupBy("level", "i").agg(F.sum("n").alias("n")).collect()
+    stats = {k: [0] * (most + 3) for k in range(1, order + 1)}
+    for r in each:
+        stats[r["level"]][r["i"]] = r["n"]
+    model.tokens, model.types = stats[1][:2]
+    model.discounts = {k: Discounts.of(x[2:]) for k, x in stats.items()}
+    counts = stats[1][2 : 2 + most]
+    model.bare = model.tokens > 0 and not any(counts)
+    if model.tokens:
+        lost = model.discounts[1].absolute * model.types if model.bare else sum(n * (c - float(model.discounts[1].kept(np.array([c]))[0])) for c, n in enumerate(counts, 1))
+        model.unknown = lost / model.tokens
+    for k in range(2, order + 1):
+        tables.append(stored(summed(texts, replies(tables), model, k), f"lm-contexts-{k}", by="what"))
+    return model, texts, tables
+
+
+def replies(tables: list[DataFrame]) -> DataFrame:
+    """All that splits have been answered."""
+    some = [t.where("what in ('reply', 'context')").select("split", "what", "level", "part", "a", "b", "c") for t in tables]
+    out = some[0]
+    for t in some[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def rows_of(tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The model's tables as rows: (level, gram, n), and (level, context, freed, types, low); ids in 64 bits."""
+
+    def grams(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ids = unpacked_ids(r["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["level"], np.int32)), pa.array(ids.view(np.int64)), pa.array(whole(r["a"]))], ["level", "gram", "n"])
+
+    def contexts(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ids = unpacked_ids(r["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["level"], np.int32)), pa.array(ids.view(np.int64)), pa.array(unpacked(r["a"], np.float64)), pa.array(whole(r["b"])), pa.array(unpacked(r["c"], np.float64))], ["level", "context", "freed", "types", "low"])
+
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    return every.where("what = 'grams'").select("level", "ids", "a").mapInArrow(grams, "level int, gram long, n long"), every.where("what = 'contexts'").select("level", "ids", "a", "b", "c").mapInArrow(contexts, "level int, context long, freed double, types long, low double")
+
+
+def scores(docs: DataFrame, training, order: int = 3, **options) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; `training` marks the rows to learn from."""
-    occ = stored(occurrences(docs, order, training), "lm-occurrences")
-    model = fit(occ, order)
-    names = [f"h{k}" for k in range(1, order)] + ["w"]
-    key = names[-2:]
-    types = stored(probabilities(occ.select(*names).distinct(), model).select(*key, "count", F.log10("p").alias("lp")), "lm-types")
-    size = float(model["N"] + model["V"] + 1)
-    n = F.col("n")
-    sums = occ.join(types, key).groupBy("row").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("count") > 0, n).otherwise(0)).alias("n_known"),
-        F.sum(n * F.log10((F.col("count") + 1) / F.lit(size))).alias("base_score"), F.sum(n * F.col("lp")).alias("score"),
-    )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"))
-    same = rows.groupBy("row").agg(F.count("*").alias("rows"))
-    each = sums.join(same, "row")
-    whole = lambda c: (F.col(c) / F.col("rows")).cast("long").alias(c)
-    part = lambda c: (F.col(c) / F.col("rows")).alias(c)
-    each = each.select("row", whole("n_tokens"), whole("n_known"), part("base_score"), part("score"))
-    return rows.join(each, "row").select("doc_id", "n_tokens", "n_known", F.lit(int(model["N"])).cast("long").alias("train_tokens"), "base_score", "score")
+    model, texts, tables = fit(docs, training, order, **options)
+    out = evaluated(texts, replies(tables), model)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -421,23 +421,25 @@ def slow_katz(train, text, order):
     seqs = [katz.tokens(t) for t in train]
     pad = ["<s>"] * (order - 1)
     counts = [Counter(tuple((pad + s)[i - k : i + 1]) for s in seqs for i in range(order - 1, len(s) + order - 1)) for k in range(order)]
-    disc = []
+    disc, flat = [], []
     for c in counts:
         n = Counter(c.values())
         d, a = {}, 6 * n[6] / n[1] if n[1] else 0
         for r in range(1, 6):
             star = (r + 1) * n[r + 1] / n[r] if n[r] else 0
             d[r] = (star / r - a) / (1 - a) if a < 1 else 0
+        b = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
         if not n[1] or not all(0 < x < 1 for x in d.values()):
-            b = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
             d = {r: min(max(1 - b / r, 0.05), 0.999) for r in range(1, 6)}
-        disc.append(d)
+        disc.append(d), flat.append(b)
     total, vocab = sum(counts[0].values()), [w for (w,) in counts[0]]
-    mass = [Counter() for _ in range(order)]
+    followers = [{} for _ in range(order)]
     for k in range(order):
-        for g, c in counts[k].items():
-            mass[k][g[:-1]] += c
-    seen = lambda k, g: disc[k].get(counts[k][g], 1.0) * counts[k][g]
+        for g in counts[k]:
+            followers[k].setdefault(g[:-1], []).append(g)
+    mass = [{h: sum(counts[k][g] for g in gs) for h, gs in followers[k].items()} for k in range(order)]
+    bare = [{h: all(counts[k][g] > 5 for g in gs) for h, gs in followers[k].items()} for k in range(order)]
+    seen = lambda k, g: counts[k][g] - flat[k] if bare[k][g[:-1]] else disc[k].get(counts[k][g], 1.0) * counts[k][g]
     unknown = 1 - sum(seen(0, (w,)) for w in vocab) / total
 
     def p(h, w):
@@ -446,9 +448,9 @@ def slow_katz(train, text, order):
         k = len(h)
         if (*h, w) in counts[k]:
             return seen(k, (*h, w)) / mass[k][h]
-        if not mass[k][h]:
+        if h not in mass[k]:
             return p(h[1:], w)
-        after = [g[-1] for g in counts[k] if g[:-1] == h]
+        after = [g[-1] for g in followers[k][h]]
         return (1 - sum(seen(k, (*h, x)) for x in after) / mass[k][h]) / (1 - sum(p(h[1:], x) for x in after)) * p(h[1:], w)
 
     # exactly normalised after any context
@@ -473,6 +475,29 @@ def test_katz_brute_force(spark, order):
         assert r.score == pytest.approx(want) and r.base_score == pytest.approx(base)
 
 
+def test_katz_gives_no_word_probability_zero(spark):
+    """Contexts, and whole training sets, in which all counts are high; held-out texts with unseen words in them."""
+    for train, asked in (["a b"] * 9 + ["c d e"] * 8 + ["a f"] * 2, ["a d", "a zzz", "c d b", "c a"]), (["a b a b a b"] * 7, ["zzz", "a zzz b"]):
+        docs = docs_of(spark, train + asked)
+        got = {r.doc_id: r.score for r in katz.scores(docs, F.col("doc_id") < len(train)).collect()}
+        for i, t in enumerate(asked, len(train)):
+            assert got[i] < 0 and got[i] == pytest.approx(slow_katz(train, t, 3)[0])
+
+
+def test_katz_many_splits_and_parts(spark):
+    """Splits of one text and parts of a few tokens give what one split and part gives; the tables hold the counts."""
+    texts = [" ".join(rng_words(30, i, 9)) for i in range(25)] + [None, ""]
+    docs = docs_of(spark, texts).repartition(3, "doc_id")
+    one, many = ({(r.doc_id, round(r.score, 9), round(r.base_score, 9), r.n_known) for r in katz.scores(docs, F.col("doc_id") % 3 > 0, **o).collect()} for o in ({}, {"split_bytes": 1, "part_tokens": 50}))
+    assert one == many and len(one) == 27
+    model, _, tables = katz.fit(docs, F.col("doc_id") % 3 > 0, split_bytes=100, part_tokens=50)
+    grams, contexts = (t.toPandas() for t in katz.rows_of(tables))
+    seqs = [katz.tokens(t) for i, t in enumerate(texts) if i % 3]
+    pairs = Counter(p for s in seqs for p in zip(["<s>", *s], s, strict=False))
+    assert model.parts > 10 and sorted(grams[grams["level"] == 2]["n"]) == sorted([*pairs.values(), len(seqs)])
+    assert sorted(contexts[contexts["level"] == 2]["types"]) == sorted(Counter(a for a, _ in pairs).values())
+
+
 def test_katz_odd(odd, none):
     got = katz.scores(odd, F.lit(True)).collect()
     assert len(got) == odd.count() and all(r.score <= 1e-9 for r in got)
