@@ -2,22 +2,25 @@
 
 Model.  P(w | h) = D(c) / c(h) where the n-gram h w occurs c times, else alpha(h) P(w | shorter h).  D(c) is c times Good and
 Turing's discount for counts up to `most`; higher counts are trusted.  Where every follower of h has a higher count, Good and
-Turing free no mass in h; there D(c) = c - d with the absolute discount d = n1 / (n1 + 2 n2) of the order (1/2 without n1), so that
-no word ever has probability 0.  alpha(h) is the mass freed in h over the mass that the shorter model gives to the words not seen
-after h, summed exactly over the words seen.  What the unigrams free goes to one unknown type, so that all probabilities sum to 1.
-
-Tables.  `fit` writes, for each order, the n-gram counts, and for each context the freed mass, the number of followers and the
-sum of their lower-order counts; both in parts by ranges of the n-gram's id.  An id is a chained hash; its width is 28 bits more
-than the number of tokens needs, so an n-gram meets another one's id with a probability of some 2**-28 at any size.
-`rows_of` gives a table's rows.
+Turing free no mass in h; there c(h) is raised by the absolute discount d = n1 / (n1 + 2 n2) of the order (1/2 without n1) for each
+follower, so that no word ever has probability 0.  alpha(h) is the mass freed in h over the mass that the shorter model gives to the
+words not seen after h, summed exactly over the words seen.  What the unigrams free goes to one unknown type, so that all
+probabilities sum to 1.
 
 Exchange.  Texts are tokenised once and kept in splits of about `split_bytes`, as indices into a split's vocabulary.  A split sends
-each part the sorted ids of its distinct n-grams with their counts, and gets back the totals for exactly those ids; the first split
-that learned an n-gram owns it, and speaks for it where contexts are summed.  So a frequent n-gram or word travels once
-a split, and no task holds more than a split or a part.  A split and a part share about split tokens * part tokens / all
-tokens ids; with very many splits both sizes should grow with the executors' memory.
+each part (a range of n-gram ids) the sorted ids of its distinct n-grams with their counts, and gets back the totals for exactly those
+ids; the first split that learned an n-gram owns it, and speaks for it where contexts are summed.  So a frequent n-gram or word
+travels once a split, and no task holds more than a split or a part.  An id is a chained hash; it has 22 bits more than the number of tokens needs
+(words: 26), so that an n-gram meets another one's id with a probability of 2**-22 (words: 2**-26) at any size, up to 64 bits.  A split and a part share about split tokens * part tokens / all tokens ids; with very many splits both sizes should
+grow with the executors' memory.
+
+Tables.  `fit` writes the counts by order and part, as the totals that each split asked for, with a mark at the split that owns
+the n-gram; and for each context, by order and part, the freed mass, the number of followers and the sum of their lower-order counts.
+`rows_of` gives both as rows.
 
-Evaluation.  Every token is evaluated by the recursion over the orders, with the totals its split got back.
+Evaluation.  Every token goes down the orders by the recursion, as far as its n-grams are unknown.  A split sums the logarithms that its
+counts decide, and notes for each text the contexts whose alpha it needs, or that may have been raised; those it gets back with the
+sums over contexts, and adds.
 
 Tokens.  A-Z are lower-cased; tokens are runs of characters other than blanks and \\t\\n\\v\\f\\r, then one end.
 
@@ -38,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import word_hash
-from .common import mix64, slices, stored
+from .common import drop, mix64, slices, stored
+from .packing import bundled, cuts, packed, packed_ids, packed_values, small, unbundled, unpacked, unpacked_ids, unpacked_values, whole
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -75,27 +79,6 @@ class Vocabulary(dict):
         return i
 
 
-def packed(x: np.ndarray) -> bytes:
-    """An array as compressed byte planes, with its item size and length in front."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
-
-
-def unpacked(raw: bytes, kind) -> np.ndarray:
-    size, n = raw[0], int.from_bytes(raw[1:9], "little")
-    planes = np.frombuffer(pa.decompress(raw[9:], size * n, codec="zstd"), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(-1)
-
-
-def packed_ids(ids: np.ndarray) -> bytes:
-    """Sorted ids by their differences."""
-    return packed(np.diff(ids, prepend=np.uint64(0)))
-
-
-def unpacked_ids(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(raw, np.uint64), dtype=np.uint64)
-
-
 def splits(docs: DataFrame, training, split_bytes: int) -> DataFrame:
     """The tokenised texts: a vocabulary's hashes, and the words of all documents as indices, each text with a start in front."""
 
@@ -129,12 +112,11 @@ class Split:
     doc_ids: list
     starts: np.ndarray  # where each text has its start
     train: np.ndarray  # positions to learn from
-    grams: list[np.ndarray]  # by order: the id of the n-gram that ends at each position
+    grams: list[np.ndarray | None]  # by order: the id of the n-gram that ends at each position, until `distinct` has taken it
     ids: dict[int, np.ndarray] = field(default_factory=dict)  # by order: the distinct ids, sorted
     place: dict[int, np.ndarray] = field(default_factory=dict)  # by order: which of them ends at each position
     count: dict[int, np.ndarray] = field(default_factory=dict)  # by order: how often training texts have them
     own: dict[int, np.ndarray] = field(default_factory=dict)  # by order: those that this split speaks for
-    context: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)  # by order: freed mass and so on of the contexts asked for
 
 
 def opened(rows: pa.Table, order: int, bits: int) -> Split:
@@ -149,24 +131,25 @@ def opened(rows: pa.Table, order: int, bits: int) -> Split:
         g[1:] = mix64(grams[-1][:-1] * np.uint64(31) + h[1:] + np.uint64(k))
         g[starts] = PAD * np.uint64(k)
         grams.append(g)
-    shift = np.uint64(64 - bits)
-    return Split(row["split"], row["doc_ids"], starts, np.repeat(np.array(row["train"], dtype=bool), sizes), [g >> shift for g in grams])
+    ids = [g >> np.uint64(64 - width(k, bits)) for k, g in enumerate(grams, 1)]
+    return Split(row["split"], row["doc_ids"], starts, np.repeat(np.array(row["train"], dtype=bool), sizes), ids)
+
+
+def width(k: int, bits: int) -> int:
+    """Bits of the ids of order k."""
+    return bits if k > 1 else min(64, bits + 4)
 
 
 def start_ids(order: int, bits: int) -> list[np.uint64]:
     """By order: the id of the start, which is a context and no token."""
-    return [np.uint64(word_hash(START)) >> np.uint64(64 - bits)] + [PAD * np.uint64(k) >> np.uint64(64 - bits) for k in range(2, order + 1)]
+    return [np.uint64(word_hash(START)) >> np.uint64(64 - width(1, bits))] + [PAD * np.uint64(k) >> np.uint64(64 - bits) for k in range(2, order + 1)]
 
 
 def distinct(s: Split, levels) -> None:
     for k in levels:
-        s.ids[k], s.place[k] = np.unique(s.grams[k - 1], return_inverse=True)
-
-
-def cuts(ids: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Where the parts' ranges begin and end in sorted ids."""
-    bounds = np.array([(p << bits) // parts for p in range(1, parts)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(ids, bounds), [len(ids)]])
+        s.ids[k], place = np.unique(s.grams[k - 1], return_inverse=True)
+        s.place[k] = place.astype(np.int32)
+        s.grams[k - 1] = None
 
 
 def messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -174,26 +157,18 @@ def messages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)], NAMES)
 
 
-def small(x: np.ndarray) -> np.ndarray:
-    """Whole numbers in 4 bytes where they fit."""
-    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
-
-
-def whole(raw: bytes) -> np.ndarray:
-    return unpacked(raw, np.uint32 if raw[0] == 4 else np.uint64).astype(np.int64)
-
-
-def counted(texts: DataFrame, order: int, bits: int, parts: int, most: int) -> DataFrame:
-    """Messages `grams` (the counts of a part) and `reply` (the totals a split asked for)."""
+def counted(texts: DataFrame, levels: list[int], bits: int, parts: int, most: int) -> DataFrame:
+    """Messages `reply` (the totals a split asked for) and `stats` (tokens, types and counts of counts of a part)."""
+    order = max(levels)
 
     def ask(batches):
         for b in batches:
             for i in range(b.num_rows):
                 s = opened(pa.Table.from_batches([b.slice(i, 1)]), order, bits)
-                for k in range(1, order + 1):
+                for k in levels:
                     distinct(s, [k])
                     n = np.bincount(s.place[k][s.train], minlength=len(s.ids[k]))
-                    edges = cuts(s.ids[k], parts, bits)
+                    edges = cuts(s.ids[k], parts, width(k, bits))
                     yield messages([("ask", k, p, s.number, packed_ids(s.ids[k][x:y]), packed(small(n[x:y])), None, None, None) for p, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x])
                     del s.ids[k], s.place[k]
 
@@ -216,10 +191,9 @@ def counted(texts: DataFrame, order: int, bits: int, parts: int, most: int) -> D
         own[first[total > 0]] = 1
         back = np.empty(len(ids), dtype=np.int64)
         back[by] = total[np.cumsum(new) - 1]
-        known = ordered[at][total > 0], total[total > 0]
-        real = known[1][known[0] != starts[level - 1]]
+        real = total[(total > 0) & (ordered[at] != starts[level - 1])]
         stats = [int(real.sum()), len(real), *np.bincount(np.minimum(real, most + 2), minlength=most + 3)[1 : most + 2].tolist()]
-        out, to = [("grams", level, part, None, packed_ids(known[0]), packed(small(known[1])), None, None, stats)], 0
+        out, to = [("stats", level, part, None, None, None, None, None, stats)], 0
         for split, x in zip(rows["split"], lists, strict=True):
             here = slice(to, to + len(x))
             out.append(("reply", level, part, split, None, packed(small(back[here])), packed(own[here]), None, None))
@@ -253,9 +227,9 @@ class Discounts:
             d = {c: min(max(1 - b / c, 0.05), 0.999) for c in range(1, most + 1)}
         return Discounts(np.array([1.0, *(d[c] for c in sorted(d)), 1.0]), b, most)
 
-    def kept(self, c: np.ndarray, bare: np.ndarray | bool = False) -> np.ndarray:
-        """D(c); bare: the context has no follower that Good and Turing discount."""
-        return np.where(bare, c - self.absolute, c * self.factor[np.minimum(c, self.most + 1)])
+    def kept(self, c: np.ndarray) -> np.ndarray:
+        """D(c)."""
+        return c * self.factor[np.minimum(c, self.most + 1)]
 
 
 @dataclass
@@ -269,204 +243,221 @@ class Model:
     tokens: int = 0
     types: int = 0
     discounts: dict[int, Discounts] = field(default_factory=dict)
-    bare: bool = False  # no unigram is discounted by Good and Turing
+    mass: float = 1.0  # of the unigrams: tokens, or more where Good and Turing free nothing
     unknown: float = 1.0
 
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        """D(c) of unigrams."""
-        return self.discounts[1].kept(c, self.bare)
-
 
-def informed(s: Split, replies: pa.Table, model: Model, levels: int) -> None:
-    """Put the replies of the first `levels` orders into the split."""
-    rows = replies.select(["what", "level", "part", "a", "b", "c"]).sort_by([("level", "ascending"), ("part", "ascending")]).to_pylist()
-    for k in range(1, levels + 1):
+def informed(s: Split, replies: pa.Table, order: int) -> None:
+    """Put the counts that the split got back into it."""
+    rows = replies.select(["level", "part", "a", "b"]).sort_by([("level", "ascending"), ("part", "ascending")]).to_pylist()
+    for k in range(1, order + 1):
         distinct(s, [k])
-        mine = [r for r in rows if r["what"] == "reply" and r["level"] == k]
-        s.count[k] = np.concatenate([whole(r["a"]) for r in mine])
-        s.own[k] = np.concatenate([unpacked(r["b"], np.uint8) for r in mine]).astype(bool)
-    for k in range(2, levels + 1):
-        if mine := [r for r in rows if r["what"] == "context" and r["level"] == k]:
-            got = [np.concatenate(x) for x in zip(*((unpacked(r["a"], np.float64), whole(r["b"]), unpacked(r["c"], np.float64)) for r in mine), strict=True)]
-            lower = len(s.ids[k - 1])
-            s.context[k] = {name: np.zeros(lower) for name in ("freed", "types", "low")}
-            for name, x in zip(s.context[k], got, strict=True):
-                s.context[k][name][asked(s, k, model)] = x
+        s.count[k] = np.concatenate([whole(r["a"]) for r in rows if r["level"] == k])
+        s.own[k] = np.concatenate([unpacked(r["b"], np.uint8) for r in rows if r["level"] == k]).astype(bool)
 
 
 def before(s: Split, k: int) -> np.ndarray:
     """For each distinct n-gram of order k: its context among the distinct n-grams of order k - 1 (0 for a text's start)."""
-    out = np.zeros(len(s.ids[k]), dtype=np.int64)
-    inside = np.ones(len(s.place[k]), dtype=bool)
-    inside[s.starts] = False
-    at = np.flatnonzero(inside)
-    out[s.place[k][at]] = s.place[k - 1][at - 1]
+    out = np.zeros(len(s.ids[k]), dtype=np.int32)
+    out[s.place[k][1:]] = s.place[k - 1][:-1]
+    out[s.place[k][s.starts]] = 0
     return out
 
 
 def behind(s: Split, k: int) -> np.ndarray:
     """For each distinct n-gram of order k: the n-gram of order k - 1 that ends it."""
-    out = np.zeros(len(s.ids[k]), dtype=np.int64)
+    out = np.zeros(len(s.ids[k]), dtype=np.int32)
     out[s.place[k]] = s.place[k - 1]
     return out
 
 
-def is_start(s: Split, k: int) -> np.ndarray:
-    out = np.zeros(len(s.ids[k]), dtype=bool)
-    out[s.place[k][s.starts]] = True
+def no_start(s: Split, k: int) -> np.ndarray:
+    out = np.ones(len(s.ids[k]), dtype=bool)
+    out[s.place[k][s.starts]] = False
     return out
 
 
-def asked(s: Split, k: int, model: Model) -> np.ndarray:
-    """The contexts (among the n-grams of order k - 1) that evaluation needs: those with a word unseen after them, and
-    those that may have no discounted follower."""
-    c, ctx = s.count[k], before(s, k)
-    need = ((c == 0) & (s.count[k - 1][ctx] > 0)) | (c > model.most)
-    return np.unique(ctx[need & ~is_start(s, k)])
+def told_contexts(s: Split, k: int, ctx: np.ndarray, low: np.ndarray, want: np.ndarray, model: Model) -> list[tuple]:
+    """What the split's own n-grams of order k add to their contexts, and which contexts it asks for."""
+    mine = s.own[k] & no_start(s, k)
+    c, ctx, lower = s.count[k][mine], ctx[mine], s.count[k - 1][low[mine]]
+    n = len(s.ids[k - 1])
+    add = lambda w: np.bincount(ctx, weights=w, minlength=n)
+    # the lower-order counts of the words seen, as the shorter model discounts them
+    freed, types, lows = add(c - model.discounts[k].kept(c)), np.bincount(ctx, minlength=n), add(model.discounts[k - 1].kept(lower))
+    wish = np.zeros(n, dtype=np.int64)
+    wish[want] = 1
+    some = np.flatnonzero((types > 0) | (wish > 0))
+    ids, out = s.ids[k - 1][some], []
+    edges = cuts(ids, model.parts, width(k - 1, model.bits))
+    for p, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        at = some[x:y]
+        if y > x:
+            # the wish is the lowest bit of the number of types
+            out.append(("tell", k, p, s.number, packed_ids(ids[x:y]), packed_values(freed[at]), packed(small(types[at] * 2 + wish[at])), packed_values(lows[at]), None))
+    return out
+
 
+def partly_scored(s: Split, ctx: dict, low: dict, model: Model) -> tuple[dict[int, np.ndarray], tuple]:
+    """By order the contexts to ask for, and the message with what counts decide and what waits for those contexts."""
+    order, most = model.order, model.most
+    c = s.count[1]
+    known, unseen, raised, seldom = np.log10(np.where(c > 0, model.discounts[1].kept(c) / model.mass, model.unknown)), {}, {}, {}
+    for k in range(2, order + 1):
+        c, real = s.count[k], no_start(s, k)
+        mass = s.count[k - 1][ctx[k]]
+        # contexts that the split knows a discounted follower of can't have been raised
+        seldom[k] = np.zeros(len(s.ids[k - 1]), dtype=bool)
+        seldom[k][ctx[k][real & (c > 0) & (c <= most)]] = True
+        unseen[k], raised[k] = real & (c == 0) & (mass > 0), real & (c > most) & ~seldom[k][ctx[k]]
+        known = np.where(c > 0, np.log10(np.maximum(model.discounts[k].kept(c), 1e-9) / np.maximum(mass, 1)), known[low[k]])
+    n, inside = len(s.doc_ids), np.ones(len(s.place[1]), dtype=bool)
+    inside[s.starts] = False
+    total = lambda x: np.add.reduceat(np.where(inside, x, 0), s.starts)
+    c = s.count[1][s.place[1]]
+    texts = bundled([packed(small(total(1))), packed(small(total(c > 0))), packed(total(np.log10((c + 1) / float(model.tokens + model.types + 1)))), packed(total(known[s.place[order]]))])
+    # tokens go down the orders
+    doc, at, hit = np.cumsum(~inside) - 1, np.flatnonzero(inside), {}
+    for k in range(order, 1, -1):
+        u = s.place[k][at]
+        hit[k] = [(ctx[k][u[x]], doc[at[x]]) for x in (unseen[k][u], raised[k][u])]
+        at = at[s.count[k][u] == 0]
+    asked, waits = {}, []
+    for k in range(2, order + 1):
+        # also the shorter contexts of contexts with unseen words, if they may have been raised
+        shorter = low[k][np.unique(hit[k + 1][0][0])] if k < order else np.zeros(0, dtype=np.int64)
+        asked[k] = np.unique(np.concatenate([hit[k][0][0], hit[k][1][0], shorter[~seldom[k][shorter]]]))
+        under = low[k - 1][asked[k]] if k > 2 else None
+        if k > 2:
+            spot = np.minimum(np.searchsorted(asked[k - 1], under), max(0, len(asked[k - 1]) - 1))
+            spot = np.where(asked[k - 1][spot] == under, spot + 1, 0) if len(asked[k - 1]) else np.zeros(len(under), dtype=np.int64)
+        waits += [packed(small(s.count[k - 1][asked[k]])), packed(small(s.count[k - 2][under] if k > 2 else np.zeros(0))), packed(small(spot if k > 2 else np.zeros(0)))]
+        for x, d in hit[k]:
+            pair, times = np.unique(np.searchsorted(asked[k], x) * n + d, return_counts=True)
+            waits += [packed_ids(pair.astype(np.uint64)), packed(small(times))]
+    return asked, ("partial", 0, 0, s.number, None, texts, bundled(waits), None, s.doc_ids)
+
+
+def told(texts: DataFrame, replies: DataFrame, model: Model) -> DataFrame:
+    """Messages `tell` (what a split adds to contexts, and asks of them) and `partial` (what it knows of its texts)."""
 
-def bare_of(s: Split, k: int, ctx: np.ndarray) -> np.ndarray | bool:
-    """Whether each context has followers, none of them discounted by Good and Turing."""
-    known = s.context.get(k)
-    return False if known is None else (known["types"][ctx] > 0) & (known["freed"][ctx] == 0)
+    def tell(rows: pa.Table, told: pa.Table) -> pa.Table:
+        s = opened(rows, model.order, model.bits)
+        informed(s, told, model.order)
+        ctx, low = ({k: f(s, k) for k in range(2, model.order + 1)} for f in (before, behind))
+        asked, partial = partly_scored(s, ctx, low, model)
+        return pa.Table.from_batches([messages([partial, *(m for k in ctx for m in told_contexts(s, k, ctx[k], low[k], asked[k], model))])])
 
+    return texts.groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(tell, MESSAGE)
 
-def summed(texts: DataFrame, replies: DataFrame, model: Model, k: int) -> DataFrame:
-    """Messages `contexts` (a part's table of contexts of order k) and `context` (what a split asked for)."""
-    bits, parts, d = model.bits, model.parts, model.discounts[k]
 
-    def tell(rows: pa.Table, told: pa.Table) -> pa.Table:
-        s = opened(rows, k, bits)
-        informed(s, told, model, k)
-        ctx, low = before(s, k), behind(s, k)
-        mine = s.own[k] & ~is_start(s, k)
-        c, ctx, low = s.count[k][mine], ctx[mine], low[mine]
-        lower = s.count[k - 1][low]
-        # the counts that the shorter model gives to the words seen
-        share = model.unigram(lower) if k == 2 else model.discounts[k - 1].kept(lower, (lower > model.most) & bare_of(s, k - 1, before(s, k - 1)[low]))
-        n = len(s.ids[k - 1])
-        add = lambda w: np.bincount(ctx, weights=w, minlength=n)
-        freed, types, lows = add(c - d.kept(c)), np.bincount(ctx, minlength=n), add(share)
-        want = np.zeros(n, dtype=np.uint8)
-        want[asked(s, k, model)] = 1
-        some = np.flatnonzero((types > 0) | (want > 0))
-        ids, edges = s.ids[k - 1][some], cuts(s.ids[k - 1][some], parts, bits)
-        out = []
-        for p, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            at = some[x:y]
-            if y > x:
-                # the wish is the lowest bit of the number of types
-                out.append(("tell", k, p, s.number, packed_ids(ids[x:y]), packed(freed[at]), packed(small(types[at] * 2 + want[at])), packed(lows[at]), None))
-        return pa.Table.from_batches([messages(out)])
+def summed(tells: DataFrame) -> DataFrame:
+    """Messages `contexts` (a part's table of contexts) and `context` (what a split asked for)."""
 
     def add(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("split").to_pydict()
+        level, part = rows["level"][0], rows["part"][0]
         lists, wishes = [unpacked_ids(x) for x in rows["ids"]], [whole(x) for x in rows["b"]]
         ids, at = np.unique(np.concatenate(lists), return_inverse=True)
         total = lambda x: np.bincount(at, weights=x, minlength=len(ids))
-        freed, low = (total(np.concatenate([unpacked(x, np.float64) for x in rows[c]])) for c in ("a", "c"))
+        freed, low = (total(np.concatenate([unpacked_values(x) for x in rows[c]])) for c in ("a", "c"))
         types = total(np.concatenate(wishes) // 2).astype(np.int64)
         known = types > 0
-        out, to = [("contexts", k, rows["part"][0], None, packed_ids(ids[known]), packed(freed[known]), packed(small(types[known])), packed(low[known]), None)], 0
+        out, to = [("contexts", level, part, None, packed_ids(ids[known]), packed_values(freed[known]), packed(small(types[known])), packed_values(low[known]), None)], 0
         for split, x, w in zip(rows["split"], lists, wishes, strict=True):
             here = at[to : to + len(x)][w % 2 > 0]
             if len(here):
-                out.append(("context", k, rows["part"][0], split, None, packed(freed[here]), packed(small(types[here])), packed(low[here]), None))
+                out.append(("context", level, part, split, None, packed_values(freed[here]), packed(small(types[here])), packed_values(low[here]), None))
             to += len(x)
         return pa.Table.from_batches([messages(out)])
 
-    told = texts.groupBy("split").cogroup(replies.where(F.col("level") <= k).groupBy("split")).applyInArrow(tell, MESSAGE)
-    return told.groupBy("part").applyInArrow(add, MESSAGE)
+    return tells.where("what = 'tell'").groupBy("level", "part").applyInArrow(add, MESSAGE)
 
 
-def evaluated(texts: DataFrame, replies: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every text."""
+def evaluated(tells: DataFrame, contexts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every text, from the messages `context` and `partial`."""
 
-    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        s = opened(rows, model.order, model.bits)
-        informed(s, told, model, model.order)
-        c = s.count[1]
-        p = np.where(c > 0, model.unigram(c) / max(1, model.tokens), model.unknown)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("level", "ascending"), ("part", "ascending")]).to_pylist()
+        ids, whole_of = rows[0]["stats"], [r for r in rows if r["what"] == "context"]
+        tokens_, known_, base, score = (f(x) for f, x in zip((whole, whole, lambda x: unpacked(x, np.float64), lambda x: unpacked(x, np.float64)), unbundled(rows[0]["a"]), strict=True))
+        waits, extra = iter(unbundled(rows[0]["b"])), np.zeros(0)
         for k in range(2, model.order + 1):
-            ctx, c, shorter = before(s, k), s.count[k], p[behind(s, k)]
-            mass = s.count[k - 1][ctx]
-            d = model.discounts[k]
-            p = np.where(c > 0, d.kept(c, (c > model.most) & bare_of(s, k, ctx)) / np.maximum(mass, 1), shorter)
-            back = (c == 0) & (mass > 0) & ~is_start(s, k)
-            if back.any():
-                x = ctx[back]
-                known = s.context[k]
-                freed = np.where(bare_of(s, k, x), d.absolute * known["types"][x], known["freed"][x])
-                # the mass of the shorter context
-                under = model.tokens if k == 2 else s.count[k - 2][behind(s, k - 1)[x]]
-                p[back] = freed / mass[back] / np.maximum(1 - known["low"][x] / under, 1e-15) * shorter[back]
-        inside = np.ones(len(s.place[1]), dtype=bool)
-        inside[s.starts] = False
-        c = s.count[1][s.place[1]]
-        total = lambda x: np.add.reduceat(np.where(inside, x, 0), s.starts)
-        with np.errstate(divide="ignore"):
-            score = total(np.log10(np.maximum(p, 1e-300))[s.place[model.order]])
-        base = total(np.log10((c + 1) / float(model.tokens + model.types + 1)))
-        cols = [pa.array(s.doc_ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in (total(1), total(c > 0))), pa.array(base), pa.array(score)]
+            mass, under, spot = (whole(next(waits)) for _ in range(3))
+            mine = [r for r in whole_of if r["level"] == k]
+            freed, types, low = (np.concatenate([f(r[c]) for r in mine]) if mine else np.zeros(0) for c, f in (("a", unpacked_values), ("b", whole), ("c", unpacked_values)))
+            # the shorter context may have been raised too
+            under = model.mass if k == 2 else under + np.concatenate([[0.0], extra])[spot]
+            # what a context without discounted followers is raised by
+            extra = np.where(freed == 0, model.discounts[k].absolute * types, 0.0)
+            alpha = np.log10((freed + extra) / (mass + extra) / np.maximum(1 - low / under, 1e-15)) if len(mass) else mass
+            for value in (alpha, np.log10(mass / (mass + extra)) if len(mass) else mass):
+                pair, times = unpacked_ids(next(waits)).astype(np.int64), whole(next(waits))
+                score = score + np.bincount(pair % len(ids), weights=value[pair // len(ids)] * times, minlength=len(ids))
+        cols = [pa.array(ids, pa.int64()), *map(pa.array, (tokens_, known_, base, score))]
         return pa.table(dict(zip(("doc_id", "n_tokens", "n_known", "base_score", "score"), cols, strict=True)))
 
-    return texts.groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    pick = lambda t, what: t.where(F.col("what") == what).select("split", "what", "level", "part", "a", "b", "c", "stats")
+    return pick(tells, "partial").unionByName(pick(contexts, "context")).groupBy("split").applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
 
+def fit(docs: DataFrame, training, order: int = 3, most: int = 5, split_bytes: int = 8 << 20, part_tokens: int = 1_000_000, keep: bool = True) -> tuple[Model, DataFrame, list[DataFrame]]:
+    """The model, the texts' splits, and the written tables with the messages of each step.
 
-def fit(docs: DataFrame, training, order: int = 3, most: int = 5, split_bytes: int = 8 << 20, part_tokens: int = 2_000_000) -> tuple[Model, DataFrame, list[DataFrame]]:
-    """The model, the texts' splits, and the written tables with the messages of each step."""
+    keep: the splits and the counts stay, for `rows_of`; evaluation needs the last two tables alone.
+    """
     texts = stored(splits(docs, training, split_bytes), "lm-splits")
     size = int(texts.agg(F.sum("n")).first()[0] or 0)
-    model = Model(order, min(64, 28 + size.bit_length()), max(1, -(-size // part_tokens)), most)
-    tables = [stored(counted(texts, order, model.bits, model.parts, most), "lm-grams", by="what")]
-    each = tables[0].where("what = 'grams'").select("level", F.posexplode("stats").alias("i", "n")).groupBy("level", "i").agg(F.sum("n").alias("n")).collect()
+    model = Model(order, min(64, 22 + size.bit_length()), max(1, -(-size // part_tokens)), most)
+    # the longest n-grams apart, so that not all orders' ids are on their way at once
+    tables = [stored(counted(texts, levels, model.bits, model.parts, most), "lm-grams", by="what") for levels in ([order], list(range(1, order))) if levels]
     stats = {k: [0] * (most + 3) for k in range(1, order + 1)}
-    for r in each:
-        stats[r["level"]][r["i"]] = r["n"]
+    for t in tables:
+        for r in t.where("what = 'stats'").select("level", F.posexplode("stats").alias("i", "n")).groupBy("level", "i").agg(F.sum("n").alias("n")).collect():
+            stats[r["level"]][r["i"]] = r["n"]
     model.tokens, model.types = stats[1][:2]
     model.discounts = {k: Discounts.of(x[2:]) for k, x in stats.items()}
-    counts = stats[1][2 : 2 + most]
-    model.bare = model.tokens > 0 and not any(counts)
     if model.tokens:
-        lost = model.discounts[1].absolute * model.types if model.bare else sum(n * (c - float(model.discounts[1].kept(np.array([c]))[0])) for c, n in enumerate(counts, 1))
-        model.unknown = lost / model.tokens
-    for k in range(2, order + 1):
-        tables.append(stored(summed(texts, replies(tables), model, k), f"lm-contexts-{k}", by="what"))
+        counts = stats[1][2 : 2 + most]
+        lost = sum(n * (c - float(model.discounts[1].kept(np.array([c]))[0])) for c, n in enumerate(counts, 1))
+        extra = 0.0 if any(counts) else model.discounts[1].absolute * model.types
+        model.mass = model.tokens + extra
+        model.unknown = (lost + extra) / model.mass
+    tables.append(stored(told(texts, replies(tables), model), "lm-told", by="what"))
+    if not keep:
+        drop(texts, *tables[:-1])
+    tables.append(stored(summed(tables[-1]), "lm-contexts", by="what"))
     return model, texts, tables
 
 
 def replies(tables: list[DataFrame]) -> DataFrame:
-    """All that splits have been answered."""
-    some = [t.where("what in ('reply', 'context')").select("split", "what", "level", "part", "a", "b", "c") for t in tables]
-    out = some[0]
-    for t in some[1:]:
-        out = out.unionByName(t)
-    return out
+    """The counts that splits have got back."""
+    some = [t.where("what = 'reply'").select("split", "level", "part", "a", "b") for t in tables]
+    return some[0].unionByName(some[1]) if len(some) > 1 else some[0]
 
 
-def rows_of(tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def rows_of(model: Model, texts: DataFrame, tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The model's tables as rows: (level, gram, n), and (level, context, freed, types, low); ids in 64 bits."""
 
-    def grams(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids = unpacked_ids(r["ids"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["level"], np.int32)), pa.array(ids.view(np.int64)), pa.array(whole(r["a"]))], ["level", "gram", "n"])
+    def grams(rows: pa.Table, told: pa.Table) -> pa.Table:
+        s = opened(rows, model.order, model.bits)
+        informed(s, told, model.order)
+        mine = [(k, s.own[k] & no_start(s, k)) for k in s.ids]
+        cols = [np.concatenate(x) for x in zip(*((np.full(m.sum(), k, np.int32), s.ids[k][m].view(np.int64), s.count[k][m]) for k, m in mine), strict=True)]
+        return pa.table(dict(zip(("level", "gram", "n"), map(pa.array, cols), strict=True)))
 
     def contexts(batches):
         for b in batches:
             for r in b.to_pylist():
                 ids = unpacked_ids(r["ids"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["level"], np.int32)), pa.array(ids.view(np.int64)), pa.array(unpacked(r["a"], np.float64)), pa.array(whole(r["b"])), pa.array(unpacked(r["c"], np.float64))], ["level", "context", "freed", "types", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["level"], np.int32)), pa.array(ids.view(np.int64)), pa.array(unpacked_values(r["a"])), pa.array(whole(r["b"])), pa.array(unpacked_values(r["c"]))], ["level", "context", "freed", "types", "low"])
 
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    return every.where("what = 'grams'").select("level", "ids", "a").mapInArrow(grams, "level int, gram long, n long"), every.where("what = 'contexts'").select("level", "ids", "a", "b", "c").mapInArrow(contexts, "level int, context long, freed double, types long, low double")
+    counts = texts.groupBy("split").cogroup(replies(tables[:-2]).groupBy("split")).applyInArrow(grams, "level int, gram long, n long")
+    return counts, tables[-1].where("what = 'contexts'").select("level", "ids", "a", "b", "c").mapInArrow(contexts, "level int, context long, freed double, types long, low double")
 
 
 def scores(docs: DataFrame, training, order: int = 3, **options) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; `training` marks the rows to learn from."""
-    model, texts, tables = fit(docs, training, order, **options)
-    out = evaluated(texts, replies(tables), model)
+    model, _, tables = fit(docs, training, order, keep=False, **options)
+    out = evaluated(*tables[-2:], model)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
