@@ -9,9 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import bases
 from .functions.rng import categorical
 from .operators import calls as C
+from .operators import ancestry, evolve
 from .operators import simulate as S
+from .operators import stats as S_
 from .sources import newick, writers
 
 # State letters of the supported substitution models.
@@ -26,7 +29,7 @@ def substitution(model, kappa: float = 1.0, pi=None) -> tuple[str, np.ndarray, n
     """(letters, root distribution, matrix of a substitution) of a named model, or of a given triple.
 
     JC69: every other base; BINARY: the other state; HKY: transitions kappa times as likely.  The amino-acid models
-    take their published matrices as a triple.
+    take their published matrices as a triple, which `rate_file` makes of a file.
     """
     if not isinstance(model, str):
         return model
@@ -46,14 +49,38 @@ def substitution(model, kappa: float = 1.0, pi=None) -> tuple[str, np.ndarray, n
     return letters, root, q / q.sum(axis=1, keepdims=True)
 
 
+def rate_file(path: str, letters: str = ALPHABETS["PAM"]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The triple of an amino-acid model from a file of exchange rates: the lower triangle of a symmetric matrix, row by row, then
+    the equilibrium frequencies, all divided by white space; what follows is a comment."""
+    n, numbers = len(letters), []
+    with open(path) as f:
+        for word in f.read().split():
+            try:
+                numbers.append(float(word))
+            except ValueError:
+                break
+    need = n * (n - 1) // 2 + n
+    if len(numbers) < need:
+        raise ModelError(f"{path} has {len(numbers)} of {need} numbers")
+    s, q = np.zeros((n, n)), numbers[: need - n]
+    s[np.tril_indices(n, -1)] = q
+    root = np.array(numbers[need - n : need]) / np.sum(numbers[need - n : need])
+    rate = (s + s.T) * root[None, :]
+    return letters, root, rate / rate.sum(axis=1, keepdims=True)
+
+
 class Model:
     """tree: Newick text or a node; Ne: diploid size of all nodes, or None if nodes carry `ne`; nsamples: haploids a tip,
     a number or a dict by tip name or number; admixture_edges: (source, dest, time, rate), or a list of them."""
 
-    def __init__(self, spark: SparkSession, tree: str | newick.Node = "(p);", Ne: float | None = None, nsamples=1, admixture_edges=None, mut: float = 1e-8, recomb=1e-9, subst_model="JC69", kappa: float = 1.0, equilibrium_frequencies=None, seed_trees: int = 0, seed_mutations: int | None = None, **unknown):
+    def __init__(self, spark: SparkSession, tree: str | newick.Node = "(p);", Ne: float | None = None, nsamples=1, admixture_edges=None, mut: float = 1e-8, recomb=1e-9, ancestry_model: str = "hudson", subst_model="JC69", kappa: float = 1.0, equilibrium_frequencies=None, seed_trees: int = 0, seed_mutations: int | None = None, store_tree_sequences: bool = False, record_full_arg: bool = False, **unknown):
         if unknown:
             warnings.warn(f"arguments that are not known are ignored: {', '.join(sorted(unknown))}", stacklevel=2)
-        self.spark, self.mut, self.recomb = spark, mut, recomb
+        if ancestry_model not in S.ANCESTRY:
+            raise ModelError(f"unknown ancestry model {ancestry_model}; supported: {', '.join(S.ANCESTRY)}")
+        if record_full_arg:
+            warnings.warn("nodes at which nothing coalesces are not recorded; tree_sequences has all coalescences", stacklevel=2)
+        self.spark, self.mut, self.recomb, self.ancestry_model, self.store_tree_sequences = spark, mut, recomb, ancestry_model, store_tree_sequences
         root = newick.parse(tree) if isinstance(tree, str) else tree
         if not root.children or len(root.children) == 1:
             leaf = root.children[0] if root.children else root
@@ -139,13 +166,26 @@ class Model:
         return out
 
     def sim_trees(self, nloci: int = 1, nsites: int = 1, precision: int = 14) -> DataFrame:
-        return S.sim_trees(self.spark, self.demography, nloci, int(nsites), self.recomb, self.seeds[0], precision)
+        return S.sim_trees(self.spark, self.demography, nloci, int(nsites), self.recomb, self.seeds[0], precision, self.ancestry_model)
+
+    def tree_sequences(self, nloci: int = 1, nsites: int = 1) -> tuple[DataFrame, DataFrame]:
+        """Node and edge tables of the loci that sim_trees and sim_loci of the same size have under the full coalescent."""
+        return ancestry.tree_sequences(self.spark, self.demography, nloci, int(nsites), self.recomb, self.seeds[0])
+
+    def evolve(self, genealogy: str | newick.Node, nsites: int, kappa: float = 1.0, equilibrium_frequencies=(0.25,) * 4, gamma: float | None = None, gamma_categories: int | None = None, locus: int = 0) -> tuple[DataFrame, DataFrame]:
+        """Calls and ancestral states of sites that evolve along one genealogy under HKY; gamma: shape of the sites' rates."""
+        root = newick.parse(genealogy) if isinstance(genealogy, str) else genealogy
+        sites = self.spark.range(nsites).select(F.lit(locus).cast("long").alias("locus"), F.col("id").alias("site"))
+        return evolve.evolved(sites, root, self.mut, kappa, list(equilibrium_frequencies), self.seeds[1], gamma, gamma_categories)
 
     def sim_loci(self, nloci: int = 1, nsites: int = 1, precision: int = 14) -> Simulated:
         if self.mut <= 0:
             warnings.warn("without a mutation rate all sequences are ancestral", stacklevel=2)
-        loci = S.sim_loci(self.spark, self.demography, nloci, int(nsites), self.mut, self.recomb, self.seeds, self.probs, self.root, precision)
-        return Simulated(self, loci, int(nsites))
+        loci = S.sim_loci(self.spark, self.demography, nloci, int(nsites), self.mut, self.recomb, self.seeds, self.probs, self.root, precision, self.ancestry_model)
+        out = Simulated(self, loci, int(nsites))
+        if self.store_tree_sequences:
+            out.tree_sequences = self.tree_sequences(nloci, nsites)
+        return out
 
     def sim_snps(self, nsnps: int = 1, min_alleles: int = 2, max_alleles: int | None = None, min_mutations: int = 1, max_mutations: int | None = None, repeat_on_trees: bool = False, precision: int = 14) -> Simulated:
         d = replace(self.demography)
@@ -184,8 +224,19 @@ class Simulated:
             out = C.mask_cut_sites(out, self.ancestral, *cut_sites)
         return Simulated(self.model, self.loci, self.nsites, out.select("locus", "sample", "pop", "site", "allele"))
 
-    def seqs(self, idxs: list[int] | None = None) -> DataFrame:
-        """locus, name, seq; idxs: these loci only."""
+    def pairs(self) -> DataFrame:
+        """sample, pop, individual, side: haploids joined in pairs; every population needs an even number of them."""
+        samples = self.model.sample_table()
+        if odd := [r["pop"] for r in C.odd_populations(samples).collect()]:
+            raise ModelError(f"diploid output needs an even number of haploids: {', '.join(sorted(odd))}")
+        return C.diploid_map(samples)
+
+    def names(self, diploid: bool = False) -> DataFrame:
+        """name of every sample or individual."""
+        return self.pairs().select(F.col("individual").alias("name")).distinct() if diploid else self.model.sample_table().select(F.col("sample").alias("name"))
+
+    def seqs(self, idxs: list[int] | None = None, diploid: bool = False) -> DataFrame:
+        """locus, name, seq; idxs: these loci only; diploid: pairs of haploids as ambiguity codes."""
         calls = self.calls
         if idxs is not None:
             wanted = self.model.spark.createDataFrame([(i,) for i in idxs], "locus long")
@@ -193,30 +244,54 @@ class Simulated:
             if missing:
                 raise ModelError(f"{missing} of the loci asked for don't exist")
             calls = calls.join(F.broadcast(wanted), "locus", "left_semi")
+        if diploid:
+            return writers.pack_codes(C.iupac_calls(calls, self.pairs())).withColumnRenamed("individual", "name")
         return writers.pack(calls).withColumnRenamed("sample", "name")
 
-    def write_loci_to_phylip(self, outdir: str, idxs: list[int] | None = None) -> None:
-        writers.write_text(writers.phylip(self.seqs(idxs)), outdir, by="locus")
+    def write_loci_to_phylip(self, outdir: str, idxs: list[int] | None = None, name_prefix: str = "", name_suffix: str = "", diploid: bool = False) -> None:
+        """A folder `file=<prefix><locus><suffix>.phy` a locus."""
+        text = writers.phylip(self.seqs(idxs, diploid))
+        file = F.concat(F.lit(name_prefix), F.col("locus").cast("string"), F.lit(f"{name_suffix}.phy"))
+        writers.write_text(text.select(file.alias("file"), "text"), outdir, by="file")
 
-    def write_concat_to_phylip(self, path: str | None = None, idxs: list[int] | None = None) -> str | None:
-        one = writers.concatenated(self.seqs(idxs)).withColumn("locus", F.lit(0))
+    def write_concat_to_phylip(self, path: str | None = None, idxs: list[int] | None = None, diploid: bool = False) -> str | None:
+        one = writers.concatenated(self.seqs(idxs, diploid)).withColumn("locus", F.lit(0))
         text = writers.phylip(one)
         if path is None:
             return text.first()["text"]
         writers.write_text(text.select("text"), path)
         return None
 
-    def write_concat_to_nexus(self, path: str, idxs: list[int] | None = None) -> None:
-        blocks = writers.nexus_blocks(writers.concatenated(self.seqs(idxs)))
-        writers.write_text(blocks.orderBy("block", "name").select(F.concat(writers.padded(F.col("name")), F.lit(" "), F.col("text")).alias("value")), path)
+    def write_concat_to_nexus(self, path: str, idxs: list[int] | None = None, diploid: bool = False) -> None:
+        lines = writers.nexus_lines(self.seqs(idxs, diploid))
+        writers.write_text(lines.orderBy("part", "block", "name").select("value"), path)
 
     def write_vcf(self, path: str | None = None, diploid: bool = False, fill_missing_alleles: bool = True, codec: str | None = None) -> DataFrame | None:
-        pairs = C.diploid_map(self.model.sample_table()) if diploid else None
-        rows = writers.vcf_rows(self.calls, self.ancestral, pairs, fill_missing_alleles)
+        """The rows, or with a path a VCF document with its header."""
+        pairs = self.pairs() if diploid else None
         if path is None:
-            return rows
-        writers.write_text(rows.orderBy("chrom", "pos").select("line"), path, codec=codec)
+            return writers.vcf_rows(self.calls, self.ancestral, pairs, fill_missing_alleles)
+        lines = writers.vcf_lines(self.calls, self.ancestral, pairs, fill_missing_alleles)
+        writers.write_text(lines.orderBy("chrom", "pos").select("line"), path, codec=codec)
         return None
 
-    def write_popfile(self, path: str) -> None:
-        writers.write_text(writers.popfile(self.model.sample_table().withColumnRenamed("sample", "name")), path)
+    def write_popfile(self, path: str, diploid: bool = False) -> None:
+        writers.write_text(writers.popfile(self.names(diploid)), path)
+
+    def write_loci_tables(self, path: str, diploid: bool = False) -> None:
+        """Parquet tables for what an HDF5 file of loci holds: seqs, phymap, and attributes."""
+        self._write_tables(path, diploid, seqs=self.seqs(diploid=diploid), phymap=writers.phymap(S_.locus_summary(self.df)))
+
+    def write_snps_tables(self, path: str, diploid: bool = False) -> None:
+        """Parquet tables for what an HDF5 file of SNPs holds: snps (letters), snpsmap, genos (pairs of allele numbers), and attributes."""
+        sites = C.variable_sites(self.calls)
+        snps = self.calls.join(sites, C.SITE, "left_semi")
+        pairs = self.pairs() if diploid else self.calls.select("sample", "pop").distinct().select("sample", F.col("sample").alias("individual"), F.lit(0).alias("side"))
+        letters = C.iupac_calls(snps, pairs) if diploid else snps.select("locus", "site", F.col("sample").alias("individual"), bases.base(F.col("allele")).alias("code"))
+        genos = C.geno_pairs(C.geno_index(snps, self.ancestral), pairs, fill=True)
+        self._write_tables(path, diploid, snps=letters.withColumnRenamed("individual", "name"), snpsmap=writers.snpsmap(sites), genos=genos.withColumnRenamed("individual", "name"))
+
+    def _write_tables(self, path: str, diploid: bool, **tables: DataFrame) -> None:
+        for name, rows in tables.items():
+            rows.write.parquet(f"{path}/{name}")
+        self.names(diploid).select(F.lit("name").alias("key"), F.col("name").alias("value")).unionByName(self.model.spark.createDataFrame([("nsites", str(self.nsites)), ("diploid", str(diploid))], "key string, value string")).write.parquet(f"{path}/attributes")

@@ -44,17 +44,27 @@ def geno_index(calls: DataFrame, anc: DataFrame) -> DataFrame:
     return calls.join(alts, SITE).select("locus", "sample", "pop", "site", "anc", "alts", F.when(F.col("allele").isNotNull(), gt).alias("gt"))
 
 
+def suffix(name: str) -> Column:
+    """The number at the end of a name, by which samples are ordered (a_2 before a_10); null without one."""
+    return F.regexp_extract(F.col(name).cast("string"), r"(\d{1,18})$", 1).try_cast("long")
+
+
 def diploid_map(samples: DataFrame) -> DataFrame:
-    """sample, pop, individual (name), side (0 or 1): consecutive haploids of a population are paired.
+    """sample, pop, individual (name), side (0 or 1): consecutive haploids of a population, by the numbers in their names, are paired.
 
     An individual is named by its population if that is all it has, else by population and number.  The last haploid of an
-    odd population is paired with itself.
+    odd population is paired with itself; `odd_populations` finds such ones.
     """
-    ranked = samples.select("sample", "pop").distinct().withColumn("k", F.row_number().over(W.partitionBy("pop").orderBy("sample")) - 1)
-    most = F.max("k").over(W.partitionBy())
+    ranked = samples.select("sample", "pop").distinct().withColumn("k", F.row_number().over(W.partitionBy("pop").orderBy(suffix("sample").asc_nulls_first(), "sample")) - 1)
+    most = ranked.agg(F.max("k").alias("most"))
     pair = F.floor(F.col("k") / 2).cast("long")
-    name = F.when(most <= 1, F.col("pop").cast("string")).otherwise(F.concat_ws("_", F.col("pop").cast("string"), pair.cast("string")))
-    return ranked.select("sample", "pop", name.alias("individual"), (F.col("k") % 2).cast("long").alias("side"))
+    name = F.when(F.col("most") <= 1, F.col("pop").cast("string")).otherwise(F.concat_ws("_", F.col("pop").cast("string"), pair.cast("string")))
+    return ranked.crossJoin(F.broadcast(most)).select("sample", "pop", name.alias("individual"), (F.col("k") % 2).cast("long").alias("side"))
+
+
+def odd_populations(samples: DataFrame) -> DataFrame:
+    """pop of the populations whose haploids can't all be paired."""
+    return samples.select("sample", "pop").distinct().groupBy("pop").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("pop")
 
 
 def geno_pairs(genos: DataFrame, pairs: DataFrame, fill: bool = False) -> DataFrame:

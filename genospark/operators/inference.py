@@ -73,6 +73,96 @@ def gene_trees(seqs: DataFrame, estimator: str = "nj", precision: int = 6) -> Da
     return seqs.groupBy("locus").applyInPandas(run, "locus long, nsamples long, gene_tree string")
 
 
+def concatenated_tree(seqs: DataFrame, estimator: str = "nj", precision: int = 6) -> DataFrame:
+    """nsamples, gene_tree: one tree of all loci side by side.  Distances add up over loci, so no task holds all sequences.
+
+    seqs: locus, name, seq; of equal length within a locus.
+    """
+    build = ESTIMATORS[estimator]
+
+    def count(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("name")
+        names, x = list(g["name"]), np.array([list(s) for s in g["seq"]])
+        diff = (x[:, None, :] != x[None, :, :]).sum(axis=2) if x.size else np.zeros((len(names), len(names)), dtype=int)
+        at = [(a, b, int(diff[i, j]), x.shape[1]) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+        return pd.DataFrame(at, columns=["s0", "s1", "ndiff", "nsites"])
+
+    parts = seqs.groupBy("locus").applyInPandas(count, "s0 string, s1 string, ndiff long, nsites long")
+    # one row a pair of samples
+    pairs = parts.groupBy("s0", "s1").agg(F.sum("ndiff").alias("ndiff"), F.sum("nsites").alias("nsites")).toPandas()
+    names = sorted({*pairs["s0"], *pairs["s1"]})
+    at = {n: i for i, n in enumerate(names)}
+    d = np.zeros((len(names), len(names)))
+    for r in pairs.itertuples():
+        p = min(r.ndiff / max(1, r.nsites), 0.7499)
+        d[at[r.s0], at[r.s1]] = d[at[r.s1], at[r.s0]] = -0.75 * np.log(1 - 4 / 3 * p)
+    rows = [(len(names), write(build(names, d), precision))] if names else []
+    return seqs.sparkSession.createDataFrame(rows, "nsamples long, gene_tree string")
+
+
+def window_trees(calls: DataFrame, width: int, estimator: str = "nj") -> DataFrame:
+    """locus, window, start, end, nvariable, gene_tree of every tumbling window of sites."""
+    from ..sources.writers import pack
+    from .stats import site_windows
+
+    number = F.floor(F.col("site") / width)
+    keyed = calls.withColumn("locus", F.struct("locus", number.alias("window")))
+    each = pack(keyed).select(F.col("locus").alias("w"), F.col("sample").cast("string").alias("name"), "seq")
+    numbers = each.select("w").distinct().withColumn("id", F.xxhash64("w.locus", "w.window"))
+    trees = gene_trees(each.join(numbers, "w").select(F.col("id").alias("locus"), "name", "seq"), estimator)
+    named = trees.join(numbers, trees["locus"] == numbers["id"]).select("w.locus", "w.window", "gene_tree")
+    return site_windows(calls, width).join(named, ["locus", "window"])
+
+
+def internode_distances(trees: DataFrame, column: str = "gene_tree", imap: dict[str, str] | None = None) -> DataFrame:
+    """a < b, n, dist: the mean number of inner nodes between two taxa over all trees that have both.
+
+    imap: taxon of a tip; the tips' own names without it.
+    """
+    imap = imap or {}
+
+    def run(batches):
+        for b in batches:
+            total: dict[tuple[str, str], list[int]] = {}
+            for text in b[column]:
+                root = parse(text)
+                up = {id(c): n for n in root.walk() for c in n.children}
+                paths = []
+                for tip in root.leaves():
+                    path, at = [], tip
+                    while id(at) in up:
+                        at = up[id(at)]
+                        path.append(id(at))
+                    paths.append((imap.get(tip.name, tip.name), path))
+                # an unrooted tree: a root of two children is no node
+                bare = {id(root)} if len(root.children) == 2 else set()
+                for i, (x, p) in enumerate(paths):
+                    place = {n: k for k, n in enumerate(p)}
+                    for y, q in paths[i + 1 :]:
+                        if x != y:
+                            k, j = next((k, place[n]) for k, n in enumerate(q) if n in place)
+                            nodes = k + j + 1 - len(bare & {q[k]})
+                            got = total.setdefault((min(x, y), max(x, y)), [0, 0])
+                            got[0] += nodes
+                            got[1] += 1
+            yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["a", "b", "s", "n"])
+
+    parts = trees.select(column).mapInPandas(run, "a string, b string, s long, n long")
+    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("dist"))
+
+
+def species_tree(trees: DataFrame, column: str = "gene_tree", imap: dict[str, str] | None = None, precision: int = 6) -> str:
+    """An unrooted species tree from gene trees: neighbour joining on mean internode distances, which is consistent under the coalescent."""
+    # one row a pair of taxa
+    rows = internode_distances(trees, column, imap).collect()
+    names = sorted({x for r in rows for x in (r["a"], r["b"])})
+    at = {n: i for i, n in enumerate(names)}
+    d = np.zeros((len(names), len(names)))
+    for r in rows:
+        d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = r["dist"]
+    return write(neighbor_joining(names, d), precision)
+
+
 def quartet_topologies(trees: DataFrame, column: str = "gene_tree") -> DataFrame:
     """quartet (four tips), topology (the pair that holds the first tip, | the other), n: over all trees and quartets."""
 

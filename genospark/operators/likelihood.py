@@ -130,7 +130,7 @@ def edge_path(species: DataFrame, members: DataFrame, genes: DataFrame) -> DataF
     return inside.select("tree", "edge", "parent", (F.row_number().over(w) - 1).alias("i"), "start", "stop", "node", "neff", "nedges", "dist")
 
 
-def _path_terms(path: DataFrame) -> DataFrame:
+def path_terms(path: DataFrame) -> DataFrame:
     """a, n, T, h and C (hazard passed before the row) of the rows of a path."""
     h = F.col("nedges") * F.col("dist") / (2 * F.col("neff"))
     before = W.partitionBy("tree", "edge").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
@@ -138,24 +138,21 @@ def _path_terms(path: DataFrame) -> DataFrame:
     return rows.withColumn("C", F.coalesce(F.sum("h").over(before), F.lit(0.0)))
 
 
-def _later(rows: DataFrame) -> DataFrame:
-    """The rows joined with the rows above them on the same edge (k >= i): k, kC, kh, ka."""
-    up = rows.select("tree", "edge", F.col("i").alias("k"), F.col("C").alias("kC"), F.col("h").alias("kh"), F.col("a").alias("ka"))
-    return rows.join(up, ["tree", "edge"]).where("k >= i")
-
-
 def edge_unchanged(path: DataFrame) -> DataFrame:
     """tree, edge, length, p: probability that a recombination on the edge leaves the tree unchanged."""
-    both = _later(_path_terms(path))
-    term = F.when(F.col("k") > F.col("i"), F.exp(-(F.col("kC") - F.col("C") - F.col("h"))) * (1 - F.exp(-F.col("kh"))) / F.col("ka")).otherwise(-1 / F.col("a"))
-    inner = both.groupBy("tree", "edge", "i").agg(F.sum(term).alias("s"), F.first("T").alias("T"), F.first("a").alias("a"), F.first("n").alias("n"), F.first("h").alias("h"))
-    each = F.col("T") / F.col("a") + F.col("n") / F.col("a") * (1 - F.exp(-F.col("h"))) * F.col("s")
-    return inner.groupBy("tree", "edge").agg(F.sum("T").alias("length"), (F.sum(each) / F.sum("T")).alias("p"))
+    # what the epochs above hold, seen from the top of each: S(i) = q(i+1) + exp(-h(i+1)) S(i+1), with q = (1 - exp(-h)) / a
+    row = lambda c: F.sort_array(F.collect_list(F.struct(F.col("i"), F.col("a"), F.col("n"), F.col("T"), F.col("h"))), asc=c)
+    edges = path_terms(path).groupBy("tree", "edge").agg(row(False).alias("down"), F.sum("T").alias("length"))
+    q = lambda x: (1 - F.exp(-x["h"])) / x["a"]
+    each = lambda s, x: x["T"] / x["a"] + x["n"] * q(x) * (s - 1 / x["a"])
+    step = lambda acc, x: F.struct((q(x) + F.exp(-x["h"]) * acc["s"]).alias("s"), (acc["sum"] + each(acc["s"], x)).alias("sum"))
+    total = F.aggregate("down", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("sum")), step)["sum"]
+    return edges.select("tree", "edge", "length", (total / F.col("length")).alias("p"))
 
 
 def edge_unchanged_at(path: DataFrame, share: float = 0.5) -> DataFrame:
     """tree, edge, time, p: the same for a recombination at a point of the edge, `share` of the way up."""
-    rows = _path_terms(path)
+    rows = path_terms(path)
     whole = W.partitionBy("tree", "edge")
     rows = rows.withColumn("time", F.min("start").over(whole) + share * (F.max("stop").over(whole) - F.min("start").over(whole)))
     at = rows.where("start <= time and time < stop").select("tree", "edge", "time", F.col("i").alias("j"), (F.col("a") * (F.col("stop") - F.col("time")) / F.col("n")).alias("first"), (F.col("C") + F.col("h")).alias("passed"))
@@ -210,5 +207,28 @@ def distance_likelihood(observed: Column, expected: Column) -> Column:
     return F.exp(-((observed - expected) * (observed - expected)) / (2 * sd * sd)) / (sd * math.sqrt(2 * math.pi))
 
 
+def compared(observed: DataFrame, expected: DataFrame) -> DataFrame:
+    """tree, start, obs_dist, exp_wait, lambda_, likelihood, logliks (negated logarithm) of simulated intervals and expected distances.
+
+    observed: tree, start, nbps; expected: tree, expected.  The logarithm is taken of the density's formula, so that it never underflows.
+    """
+    both = observed.join(expected.select("tree", "expected"), "tree")
+    e = F.col("expected")
+    z = (F.col("nbps") - e) / (e * e)
+    return both.select(
+        "tree", "start", F.col("nbps").alias("obs_dist"), e.alias("exp_wait"), (1 / e).alias("lambda_"),
+        distance_likelihood(F.col("nbps").cast("double"), e).alias("likelihood"), (z * z / 2 + F.ln(e * e) + math.log(2 * math.pi) / 2).alias("logliks"),
+    )
+
+
+def distances_by_node(species: DataFrame, members: DataFrame, genes: DataFrame, expected: DataFrame) -> DataFrame:
+    """node, tree, expected: expected distances of the gene trees in which the samples of an inner species node form a clade."""
+    inner = species.where("parent is not null").select(F.col("parent").alias("node")).distinct()
+    over, _ = _over(species, members)
+    own = over.join(F.broadcast(inner), "node").groupBy("node").agg(F.sort_array(F.collect_set("sample")).alias("tips"))
+    clades = _node_tips(genes).groupBy("tree", "gnode").agg(F.sort_array(F.collect_set("sample")).alias("tips")).select("tree", "tips").distinct()
+    return clades.join(F.broadcast(own), "tips").join(expected.select("tree", "expected"), "tree").select("node", "tree", "expected")
+
+
 def theta_table(species: DataFrame, mu: float = 1.0) -> DataFrame:
     return species.select("node", (4 * F.col("ne") * mu).alias("theta"))

@@ -1,4 +1,4 @@
-"""Running numbers without a global sort in one task."""
+"""Running numbers and sums without a global sort in one task."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, key: str, name: str, width: int = 100_000) -> DataFrame:
-    """Rows numbered from 0 in the order of a whole-number key: ranges of `width` keys are numbered apart and their counts summed up."""
+def numbered(df: DataFrame, key: str, name: str, width: int = 100_000, size: str | None = None) -> DataFrame:
+    """Rows numbered from 0 in the order of a whole-number key, or with `size` the running sum of that column before each row.
+
+    Ranges of `width` keys are numbered apart and their totals summed up.
+    """
     at = df.withColumn("__b", F.floor(F.col(key) / width))
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    base = at.groupBy("__b").agg(F.count("*").alias("n")).select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(W.partitionBy("__b").orderBy(key)) - 1
+    each = F.sum(size) if size else F.count("*")
+    base = at.groupBy("__b").agg(each.alias("n")).select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    w = W.partitionBy("__b").orderBy(key)
+    inside = F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) if size else F.row_number().over(w) - 1
     return at.withColumn("__i", inside).join(base, "__b").withColumn(name, F.col("__base") + F.col("__i")).drop("__b", "__i", "__base")

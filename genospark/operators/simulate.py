@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..sources.newick import Node, write
 
 TREES = "locus long, start long, end long, nbps long, nsnps long, tidx int, genealogy string"
+ANCESTRY = ("hudson", "smc_prime")
 MUTATIONS = "locus long, sample string, site long, derived int"
 
 
@@ -259,8 +260,18 @@ def _loci(spark: SparkSession, n: int, first: int = 0) -> DataFrame:
     return spark.range(first, first + n, numPartitions=max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).select(F.col("id").alias("locus"))
 
 
-def sim_trees(spark: SparkSession, d: Demography, nloci: int, nsites: int, recomb, seed: int, precision: int = 14) -> DataFrame:
+def _intervals(model: str):
+    """The trees along a locus under a named ancestry model."""
+    from . import ancestry
+
+    if model not in ANCESTRY:
+        raise ValueError(f"unknown ancestry model {model}; supported: {', '.join(ANCESTRY)}")
+    return intervals if model == "smc_prime" else ancestry.intervals
+
+
+def sim_trees(spark: SparkSession, d: Demography, nloci: int, nsites: int, recomb, seed: int, precision: int = 14, ancestry_model: str = "smc_prime") -> DataFrame:
     """The result table (D4) without mutations."""
+    intervals = _intervals(ancestry_model)
 
     def run(batches):
         for b in batches:
@@ -276,8 +287,9 @@ def sim_trees(spark: SparkSession, d: Demography, nloci: int, nsites: int, recom
 LOCI = TREES + ", sites array<struct<site: long, anc: int, nmut: int>>, calls array<struct<sample: string, site: long, allele: int>>"
 
 
-def sim_loci(spark: SparkSession, d: Demography, nloci: int, nsites: int, mu: float, recomb, seeds: tuple[int, int], probs: np.ndarray, root: np.ndarray, precision: int = 14) -> DataFrame:
+def sim_loci(spark: SparkSession, d: Demography, nloci: int, nsites: int, mu: float, recomb, seeds: tuple[int, int], probs: np.ndarray, root: np.ndarray, precision: int = 14, ancestry_model: str = "smc_prime") -> DataFrame:
     """The result table with, for each interval, the hit sites and the samples' derived alleles."""
+    intervals = _intervals(ancestry_model)
 
     def run(batches):
         for b in batches:
@@ -292,9 +304,10 @@ def sim_loci(spark: SparkSession, d: Demography, nloci: int, nsites: int, mu: fl
     return _loci(spark, nloci).mapInPandas(run, LOCI)
 
 
-def sim_snps(spark: SparkSession, d: Demography, nsnps: int, mu: float, seeds: tuple[int, int], probs: np.ndarray, root: np.ndarray, min_alleles: int = 2, max_alleles: int | None = None, min_mutations: int = 1, max_mutations: int | None = None, repeat_on_trees: bool = False, precision: int = 14, batch: int | None = None) -> DataFrame:
+def sim_snps(spark: SparkSession, d: Demography, nsnps: int, mu: float, seeds: tuple[int, int], probs: np.ndarray, root: np.ndarray, min_alleles: int = 2, max_alleles: int | None = None, min_mutations: int = 1, max_mutations: int | None = None, repeat_on_trees: bool = False, precision: int = 14, batch: int | None = None, most_candidates: int | None = None) -> DataFrame:
     """nsnps unlinked SNPs by rejection: candidates are numbered and the first accepted ones are taken, so that
-    the result doesn't depend on partitions.  repeat_on_trees: mutations are drawn again on the same tree (biased)."""
+    the result doesn't depend on partitions.  The search goes on until all are found, in steps that follow the share accepted so far;
+    with `most_candidates` it ends there with an error.  repeat_on_trees: mutations are drawn again on the same tree (biased)."""
     most_a, most_m = max_alleles or 100_000, max_mutations or 100_000
     if min_mutations < 1 or most_m < min_mutations:
         raise ValueError("min_mutations must be positive and at most max_mutations")
@@ -313,14 +326,18 @@ def sim_snps(spark: SparkSession, d: Demography, nsnps: int, mu: float, seeds: t
                         break
             yield pd.DataFrame(out, columns=["locus", "start", "end", "nbps", "nsnps", "tidx", "genealogy", "sites", "calls"])
 
-    first, found, step, parts = 0, 0, batch or max(64, 4 * nsnps), []
+    if mu <= 0:
+        raise ValueError("SNPs need a mutation rate")
+    # about as many candidates as SNPs need at the rate of an average tree
+    hit = mu * _mean_length(d, seeds[0])
+    first, found, step, parts = 0, 0, batch or min(1_000_000, max(64, math.ceil(1.5 * nsnps / max(1e-6, 1 if repeat_on_trees else min(1.0, hit))))), []
     while found < nsnps:
         part = _loci(spark, step, first).mapInPandas(run, LOCI).cache()
         parts.append(part)
         got = part.count()
         found, first = found + got, first + step
-        if first > 10_000 and not found:
-            raise ValueError("no candidate is accepted: mutation rate or filters make SNPs too rare")
+        if most_candidates is not None and first >= most_candidates and found < nsnps:
+            raise ValueError(f"{found} of {nsnps} SNPs among {first} candidates")
         step = min(1_000_000, max(step, math.ceil(1.2 * (nsnps - found) * step / max(got, 1))))
     every = parts[0]
     for p in parts[1:]:
@@ -331,6 +348,11 @@ def sim_snps(spark: SparkSession, d: Demography, nsnps: int, mu: float, seeds: t
     return taken.withColumn("locus", (F.row_number().over(W.orderBy("locus")) - 1).cast("long"))
 
 
+def _mean_length(d: Demography, seed: int, trees: int = 20) -> float:
+    """Mean length of a few trees of the model."""
+    return float(np.mean([first_tree(d, generator(seed, k)).length() for k in range(trees)]))
+
+
 def table(loci: DataFrame) -> DataFrame:
     """The seven columns of the result table."""
     return loci.select("locus", "start", "end", "nbps", "nsnps", "tidx", "genealogy")

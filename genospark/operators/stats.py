@@ -119,22 +119,26 @@ def quartets(calls: DataFrame, key: str) -> DataFrame:
     return out.select("locus", "site", *[F.col("p")[F.col(f"i{i}")]["k"].alias(f"q{i}") for i in range(4)], *[F.col("p")[F.col(f"i{i}")]["a"].alias(f"s{i}") for i in range(4)])
 
 
-def pairwise(calls: DataFrame, model: str | None = None, block: int = 63) -> DataFrame:
+def pairwise(calls: DataFrame, model: str | None = None, block: int = 63, tiles: int = 8) -> DataFrame:
     """s0 < s1, nsites, ndiff, dist of all pairs of samples; missing is a state.
 
     Calls are packed as bit masks, one a state, for blocks of 63 sites, so that the pair join carries one row a block
-    instead of one a site.  model None: proportion of differing sites; "JC": Jukes-Cantor distance.
+    instead of one a site; samples meet by tiles, each `tiles` times. model None: proportion of differing sites; "JC": Jukes-Cantor distance.
     """
     if model not in (None, "JC", "JC69"):
         raise NotImplementedError(f"no distance model {model}")
     states = [0, 1, 2, 3, 9]
+    # samples are dealt to tiles, so that a block's pairs come from tiles * (tiles + 1) / 2 tasks
+    tile = F.pmod(F.xxhash64("sample"), F.lit(tiles)).cast("int")
     bit = F.expr(f"shiftleft(1L, cast(site % {block} as int))")
     masks = calls.withColumn("state", F.coalesce("allele", F.lit(9))).groupBy("sample", F.floor(F.col("site") / block).alias("b")).agg(*[F.bit_or(F.when(F.col("state") == s, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{s}") for s in states])
-    a = masks.select("b", F.col("sample").alias("s0"), *[F.col(f"m{s}").alias(f"a{s}") for s in states])
-    z = masks.select("b", F.col("sample").alias("s1"), *[F.col(f"m{s}").alias(f"z{s}") for s in states])
+    masks = masks.withColumn("t", tile)
+    every = F.sequence(F.lit(0), F.lit(tiles - 1))
+    a = masks.select("b", F.col("t").alias("t0"), F.explode(every).alias("t1"), F.col("sample").alias("s0"), *[F.col(f"m{s}").alias(f"a{s}") for s in states])
+    z = masks.select("b", F.explode(every).alias("t0"), F.col("t").alias("t1"), F.col("sample").alias("s1"), *[F.col(f"m{s}").alias(f"z{s}") for s in states])
     have = lambda p: sum((F.bit_count(F.col(f"{p}{s}")) for s in states[1:]), F.bit_count(F.col(f"{p}0")))
     same = sum((F.bit_count(F.col(f"a{s}").bitwiseAND(F.col(f"z{s}"))) for s in states[1:]), F.bit_count(F.col("a0").bitwiseAND(F.col("z0"))))
-    pairs = a.join(z, "b").where("s0 < s1").groupBy("s0", "s1").agg(F.sum(have("a")).alias("nsites"), F.sum(have("a") - same).alias("ndiff"))
+    pairs = a.join(z, ["b", "t0", "t1"]).where("s0 < s1").groupBy("s0", "s1").agg(F.sum(have("a")).alias("nsites"), F.sum(have("a") - same).alias("ndiff"))
     p = F.col("ndiff") / F.col("nsites")
     return pairs.select("s0", "s1", "nsites", "ndiff", (p if model is None else jukes_cantor(p)).alias("dist"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform
+
 ROOT_DIST = 1e-5
 
 
@@ -31,11 +33,19 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
 
 def root_paths(nodes: DataFrame) -> DataFrame:
-    """tree, node, ancestor, depth for many small trees (tree, node, parent): every tree is one row while its paths are walked."""
+    """tree, node, ancestor, depth for many small trees (tree, node, parent): every tree is one row while its paths are walked.
+
+    A path takes as many steps as the deepest node of its tree has ancestors: a first walk, from all tips at once, finds that number.
+    """
     one = nodes.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("node", "parent"))).alias("up"))
     start = lambda n: F.struct(F.array(n).alias("path"), n.alias("at"))
     step = lambda a: F.when(F.try_element_at("up", a["at"]).isNull(), a).otherwise(F.struct(F.concat(a["path"], F.array(F.try_element_at("up", a["at"]))).alias("path"), F.try_element_at("up", a["at"]).alias("at")))
-    walk = lambda n: F.aggregate(F.sequence(F.lit(1), F.size("up")), start(n), lambda a, _: step(a))["path"]
+    walk = lambda n: F.aggregate(F.sequence(F.lit(1), F.col("levels")), start(n), lambda a, _: step(a))["path"]
+    # the nodes of a level are the parents of the level below; an emptied level ends the count
+    above = lambda level: F.array_distinct(F.filter(F.transform(level, lambda n: F.try_element_at("up", n)), lambda n: n.isNotNull()))
+    rise = lambda a: F.when(F.size(a["level"]) == 0, a).otherwise(F.struct(above(a["level"]).alias("level"), (a["n"] + 1).alias("n")))
+    levels = F.aggregate(F.sequence(F.lit(1), F.size("up")), F.struct(F.map_keys("up").alias("level"), F.lit(0).alias("n")), lambda a, _: rise(a))["n"]
+    one = one.withColumn("levels", F.greatest(levels, F.lit(1)))
     paths = one.select("tree", F.explode(F.transform(F.map_keys("up"), lambda n: F.struct(n.alias("node"), walk(n).alias("path")))).alias("p"))
     return paths.select("tree", F.col("p.node").alias("node"), F.posexplode("p.path").alias("depth", "ancestor"))
 
@@ -92,8 +102,16 @@ def overlap(nodes: DataFrame, lower: float | None = None, upper: float | None =
 
 def recombination_map(positions: DataFrame, peaks: int, low: float, high: float) -> DataFrame:
     """position, recomb_rate: a cosine wave of `peaks` peaks over the largest position."""
-    x = F.col("position") / F.max("position").over(W.partitionBy()) * (2 * 3.141592653589793 * peaks)
-    return positions.select("position", ((-F.cos(x) + 1) * ((high - low) / 2) + low).alias("recomb_rate"))
+    top = positions.agg(F.max("position").alias("top"))
+    x = F.col("position") / F.col("top") * (2 * 3.141592653589793 * peaks)
+    return positions.crossJoin(F.broadcast(top)).select("position", ((-F.cos(x) + 1) * ((high - low) / 2) + low).alias("recomb_rate"))
+
+
+def drawn_recombination_map(spark: SparkSession, length: float, n: int, low: float, high: float, seed) -> DataFrame:
+    """position, recomb_rate: n uniform positions within the length, in order, with rates drawn evenly between low and high; the first is 0."""
+    u = lambda tag: uniform(seed, tag, F.col("id"))
+    at = F.when(F.col("id") == 0, 0.0).otherwise(u("position") * length)
+    return spark.range(n).select(at.alias("position"), (u("rate") * (high - low) + low).alias("recomb_rate")).orderBy("position")
 
 
 def even_positions(spark: SparkSession, length: float, n: int) -> DataFrame:

@@ -113,6 +113,8 @@ ALT_S = f"array_to_string(list_transform(alts, lambda x: {LETTER('x')}), ',')"
 add("alt_alleles", f"select locus, site, {LETTER('anc')} as ref, {ALT_S} as alt from alta", "locus:b site:b ref:s alt:s", CALLS, MISS, ANC, ALTS, ALTA)
 add("geno_index", "select locus, sample, site, gt from geno", "locus:b sample:b site:b gt:b", CALLS, MISS, ANC, ALTS, ALTA, GENO)
 add("diploid_map", "select * from dipl", "sample:b pop:b individual:s side:b", CALLS, DIPL)
+add("diploid_names", """select sample, pop, case when max(k) over () <= 1 then cast(pop as varchar) else pop || '_' || (k // 2) end as individual, k % 2 as side
+  from (select c_nationkey as pop, 'n' || c_nationkey || '_' || c_custkey as sample, row_number() over (partition by c_nationkey order by c_custkey) - 1 as k from customer)""", "sample:s pop:b individual:s side:b")
 FULL = (CALLS, MISS, ANC, ALTS, ALTA, GENO, DIPL, SIDES)
 add("geno_pairs", f"select locus, site, individual, {GT('l', 'r')} as gt from sides", "locus:b site:b individual:s gt:s", *FULL)
 add("geno_fill", f"select locus, site, individual, {GT('coalesce(l, r)', 'coalesce(r, l)')} as gt from sides", "locus:b site:b individual:s gt:s", *FULL)
@@ -137,6 +139,7 @@ add("phylip_locus", f"""select doc_id // 10 as locus, count(*) || ' ' || max(len
   from (select doc_id, 's' || doc_id as name, rpad(substr({SEQ}, 1, 64), 64, 'N') as seq from documents) group by 1""", "locus:b text:s")
 add("phylip_concat", "select rpad('s' || sample, cast(greatest(10, length('s' || sample)) as integer), ' ') || ' ' || string_agg(seq, '' order by locus) as line from pack group by sample", "line:s", CALLS, MISS, PACK)
 add("nexus_blocks", f"select block, name, substr(seq, cast(block * 100 + 1 as bigint), 100) as text from (select name, seq, unnest(range(0, cast(ceil(length(seq) / 100.0) as bigint))) as block from (select 's' || doc_id as name, {SEQ} as seq from documents))", "block:b name:s text:s")
+add("nexus_concat", "select block, name, substr(seq, cast(block * 10 + 1 as bigint), 10) as text from (select name, seq, unnest(range(0, cast(ceil(length(seq) / 10.0) as bigint))) as block from (select 's' || sample as name, string_agg(seq, '' order by locus) as seq from pack group by sample))", "block:b name:s text:s", CALLS, MISS, PACK)
 
 QUADS = """quads as (select k, locus, site, max(case when pop = 0 then allele end) as s0, max(case when pop = 1 then allele end) as s1, max(case when pop = 2 then allele end) as s2, max(case when pop = 3 then allele end) as s3
   from calls join (select sample, row_number() over (partition by pop order by sample) - 1 as k from (select distinct sample, pop from calls where pop < 4)) using (sample) group by 1, 2, 3 having count(*) = 4)"""
@@ -186,6 +189,8 @@ TU = "tu as (select tree, sum(length) as sumlen, sum(length * p) / sum(length) a
 add("tree_unchanged", "select tree, sumlen, p from tu", "tree:b sumlen:d p:d", *LK, PT, EU, TU)
 add("expected_dist", "select * from tu", "tree:b sumlen:d p:d expected:d", *LK, PT, EU, TU)
 add("distance_lik", "select locus, tidx, nbps, expected, exp(-((nbps - expected) * (nbps - expected)) / (2 * power(expected, 4))) / (expected * expected * sqrt(2 * pi())) * 1e12 as likelihood from inter join tu on tree = locus", "locus:b tidx:b nbps:b expected:d likelihood:d", *LK, PT, EU, TU, POINTS, INTER)
+add("smc_compare", "select locus as tree, start, nbps as obs_dist, expected as exp_wait, 1e6 / expected as lambda_, power((nbps - expected) / (expected * expected), 2) / 2 + ln(expected * expected * sqrt(2 * pi())) as logliks from inter join tu on tree = locus", "tree:b start:b obs_dist:b exp_wait:d lambda_:d logliks:d", *LK, PT, EU, TU, POINTS, INTER)
+add("node_distances", "select node, tree, expected from tu join (select tree, 'R' as node from hs union all select tree, 'X' from hs) c using (tree)", "node:s tree:b expected:d", *LK, PT, EU, TU)
 add("topo_unchanged", """select tree, edge, any_value(length) as length, sum((case when i < m then 1 else 2 end * t + n * (1 - exp(-h)) * b) / a) / any_value(length) as p from (
   select x.tree, x.edge, x.x as i, any_value(x.t) as t, any_value(x.a) as a, any_value(x.n) as n, any_value(x.h) as h, any_value(m) as m, any_value(length) as length,
   sum((case when k.x = x.x then -1 / x.a else exp(-(k.c - x.c - x.h)) * (1 - exp(-k.h)) / k.a end) * (case when x.x < m then 1 + case when k.x >= m and k.x < ib then 1 else 0 end when k.x < ib then 2 else 1 end)) as b

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases, hky, rng
 from ..operators import calls as C
-from ..operators import inference, numbering
+from ..operators import evolve, inference, numbering
 from ..operators import likelihood as L
 from ..operators import stats as S
 from ..operators import trees as T
@@ -361,6 +361,13 @@ def diploid_map(spark, d):
     return C.diploid_map(A.calls(spark, d))
 
 
+@query
+def diploid_names(spark, d):
+    """Pairs of samples whose names end in numbers of different lengths: a_2 comes before a_10."""
+    c = A.table(spark, d, "customer").select(F.col("c_nationkey").alias("pop"), F.concat_ws("_", F.concat(F.lit("n"), F.col("c_nationkey")), F.col("c_custkey")).alias("sample"))
+    return C.diploid_map(c)
+
+
 def _pairs(spark, d, fill):
     return C.geno_pairs(genos(spark, d), C.diploid_map(A.calls(spark, d)), fill).select("locus", "site", "individual", bases.genotype(F.col("left"), F.col("right")).alias("gt"))
 
@@ -442,6 +449,13 @@ def nexus_blocks(spark, d):
     return writers.nexus_blocks(A.seqs(spark, d, None).select(F.concat(F.lit("s"), F.col("sample")).alias("name"), "seq"))
 
 
+@query
+def nexus_concat(spark, d):
+    """Interleaved pieces of all loci side by side, cut without joining them first."""
+    s = writers.pack(A.calls(spark, d, MISSING)).select("locus", F.concat(F.lit("s"), F.col("sample")).alias("name"), "seq")
+    return writers.nexus_cut(s, 10)
+
+
 # patterns and distances
 
 
@@ -587,6 +601,65 @@ def distance_lik(spark, d):
     return joined.select("locus", "tidx", "nbps", "expected", (L.distance_likelihood(F.col("nbps").cast("double"), F.col("expected")) * 1e12).alias("likelihood"))
 
 
+@query
+def smc_compare(spark, d):
+    """Observed and expected distances with their rates and negated log-likelihoods."""
+    e = L.expected_distance(L.tree_unchanged(L.edge_unchanged(path(spark, d))), RECOMB)
+    o = A.intervals(spark, d).select(F.col("locus").alias("tree"), "tidx", "start", "nbps")
+    return L.compared(o, e).select("tree", "start", "obs_dist", "exp_wait", F.round(F.col("lambda_") * 1e6, 6).alias("lambda_"), "logliks")
+
+
+@query
+def node_distances(spark, d):
+    """Expected distances of gene trees by the species nodes that are clades in them."""
+    sp, members = species(spark)
+    g = genes(spark, d)
+    e = L.expected_distance(L.tree_unchanged(L.edge_unchanged(path(spark, d))), RECOMB)
+    return L.distances_by_node(sp, members, g, e)
+
+
+@query
+def gamma_rates(spark, d):
+    """Rates of sites: gamma draws of mean 1 and variance 1/2, in bins of equal width by locus; counts and means of the bins."""
+    sites = A.calls(spark, d).select("locus", "site").distinct()
+    wide = sites.select("locus", F.explode(F.sequence(F.col("site") * 500, F.col("site") * 500 + 499)).alias("site"))
+    return evolve.site_rates(wide, 2.0, 8, "gamma").groupBy("locus", F.round("rate", 9).alias("rate")).agg(F.count("*").alias("n"))
+
+
+@query
+def concat_tree(spark, d):
+    c = A.calls(spark, d).where("sample < 60")
+    return inference.concatenated_tree(writers.pack(c).select("locus", F.concat(F.lit("s"), F.col("sample")).alias("name"), "seq"))
+
+
+@query
+def window_trees(spark, d):
+    """Gene trees of windows of sites, of populations' consensus sequences."""
+    return inference.window_trees(S.consensus(A.calls(spark, d, MISSING)).withColumnRenamed("pop", "sample"), 8)
+
+
+@query
+def internode_distances(spark, d):
+    loci = _model(spark, recomb=0.0).sim_trees(100, 1)
+    return inference.internode_distances(loci, "genealogy", {f"{p}_{k}": p for p in "abcd" for k in (0, 1)})
+
+
+@query
+def evolve_sites(spark, d):
+    """States of tips after evolution along a genealogy, counted by site pattern."""
+    from ..sources import newick
+
+    sites = A.table(spark, d, "customer").select(F.lit(0).cast("long").alias("locus"), F.col("c_custkey").alias("site"))
+    calls, _ = evolve.evolved(sites, newick.parse("((a:1000,b:1000):1000,c:2000);"), 1e-4, 2.0, [0.1, 0.2, 0.3, 0.4], 5, shape=0.8)
+    return S.wide(calls.withColumn("pop", F.col("sample")), "pop", ["a", "b", "c"], ["locus", "site"]).groupBy("s0", "s1", "s2").agg(F.count("*").alias("n"))
+
+
+@query
+def arg_edges(spark, d):
+    """Edges of the full coalescent with recombination."""
+    return _model(spark, recomb=1e-7).tree_sequences(20, 2000)[1]
+
+
 # without an oracle: simulation and tree building
 
 

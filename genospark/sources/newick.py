@@ -118,7 +118,19 @@ def explode_trees(trees: DataFrame, column: str = "newick", key: str = "tree") -
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """tree, newick: one tree a line; trees are numbered by a hash-free running id a file part."""
+    """tree, newick: one tree a line, numbered from 0 in the order of file names and of their lines, however the files are split.
+
+    A file is read as one piece, as tree files are small; its lines are numbered in it, and files by sums over their counts.
+    """
+    from pyspark.sql import Window as W
     from pyspark.sql import functions as F
 
-    return spark.read.text(path).where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("tree"), F.col("value").alias("newick"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(x) != "").alias("lines"))
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)  # one row a file
+    base = files.select("file", F.size("lines").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return files.join(base, "file").select("before", F.posexplode("lines").alias("i", "newick")).select((F.col("before") + F.col("i")).cast("long").alias("tree"), "newick")
+
+
+def read_stats(spark: SparkSession, path: str, skip: str = "[") -> DataFrame:
+    """A tab-separated table of sampled parameters , its columns named and typed by its content; lines that begin with `skip` are comments."""
+    return spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).option("comment", skip).csv(path)

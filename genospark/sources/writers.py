@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases
 from ..operators import calls as C
+from ..operators.numbering import numbered
 
 
 def pack(calls: DataFrame) -> DataFrame:
@@ -16,6 +17,12 @@ def pack(calls: DataFrame) -> DataFrame:
     return calls.groupBy("locus", "sample").agg(F.array_join(letters, "").alias("seq"))
 
 
+def pack_codes(codes: DataFrame) -> DataFrame:
+    """locus, individual, seq: diploid letters in site order.  codes: locus, site, individual, code."""
+    letters = F.transform(F.sort_array(F.collect_list(F.struct("site", "code"))), lambda x: x["code"])
+    return codes.groupBy("locus", "individual").agg(F.array_join(letters, "").alias("seq"))
+
+
 def unpack(seqs: DataFrame) -> DataFrame:
     """locus, sample, site, allele from packed sequences; letters other than ACGT are missing."""
     long = seqs.select("locus", "sample", F.posexplode(F.split("seq", "")).alias("site", "b"))
@@ -55,8 +62,37 @@ def nexus_blocks(seqs: DataFrame, width: int = 100) -> DataFrame:
     return cut.select("block", "name", F.substring("seq", F.col("block") * width + 1, F.lit(width)).alias("text"))
 
 
+def nexus_cut(seqs: DataFrame, width: int = 100) -> DataFrame:
+    """block, name, text: as nexus_blocks of the concatenated loci, without putting a sample's loci into one string.
+
+    A locus starts at the sum of the lengths before it; its letters fall into blocks by their places.  seqs: locus, name, seq.
+    """
+    sizes = seqs.groupBy("locus").agg(F.max(F.length("seq")).alias("size"))
+    placed = seqs.where("length(seq) > 0").join(numbered(sizes, "locus", "before", size="size"), "locus")
+    first, last = F.floor(F.col("before") / width), F.floor((F.col("before") + F.length("seq") - 1) / width)
+    parts = placed.withColumn("block", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.lit(0), F.col("block") * width - F.col("before"))
+    stop = F.least(F.length("seq"), (F.col("block") + 1) * width - F.col("before"))
+    piece = F.substring("seq", (start + 1).cast("int"), (stop - start).cast("int"))
+    return _joined_by(parts.select("block", "name", "locus", piece.alias("text")), ["block", "name"])
+
+
+def _joined_by(parts: DataFrame, by: list[str]) -> DataFrame:
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("locus", "text"))), lambda x: x["text"]), "")
+    return parts.groupBy(*by).agg(whole.alias("text"))
+
+
 def nexus_header(ntax: int, nchar: int) -> str:
-    return f"#NEXUS\nbegin data;\n  dimensions ntax={ntax} nchar={nchar};\n  format datatype=DNA missing=N gap=- interleave=yes;\n  matrix\n"
+    return f"#NEXUS\nbegin data;\n  dimensions ntax={ntax} nchar={nchar};\n  format datatype=DNA missing=N gap=- interleave=yes;\n  matrix"
+
+
+def nexus_lines(seqs: DataFrame, width: int = 100) -> DataFrame:
+    """part, block, name, value: a nexus document in the order of the first three columns.  seqs: locus, name, seq of concatenated loci."""
+    spark = seqs.sparkSession
+    sizes = seqs.groupBy("name").agg(F.sum(F.length("seq")).alias("n")).agg(F.count("*").alias("ntax"), F.max("n").alias("nchar")).first()
+    edge = spark.createDataFrame([(0, -1, "", nexus_header(sizes["ntax"], sizes["nchar"] or 0)), (2, -1, "", "  ;\nend;")], "part int, block long, name string, value string")
+    body = nexus_cut(seqs, width).select(F.lit(1).alias("part"), "block", "name", F.concat(F.lit("  "), padded(F.col("name")), F.lit(" "), F.col("text")).alias("value"))
+    return edge.unionByName(body)
 
 
 def vcf_rows(calls: DataFrame, anc: DataFrame, pairs: DataFrame | None = None, fill: bool = True) -> DataFrame:
@@ -78,15 +114,27 @@ def vcf_rows(calls: DataFrame, anc: DataFrame, pairs: DataFrame | None = None, f
 
 def vcf_header(contigs: list[tuple[int, int]], samples: list[str]) -> str:
     """Header text; contig ids count from 1 as the rows' CHROM does."""
-    lines = ["##fileformat=VCFv4.2", "##source=genospark", *(f"##contig=<ID={c},length={n}>" for c, n in contigs), '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
+    lines = ["##fileformat=VCFv4.2", "##source=genospark", "##reference=true_simulated_ancestral_sequence", *(f"##contig=<ID={c},length={n}>" for c, n in contigs), '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
     return "\n".join([*lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])])
 
 
+def vcf_lines(calls: DataFrame, anc: DataFrame, pairs: DataFrame | None = None, fill: bool = True) -> DataFrame:
+    """chrom, pos, line: a VCF document in the order of chrom and pos; its header is the line of chrom 0.
+
+    The header lists the loci that vary and the sample names: its size is that of a row and of the list of loci.
+    """
+    people = calls.select(F.col("sample").cast("string").alias("n")) if pairs is None else pairs.select(F.col("individual").cast("string").alias("n"))
+    names = sorted(r["n"] for r in people.distinct().collect())
+    contigs = sorted((r["chrom"], r["length"]) for r in C.contig_lines(calls).collect())
+    head = calls.sparkSession.createDataFrame([(0, 0, vcf_header(contigs, names))], "chrom long, pos long, line string")
+    return head.unionByName(vcf_rows(calls, anc, pairs, fill).select(F.col("chrom").cast("long").alias("chrom"), F.col("pos").cast("long").alias("pos"), "line"))
+
+
 def phymap(summary: DataFrame) -> DataFrame:
     """chrom (from 1), phy0, phy1, pos0, pos1: offsets of loci placed side by side."""
-    w = W.orderBy("locus")
-    end = F.sum("nbps").over(w)
-    return summary.select((F.row_number().over(w)).cast("long").alias("chrom"), (end - F.col("nbps")).alias("phy0"), end.alias("phy1"), F.lit(0).cast("long").alias("pos0"), F.col("nbps").alias("pos1"))
+    end = F.col("before") + F.col("nbps")
+    rows = numbered(numbered(summary, "locus", "chrom"), "locus", "before", size="nbps")
+    return rows.select((F.col("chrom") + 1).cast("long").alias("chrom"), F.col("before").alias("phy0"), end.alias("phy1"), F.lit(0).cast("long").alias("pos0"), F.col("nbps").alias("pos1"))
 
 
 def snpsmap(sites: DataFrame) -> DataFrame:
@@ -95,7 +143,7 @@ def snpsmap(sites: DataFrame) -> DataFrame:
     Loci are numbered by their totals before sites are: no task sorts all sites.
     """
     per = sites.groupBy("locus").agg(F.count("*").alias("n"))
-    before = per.select("locus", F.coalesce(F.sum("n").over(W.orderBy("locus").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = numbered(per, "locus", "before", size="n").select("locus", "before")
     idx = F.row_number().over(W.partitionBy("locus").orderBy("site")) - 1
     return sites.withColumn("idx", idx.cast("long")).join(before, "locus").select((F.col("locus") + 1).alias("locus"), "idx", (F.col("site") + 1).alias("pos"), (F.col("before") + F.col("idx") + 1).alias("global_idx"))
 

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genospark.model import Model, ModelError
-from genospark.operators import inference
+from genospark.model import Model, ModelError, rate_file
+from genospark.operators import ancestry, evolve, inference
 from genospark.operators import simulate as S
 from genospark.sources import adapters, newick
 from genospark.streaming import intervals as streams
@@ -142,6 +142,139 @@ def test_export(spark, tmp_path):
     assert m.imap() == {p: [f"{p}_0", f"{p}_1"] for p in "abc"} and m.imap(diploid=True) == {p: [p] for p in "abc"}
 
 
+def test_written_files_are_whole(spark, tmp_path):
+    m = Model(spark, TREE, Ne=1000, nsamples=2, mut=2e-6, recomb=0.0, seed_trees=8)
+    s = m.sim_loci(3, 130)
+    lines = lambda p: [r.value for f in sorted(p.glob("part-*")) for r in spark.read.text(str(f)).collect()]
+    for diploid, names in ((False, ["a_0", "a_1", "b_0", "b_1", "c_0", "c_1"]), (True, ["a", "b", "c"])):
+        path = tmp_path / f"vcf{diploid}"
+        s.write_vcf(str(path), diploid=diploid)
+        got = lines(path)
+        head = [x for x in got if x.startswith("#")]
+        assert got[: len(head)] == head and head[0] == "##fileformat=VCFv4.2" and head[-1].split("\t")[9:] == names
+        body = [x.split("\t") for x in got[len(head) :]]
+        assert body == sorted(body, key=lambda r: (int(r[0]), int(r[1]))) and {len(r) for r in body} == {9 + len(names)}
+        assert {r[0] for r in body} == {x.split("ID=")[1].split(",")[0] for x in head if x.startswith("##contig")}
+        path = tmp_path / f"nex{diploid}"
+        s.write_concat_to_nexus(str(path), diploid=diploid)
+        got = lines(path)
+        assert got[0] == "#NEXUS" and got[-1] == "end;" and f"ntax={len(names)} nchar=390" in got[2]
+        seqs = {}
+        for x in got[5:-2]:
+            n, piece = x.split()
+            seqs[n] = seqs.get(n, "") + piece
+        text = s.write_concat_to_phylip(diploid=diploid).splitlines()
+        assert text[0] == f"{len(names)} 390" and dict(x.split() for x in text[1:]) == seqs and list(seqs) == names
+        s.write_popfile(str(tmp_path / f"pop{diploid}"), diploid)
+        assert sorted(lines(tmp_path / f"pop{diploid}")) == [f"{n[0]}\t{n}" for n in names]
+    s.write_loci_to_phylip(str(tmp_path / "phy"), name_prefix="x", name_suffix="y")
+    assert sorted(p.name for p in (tmp_path / "phy").glob("file=*")) == ["file=x0y.phy", "file=x1y.phy", "file=x2y.phy"]
+    s.write_loci_tables(str(tmp_path / "loci"))
+    s.write_snps_tables(str(tmp_path / "snps"), diploid=True)
+    read = lambda p: spark.read.parquet(str(tmp_path / p))
+    assert read("loci/seqs").count() == 18 and read("loci/phymap").agg(F.max("phy1")).first()[0] == 390
+    assert read("snps/snps").count() == read("snps/genos").count() == 3 * read("snps/snpsmap").count() > 0
+    assert {r.value for r in read("snps/attributes").where("key = 'name'").collect()} == {"a", "b", "c"}
+
+
+def test_diploids_pair_by_number(spark):
+    m = Model(spark, "(a,b);", Ne=10, nsamples={"a": 12, "b": 2})
+    pairs = {}
+    for r in m.sim_loci(1, 1).pairs().collect():
+        pairs.setdefault(r.individual, set()).add(r.sample)
+    assert pairs["a_0"] == {"a_0", "a_1"} and pairs["a_1"] == {"a_2", "a_3"} and pairs["a_5"] == {"a_10", "a_11"}
+    with pytest.raises(ModelError):
+        Model(spark, "(a,b);", Ne=10, nsamples={"a": 3, "b": 2}).sim_loci(1, 1).write_vcf(diploid=True)
+
+
+def test_rare_snps(spark):
+    """The search goes on over far more than 10,000 candidates."""
+    s = Model(spark, "(p);", Ne=100, nsamples=2, mut=1e-7, seed_trees=3).sim_snps(1)
+    assert s.df.count() == 1
+    with pytest.raises(ValueError):
+        S.sim_snps(spark, Model(spark, "(p);", Ne=100, nsamples=2).demography, 5, 1e-9, (1, 1), np.full((4, 4), 0.25), np.full(4, 0.25), most_candidates=1000)
+
+
+def test_full_coalescent(spark):
+    """Moments of two samples with recombination, and trees that agree with their tables."""
+    d = S.Demography({"p": 500.0}, [], [("x", "p", 0.0), ("y", "p", 0.0)])
+    # at any site the time is exponential with mean 2N; at distance rho the correlation of two sites is (rho + 18) / (rho^2 + 13 rho + 18)
+    rate, n = 1e-3, 1500
+    first, last = [], []
+    for k in range(n):
+        parts = ancestry.intervals(d, S.generator(5, k), 1001, rate / 1000)
+        assert parts[0][0] == 0 and parts[-1][1] == 1001 and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+        first.append(max(parts[0][2].height.values())), last.append(max(parts[-1][2].height.values()))
+    rho = 4 * 500 * rate
+    assert abs(np.mean(first + last) - 1000) < 5 * 1000 / math.sqrt(n)
+    assert abs(np.corrcoef(first, last)[0, 1] - (rho + 18) / (rho * rho + 13 * rho + 18)) < 0.12
+    m = Model(spark, TREE, Ne=1000, nsamples=2, mut=1e-7, recomb=1e-7, seed_trees=9, store_tree_sequences=True)
+    s = m.sim_loci(3, 3000)
+    nodes, edges = s.tree_sequences
+    assert s.df.agg(F.sum("nbps")).first()[0] == 9000 and s.df.count() > 6
+    assert nodes.where("name is not null").count() == 18
+    # at every site each of the 6 samples but none else begins a path; a binary tree of 6 tips has 10 edges
+    at = edges.join(spark.range(0, 3000, 500).select(F.col("id").alias("x")), (F.col("start") <= F.col("x")) & (F.col("x") < F.col("end"))).groupBy("locus", "x").count().collect()
+    assert len(at) == 18 and {r["count"] for r in at} == {10}
+    low = edges.join(nodes.select("locus", F.col("node").alias("parent"), F.col("time").alias("up")), ["locus", "parent"]).join(nodes.select("locus", F.col("node").alias("child"), "time"), ["locus", "child"])
+    assert low.where("time >= up").count() == 0
+    with pytest.raises(ModelError):
+        Model(spark, TREE, Ne=1, ancestry_model="other")
+    assert heights(r.genealogy for r in Model(spark, TREE, Ne=500, recomb=0.0, ancestry_model="smc_prime").sim_trees(20, 5).collect()).min() >= 2000 - 1e-6
+
+
+def test_evolution(spark):
+    """Gamma rates have mean 1 and variance 1 / shape; states follow HKY along a branch."""
+    sites = spark.range(20_000).select(F.lit(0).cast("long").alias("locus"), F.col("id").alias("site"))
+    for shape in (0.5, 3.0):
+        got = evolve.site_rates(sites, shape, None, 1).agg(F.avg("rate"), F.var_samp("rate")).first()
+        assert abs(got[0] - 1) < 5 * math.sqrt(1 / shape / 20_000) and abs(got[1] - 1 / shape) < 0.25 / shape
+    binned = evolve.site_rates(sites, 1.0, 4, 1)
+    assert binned.select("rate").distinct().count() == 4 and abs(binned.agg(F.avg("rate")).first()[0] - 1) < 0.05
+    pi, kappa, t = [0.1, 0.2, 0.3, 0.4], 3.0, 0.5
+    calls, anc = evolve.evolved(sites, newick.parse("(a:500,b:0);"), 1e-3, kappa, pi, 3)
+    both = calls.where("sample = 'a'").join(anc, ["locus", "site"]).groupBy("anc", "allele").count().toPandas()
+    q = np.array([[pi[j] * (kappa if i % 2 == j % 2 else 1) for j in range(4)] for i in range(4)])
+    np.fill_diagonal(q, 0)
+    np.fill_diagonal(q, -q.sum(axis=1))
+    q /= -(np.array(pi) * q.diagonal()).sum()
+    w, v = np.linalg.eig(q)
+    p = (v @ np.diag(np.exp(w * t)) @ np.linalg.inv(v)).real
+    for r in both.itertuples():
+        want = pi[r.anc] * p[r.anc, r.allele]
+        assert abs(r.count / 20_000 - want) < 5 * math.sqrt(want * (1 - want) / 20_000)
+    assert calls.where("sample = 'b'").join(anc, ["locus", "site"]).where("allele <> anc").count() == 0
+
+
+def test_amino_acid_rates(tmp_path):
+    n = 20
+    lower = [[i * 20 + j + 1 for j in range(i)] for i in range(1, n)]
+    (tmp_path / "m.dat").write_text("\n".join(" ".join(map(str, r)) for r in lower) + "\n\n" + " ".join(["0.05"] * n) + "\n\nA made-up matrix")
+    letters, root, probs = rate_file(str(tmp_path / "m.dat"))
+    assert len(letters) == 20 and root == pytest.approx(np.full(20, 0.05)) and probs.sum(axis=1) == pytest.approx(np.ones(20)) and (probs.diagonal() == 0).all()
+    assert probs[2, 0] / probs[2, 1] == pytest.approx(41 / 42)
+
+
+def test_trees_of_many_loci(spark, tmp_path):
+    m = Model(spark, "(((a:4000,b:4000):4000,c:8000):4000,d:12000);", Ne=1000, nsamples=2, recomb=0.0, mut=1e-7, seed_trees=2)
+    loci = m.sim_trees(150, 1)
+    imap = {s: p for s, p in m.samples}
+    clades = lambda text: {tuple(sorted(x.name for x in n.leaves())) for n in newick.parse(text).walk() if n.children}
+    assert {("a", "b"), ("c", "d")} & clades(inference.species_tree(loci, "genealogy", imap))
+    s = m.sim_loci(4, 3000)
+    got = inference.concatenated_tree(s.seqs()).first()
+    assert got.nsamples == 8 and all({tuple(f"{p}_{k}" for k in (0, 1))} <= {c if len(c) == 2 else c for c in clades(got.gene_tree)} or p == "d" for p in "c")
+    windows = inference.window_trees(s.calls, 1000).collect()
+    assert len(windows) == 12 and all(r.gene_tree.count(",") == 7 for r in windows)
+    for k in range(3):
+        (tmp_path / f"t{k}.nwk").write_text("".join(f"(a:{k},b:{i});\n" for i in range(3)) + "\n")
+    trees = newick.read_trees(spark, str(tmp_path / "t*.nwk")).orderBy("tree").collect()
+    assert [(r.tree, r.newick) for r in trees] == [(3 * k + i, f"(a:{k},b:{i});") for k in range(3) for i in range(3)]
+    (tmp_path / "stats.tsv").write_text("[ID: 1]\nGen\tLnL\n0\t-10.5\n100\t-9.25\n")
+    stats = newick.read_stats(spark, str(tmp_path / "stats.tsv"))
+    assert stats.dtypes == [("Gen", "int"), ("LnL", "double")] and stats.count() == 2
+
+
 def test_estimators(spark):
     d = np.array([[0, 2, 4, 6], [2, 0, 4, 6], [4, 4, 0, 6], [6, 6, 6, 0]], dtype=float)
     for build in inference.ESTIMATORS.values():

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from genospark.plans.oracles import ORACLES
@@ -19,7 +20,7 @@ def con(sf):
 
 
 def rows(frame):
-    cell = lambda x: "" if x is None or x != x else f"{float(x) + 0.0:.5f}" if isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x) else str(x)
+    cell = lambda x: "" if x is None or x is pd.NA or x is pd.NaT or x != x else f"{float(x) + 0.0:.5f}" if isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x) else str(x)
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(cell(v) for v in r) for r in frame.astype(object).itertuples(index=False))
 
