@@ -4,19 +4,19 @@ Signature.  A shingle of weight w owns the weights (0, w], discretised into the
 (4,8] and so on.  Every (shingle, block) pair seeds a Poisson process whose rate is the block's width; each point
 has a time, a register and a weight inside the block, and is kept if the shingle's weight reaches it.
 A register takes its earliest point.  Equal shingles share their processes in every document, so
-two registers agree with the probability of the weighted Jaccard similarity.  Only points before a time that
-fills all registers are drawn; where a register stays empty, the time is doubled.
+two registers agree with the probability of the weighted Jaccard similarity.  The processes of a document run in step, and
+stop when its last register has been filled: later points can't change a register.
 
 Bands.  `bands` bands of `rows` registers are hashed to buckets.  Documents are first reduced to classes of equal
-word sequences.  A bucket's smallest member leads it; in the first round every member is compared with the two
-leaders that it shares most buckets with.  Links join classes to components.  In later rounds a component sends one
-member to each of its buckets, which meets leaders of other components there, and each component compares the three
-pairs that share most buckets; rounds with other members follow until one finds no new link.  These rounds join large
-groups of copies with few comparisons.  In the end every pair that shares a bucket, lies in two components and has not
-been compared yet is compared, so that no candidate pair stays untested; texts whose sizes alone keep them below the
-threshold need no comparison.  The pairs of a family of texts that are alike without being near duplicates grow
-with the square of its size; its texts travel in blocks, not with each pair.  A comparison computes the exact
-weighted Jaccard similarity of the two texts.
+word sequences.  A bucket has two leaders: the member with most company in all its buckets, and the smallest one.  Every member is
+compared with the two leaders that it shares most buckets with, which joins large groups of copies with few comparisons.
+
+Rest.  Then every bucket that still holds several components is worked off whole: it is cut into blocks of about `block` members,
+and any two blocks are one unit of work, in which the members of different components are compared.  Buckets with the same members are
+taken once.  A pair needs no comparison if the texts' sizes alone keep it below the threshold, or if its signatures agree in fewer
+registers than six standard deviations below those of a pair at the threshold.  In a unit, likelier pairs go first, and a pair that
+links have joined by then is skipped.  A comparison computes the exact weighted Jaccard similarity of the two texts.  Only links leave a
+unit, so no pairs of a group travel; texts travel to the units that need them, one copy a unit.
 
 Edge cases.  A text with fewer words than a shingle is one shingle of all its words.  Texts without
 words are copies of byte-equal texts only; a null text is in a class of its own.  Rows that share doc_id
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MASK64, mix64, slices, stored, words
+from .common import MASK64, drop, mix64, slices, stored, words
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 POWERS = mix64(np.arange(1, 65, dtype=np.uint64) * GOLDEN) | np.uint64(1)
@@ -81,43 +81,53 @@ def shingles(tokens: list[list[str]], n: int, hashes: WordHashes) -> tuple[np.nd
 def signatures(doc: np.ndarray, sh: np.ndarray, count: np.ndarray, n_docs: int, m: int) -> np.ndarray:
     """Registers (n_docs, m) of point identities; documents without shingles have zeros."""
     regs = np.zeros((n_docs, m), dtype=np.uint64)
+    flat = regs.reshape(-1)
     total = np.bincount(doc, weights=count, minlength=n_docs)
     # the blocks (0,1], (1,2], (2,4], ... that a count reaches into
-    parts = [(doc, sh, np.zeros(len(doc)), np.ones(len(doc)), np.ones(len(doc)))]
+    parts = [(doc, sh, np.ones(len(doc)), np.ones(len(doc)))]
     lo = 1
     while (reach := count > lo).any():
-        parts.append((doc[reach], mix64(sh[reach] + np.uint64(lo * int(GOLDEN) & MASK64)), np.full(reach.sum(), lo), np.full(reach.sum(), float(lo)), np.minimum(count[reach], 2 * lo) - lo))
+        parts.append((doc[reach], mix64(sh[reach] + np.uint64(lo * int(GOLDEN) & MASK64)), np.full(reach.sum(), float(lo)), np.minimum(count[reach], 2 * lo) - lo))
         lo *= 2
-    d0, seed0, _, width0, own0 = (np.concatenate(x) for x in zip(*parts, strict=True))
-    pending, stretch = total > 0, 1.0
+    d, seed, width, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def next_point(seed, j, t, width):
+        r = mix64(seed + j * GOLDEN)
+        return r, t - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / width
+
+    j = np.ones(len(d), dtype=np.uint64)
+    r, t = next_point(seed, j, 0.0, width)
+    # a window of time after the other, until every register has its earliest point
+    pending, begun, step = total > 0, np.zeros(n_docs), math.log(m) + 0.5
     while pending.any():
-        limit = np.where(pending, m * (math.log(m) + 3) * stretch / np.maximum(total, 1), 0.0)
-        keep = pending[d0]
-        d, seed, width, own = d0[keep], seed0[keep], width0[keep], own0[keep]
-        t, j, got = np.zeros(len(d)), 0, []
-        while len(d):
-            j += 1
-            r = mix64(seed + np.uint64(j * int(GOLDEN) & MASK64))
-            t = t - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / width
-            live = t < limit[d]
-            d, seed, width, own, t, r = d[live], seed[live], width[live], own[live], t[live], r[live]
-            if not len(d):
-                break
-            r2 = mix64(r ^ GOLDEN)
-            hit = (r2 & np.uint64(0xFFFFFFFF)).astype(np.float64) / (1 << 32) * width < own
-            reg = ((r2 >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            got.append((d[hit], reg[hit].astype(np.int64), t[hit], r[hit]))
+        limit = np.where(pending, begun + m * step / np.maximum(total, 1), 0.0)
+        now, got = np.flatnonzero(t < limit[d]), []
+        d1, seed1, width1, own1, j1, r1, t1 = (x[now] for x in (d, seed, width, own, j, r, t))
+        while len(now):
+            r2 = mix64(r1 ^ GOLDEN)
+            hit = (r2 & np.uint64(0xFFFFFFFF)).astype(np.float64) / (1 << 32) * width1 < own1
+            reg = ((r2[hit] >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            got.append((d1[hit], reg.astype(np.int64), t1[hit], r1[hit]))
+            j1 = j1 + np.uint64(1)
+            r1, t1 = next_point(seed1, j1, t1, width1)
+            live = t1 < limit[d1]
+            # those that have left the window wait there
+            gone = now[~live]
+            j[gone], r[gone], t[gone] = j1[~live], r1[~live], t1[~live]
+            now, d1, seed1, width1, own1, j1, r1, t1 = (x[live] for x in (now, d1, seed1, width1, own1, j1, r1, t1))
         if got:
             pd, pr, pt, pid = (np.concatenate(x) for x in zip(*got, strict=True))
-            key = ((pd * m + pr).astype(np.uint64) << np.uint64(36)) | (pt / limit[pd] * (1 << 36)).astype(np.uint64)
+            slot = pd * m + pr
+            free = flat[slot] == 0
+            slot, pd, pt, pid = slot[free], pd[free], pt[free], pid[free]
+            key = (slot.astype(np.uint64) << np.uint64(36)) | ((pt - begun[pd]) / (limit[pd] - begun[pd]) * (1 << 36)).astype(np.uint64)
             order = np.argsort(key)
-            slot = (key[order] >> np.uint64(36)).astype(np.int64)
+            slot = slot[order]
             first = np.ones(len(slot), dtype=bool)
             first[1:] = slot[1:] != slot[:-1]
-            regs.reshape(-1)[slot[first]] = pid[order[first]] | np.uint64(1)
-        pending = pending & (regs == 0).any(axis=1)
-        regs[pending] = 0
-        stretch *= 2
+            flat[slot[first]] = pid[order[first]] | np.uint64(1)
+        pending &= (regs == 0).any(axis=1)
+        begun, step = np.where(pending, limit, 0.0), 1.0
     return regs
 
 
@@ -131,15 +141,21 @@ def band_keys(regs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similarity(a: list[str], b: list[str], n: int, hashes: WordHashes) -> float:
-    """Weighted Jaccard similarity of two multisets of shingles."""
-    doc, sh, count = shingles([a, b], n, hashes)
-    if not len(doc):
-        return 0.0
-    _, at = np.unique(sh, return_inverse=True)
-    both = np.zeros((2, at.max() + 1))
-    both[doc, at] = count
-    return float(both.min(axis=0).sum() / both.max(axis=0).sum())
+class Shingled:
+    """The shingles of some texts, to compare pairs of them."""
+
+    def __init__(self, texts: list[str], n: int):
+        self.doc, self.sh, self.count = shingles([words(t) for t in texts], n, WordHashes())
+        self.ends = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+        self.total = np.bincount(self.doc, weights=self.count, minlength=len(texts))
+
+    def similarity(self, i: int, j: int) -> float:
+        """Weighted Jaccard similarity of two multisets of shingles."""
+        x, y = slice(self.ends[i], self.ends[i + 1]), slice(self.ends[j], self.ends[j + 1])
+        _, u, v = np.intersect1d(self.sh[x], self.sh[y], assume_unique=True, return_indices=True)
+        least = float(np.minimum(self.count[x][u], self.count[y][v]).sum())
+        both = self.total[i] + self.total[j] - least
+        return least / both if both else 0.0
 
 
 def digests(doc_id: int | None, text: str | None, tokens: list[str]) -> tuple[int, int]:
@@ -153,7 +169,7 @@ def digests(doc_id: int | None, text: str | None, tokens: list[str]) -> tuple[in
 
 
 def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, d1, d2 (digest of the word sequence), keys (bucket of each band; none without words), size (shingles)."""
+    """doc_id, d1, d2 (digest of the word sequence), keys (bucket of each band; none without words), size (shingles), sketch (a byte of each register)."""
 
     def run(batches):
         hashes = WordHashes()
@@ -161,30 +177,43 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             tokens = [words(t) for t in texts]
             doc, sh, count = shingles(tokens, n, hashes)
-            keys = band_keys(signatures(doc, sh, count, len(tokens), bands * rows), bands, rows)
+            regs = signatures(doc, sh, count, len(tokens), bands * rows)
+            keys = band_keys(regs, bands, rows)
             dig = np.array([digests(i, t, w) for i, t, w in zip(ids, texts, tokens, strict=True)], dtype=np.int64).reshape(-1, 2)
             some = np.array([bool(w) for w in tokens], dtype=bool)
             ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1)))
             total = np.bincount(doc, weights=count, minlength=len(tokens)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists, pa.array(total)], ["doc_id", "d1", "d2", "keys", "size"])
+            sketch = [x.tobytes() for x in (mix64(regs) >> np.uint64(56)).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists, pa.array(total), pa.array(sketch, pa.binary())], ["doc_id", "d1", "d2", "keys", "size", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, keys array<long>, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, keys array<long>, size long, sketch binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """a, b, sim of the pairs whose exact similarity reaches the threshold."""
+LINKS = "a long, b long, sim double"
 
-    def run(batches):
-        hashes = WordHashes()
-        for b in slices(batches, text="tb"):
-            a_, b_ = b.column("a").to_pylist(), b.column("b").to_pylist()
-            sims = [similarity(words(x), words(y), n, hashes) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
-            keep = [i for i, s in enumerate(sims) if s >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([a_[i] for i in keep], pa.int64()), pa.array([b_[i] for i in keep], pa.int64()), pa.array([sims[i] for i in keep], pa.float64())], ["a", "b", "sim"])
 
-    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
+def _links(found: list[tuple]) -> pa.Table:
+    cols = zip(*found, strict=True) if found else [()] * 3
+    return pa.table({c: pa.array(x, k) for c, x, k in zip(("a", "b", "sim"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+
+def led(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+    """a, b, sim of the pairs (a leader, a member) whose similarity reaches the threshold; a leader's text goes to each block of its members once."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("n"))
+    at = stored(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "n").alias("block")), "near-led")
+    members = at.join(texts.select(F.col("rep").alias("b"), "text"), "b").select("a", "block", "b", "text")
+    leaders = at.select(F.col("a").alias("lead"), F.col("block").alias("part")).distinct().join(texts.select(F.col("rep").alias("lead"), F.col("text").alias("lead_text")), "lead")
+
+    def run(leader: pa.Table, rows: pa.Table) -> pa.Table:
+        if not leader.num_rows:
+            return _links([])
+        a, b = leader.column("lead")[0].as_py(), rows.column("b").to_pylist()
+        both = Shingled([leader.column("lead_text")[0].as_py(), *rows.column("text").to_pylist()], n)
+        found = [(a, x, s) for i, x in enumerate(b, 1) if (s := both.similarity(0, i)) >= threshold]
+        return _links(found)
+
+    return leaders.groupBy("lead", "part").cogroup(members.groupBy("a", "block")).applyInArrow(run, LINKS)
 
 
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -223,40 +252,33 @@ def relabelled(df: DataFrame, column: str, comps: DataFrame) -> DataFrame:
     return df.join(new, column, "left").withColumn(column, F.coalesce("__c", column)).select(*df.columns)
 
 
-def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6) -> DataFrame:
+def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, block: int = 128) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the near-duplicate class), kept (this document stays) of every row.
 
     With the defaults a pair at exactly 0.8 shares a bucket with probability 0.99994.
     """
     sig = stored(signed(docs, n, bands, rows), "near-signed")
-    reps = stored(sig.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("size").alias("size")), "near-reps")
-    keyed = reps.where("rep is not null").select("rep", F.explode("keys").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("key", "lead")
-    # only buckets with company go on
-    members = stored(keyed.join(crowded, "key"), "near-members")
-    own = stored(reps.join(members.groupBy("rep").agg(F.min("lead").alias("home")), "rep"), "near-own")
+    ids = stored(sig.select("doc_id", "d1", "d2"), "near-ids")
+    reps = stored(sig.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "near-reps")
+    drop(sig)
+    members = stored(_led_members(reps.where("rep is not null").select("rep", F.explode("keys").alias("key"))), "near-members")
+    # only texts with company go on
+    own = stored(reps.join(members.select("rep").distinct(), "rep"), "near-own")
     texts = stored(_texts(docs, own.select("rep", "d1", "d2")), "near-texts")
-    comps = tested = None
-    k = 0
-    while True:
-        pairs = stored(_first_pairs(members) if k == 0 else _later_pairs(own, comps, tested, k), "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = stored(verified(pairs, texts, n, threshold), "near-links")
-        k += 1
-        if new.limit(1).count():
-            comps = joined_components(comps, new)
-        elif k > 1:
-            break
-    comps = _rest(own, texts, comps, tested, n, threshold)
+    links = stored(led(_first_pairs(members), texts, n, threshold, block), "near-links")
+    comps = joined_components(None, links)
+    rest = stored(_rest(own, members, texts, comps, n, threshold, bands * rows, block), "near-links")
+    comps = joined_components(comps, rest)
+    drop(members, own, texts)
     final = reps.select("d1", "d2", F.col("rep").alias("class_id"))
     if comps is not None:
         final = relabelled(final, "class_id", comps)
-    out = sig.select("doc_id", "d1", "d2").join(final, ["d1", "d2"])
+    out = ids.join(final, ["d1", "d2"])
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def _texts(docs: DataFrame, own: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(own, "rep")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(small(own), "rep")
 
     def same(batches):
         for b in slices(batches):
@@ -268,87 +290,84 @@ def _texts(docs: DataFrame, own: DataFrame) -> DataFrame:
     return rows.select("rep", "text", "d1", "d2").mapInArrow(same, "rep long, text string")
 
 
+def _led_members(keyed: DataFrame) -> DataFrame:
+    """rep, key, n (members of the bucket), least and central (its leaders), for buckets with company."""
+    many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = stored(keyed.join(many, "key"), "near-crowd")
+    company = crowd.groupBy("rep").agg(F.sum("n").alias("company"))
+    lead = crowd.join(company, "rep").groupBy("key").agg(F.min("rep").alias("least"), F.min_by("rep", F.struct(-F.col("company"), "rep")).alias("central"))
+    return crowd.join(lead, "key")
+
+
 def _first_pairs(members: DataFrame, most: int = 2) -> DataFrame:
-    """a < b: every member with the `most` leaders that it shares most buckets with."""
-    shared = members.where("lead < rep").groupBy("rep", "lead").agg(F.count("*").alias("n"))
+    """a (the leader), b: every member with the `most` leaders that it shares most buckets with."""
+    shared = members.select("rep", F.explode(F.array_distinct(F.array("least", "central"))).alias("lead")).where("lead <> rep").groupBy("rep", "lead").agg(F.count("*").alias("n"))
     best = W.partitionBy("rep").orderBy(F.desc("n"), "lead")
-    return shared.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    pairs = shared.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    # two leaders may have each other
+    return pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b")
 
 
-def _later_pairs(own: DataFrame, comps: DataFrame | None, tested: DataFrame, k: int, most: int = 3) -> DataFrame:
-    """a < b, not compared before: members that components send to their buckets, with leaders of other components."""
-    at = own.select("rep", F.col("rep").alias("comp"), "keys")
+def _rest(own: DataFrame, members: DataFrame, texts: DataFrame, comps: DataFrame | None, n: int, threshold: float, m: int, block: int) -> DataFrame:
+    """Links that join the components of every bucket that holds several."""
+    at = members.select("rep", F.col("rep").alias("comp"), "key")
     if comps is not None:
         at = relabelled(at, "comp", comps)
-    at = at.select("rep", "comp", F.explode("keys").alias("key"))
-    rank = F.xxhash64("rep", F.lit(k))
-    sent = at.groupBy("key", "comp").agg(F.min_by("rep", rank).alias("rep"))
-    # one row a bucket and component
-    bucket = W.partitionBy("key")
-    sent = sent.withColumns({"n": F.count("*").over(bucket), "l1": F.min_by("rep", rank).over(bucket), "l2": F.max_by("rep", rank).over(bucket), "c1": F.min_by("comp", rank).over(bucket), "c2": F.max_by("comp", rank).over(bucket)}).where("n > 1")
-    met = sent.select("comp", "rep", F.explode(F.array(F.struct(F.col("l1").alias("l"), F.col("c1").alias("c")), F.struct(F.col("l2").alias("l"), F.col("c2").alias("c")))).alias("x")).where("x.c <> comp")
-    pairs = met.groupBy("comp", F.least("rep", "x.l").alias("a"), F.greatest("rep", "x.l").alias("b")).agg(F.count("*").alias("n"))
-    pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    best = W.partitionBy("comp").orderBy(F.desc("n"), "a", "b")
-    return pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).select("a", "b").distinct()
-
-
-def _rest(own: DataFrame, texts: DataFrame, comps: DataFrame | None, tested: DataFrame, n: int, threshold: float, block: int = 128, most: int = 4_000_000) -> DataFrame | None:
-    """The components after every pair of a bucket that still lies in two of them has been compared.
-
-    Buckets are cut into blocks of about `block` members, and any two blocks of a bucket are one piece of work.  The
-    pieces go in as many slices as keep one at about `most` pairs; links of a slice spare later ones their pairs.
-    """
-    def placed() -> DataFrame:
-        at = own.select("rep", F.col("rep").alias("comp"), "size", F.explode("keys").alias("key"))
-        return at if comps is None else relabelled(at, "comp", comps)
-
-    each = placed().groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = each.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).where("comps > 1")
-    mixed = stored(mixed.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"), ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs")), "near-mixed")
-    total = mixed.agg(F.sum("pairs")).first()[0] or 0
-    parts = math.ceil(total / most)
-    for part in range(parts):
-        at = placed().join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-        mine = F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)) == part
-        left = at.withColumnsRenamed({"rep": "a", "comp": "ca", "size": "na"}).withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).where(mine)
-        right = at.withColumnsRenamed({"rep": "b", "comp": "cb", "size": "nb"}).withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).where(mine)
-        both = left.select("key", "i", "j", "a", "ca", "na").join(right.select("key", "i", "j", "b", "cb", "nb"), ["key", "i", "j"])
-        # the similarity is at most the quotient of the sizes
-        both = both.where("ca <> cb and (i < j or a < b)").where(F.least("na", "nb") >= (threshold - 1e-9) * F.greatest("na", "nb"))
-        pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = stored(_verified_in_blocks(stored(pairs, "near-pairs"), own, texts, n, threshold, block), "near-links")
-        if new.limit(1).count():
-            comps = joined_components(comps, new)
-    return comps
-
-
-def _verified_in_blocks(pairs: DataFrame, own: DataFrame, texts: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
-    """As verified(), for many pairs among few texts: pairs are grouped by blocks of texts with one home."""
-    many = own.groupBy("home").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    spot = stored(own.join(many, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "blocks")).alias("spot")), "near-spots")
-    side = lambda c: spot.select(F.col("rep").alias(c), F.col("spot").alias(f"s{c}"))
-    groups = pairs.join(side("a"), "a").join(side("b"), "b").select(F.xxhash64(F.least("sa", "sb"), F.greatest("sa", "sb")).alias("g"), "a", "b")
-    groups = stored(groups, "near-groups")
-    needed = groups.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("rep")).distinct().join(texts, "rep").select("h", "rep", "text")
-
-    def run(pairs_: pa.Table, texts_: pa.Table) -> pa.Table:
-        place = {r: i for i, r in enumerate(texts_.column("rep").to_pylist())}
-        doc, sh, count = shingles([words(t) for t in texts_.column("text").to_pylist()], n, WordHashes())
-        ends = np.searchsorted(doc, np.arange(len(place) + 1))
-        total = np.bincount(doc, weights=count, minlength=len(place))
-        out = []
-        for a, b in zip(pairs_.column("a").to_pylist(), pairs_.column("b").to_pylist(), strict=True):
-            i, j = place[a], place[b]
-            x, y = slice(ends[i], ends[i + 1]), slice(ends[j], ends[j + 1])
-            _, u, v = np.intersect1d(sh[x], sh[y], assume_unique=True, return_indices=True)
-            least = float(np.minimum(count[x][u], count[y][v]).sum())
-            s = least / (total[i] + total[j] - least)
-            if s >= threshold:
-                out.append((a, b, s))
-        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64()), "sim": pa.array([float(r[2]) for r in out], pa.float64())})
-
-    return groups.groupBy("g").cogroup(needed.groupBy("h")).applyInArrow(run, "a long, b long, sim double")
+    h = F.xxhash64("rep")
+    mixed = at.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")).where("c <> d")
+    # buckets with the same members are one
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = at.join(mixed, "key").groupBy("rep").agg(F.min("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("key", "blocks"))).alias("at"))
+    placed = stored(placed.join(own.select("rep", "size", "sketch"), "rep"), "near-placed")
+    mine = F.pmod(F.xxhash64("rep"), "x.blocks").cast("int")
+    units = placed.select("rep", "comp", "size", "sketch", F.col("at.key").alias("keys"), F.explode("at").alias("x")).withColumn("mine", mine)
+    # a member meets its own block and every other
+    units = units.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1))).select(F.col("x.key").alias("key"), F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "rep", "comp", "size", "sketch", "keys")
+    need = math.floor(m * threshold - 6 * math.sqrt(m * threshold * (1 - threshold)))
+
+    def candidates(rows: dict) -> list[tuple[int, int, int]]:
+        """agreement, i, j of the pairs of a unit that may be links."""
+        if not rows["rep"]:
+            return []
+        key, across = rows["key"][0], rows["i"][0] != rows["j"][0]
+        comp, size, side = (np.array(rows[c], dtype=np.int64) for c in ("comp", "size", "mine"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(comp), -1)
+        keys, out = [set(k) for k in rows["keys"]], []
+        for i in range(len(comp)):
+            ok = (comp[i + 1 :] != comp[i]) & (np.minimum(size[i + 1 :], size[i]) >= (threshold - 1e-9) * np.maximum(size[i + 1 :], size[i]))
+            if across:
+                ok &= side[i + 1 :] != side[i]
+            j = i + 1 + np.flatnonzero(ok)
+            agree = (sketch[j] == sketch[i]).sum(axis=1)
+            for k in np.flatnonzero(agree >= need):
+                # a pair belongs to the smallest bucket that both are in
+                if min(keys[i] & keys[j[k]]) == key:
+                    out.append((int(agree[k]), i, int(j[k])))
+        return out
+
+    def pick(rows: pa.Table) -> pa.Table:
+        some = sorted({x for _, i, j in candidates(rows.to_pydict()) for x in (i, j)})
+        return rows.take(pa.array(some, pa.int64()))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pydict()
+        texts, top, out = Shingled(rows["text"], n), {}, []
+
+        def root(x):
+            while (y := top.get(x, x)) != x:
+                top[x] = x = top.get(y, y)
+            return x
+
+        for _, i, j in sorted(candidates(rows), reverse=True):
+            a, b = root(rows["comp"][i]), root(rows["comp"][j])
+            if a != b and (s := texts.similarity(i, j)) >= threshold:
+                top[a] = b
+                out.append((rows["rep"][i], rows["rep"][j], s))
+        return _links(out)
+
+    kind = "key long, i int, j int, mine int, rep long, comp long, size long, sketch binary, keys array<long>"
+    picked = stored(units.groupBy("key", "i", "j").applyInArrow(pick, kind), "near-units")
+    return picked.join(texts, "rep").groupBy("key", "i", "j").applyInArrow(compare, LINKS)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -358,6 +377,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumn("__key", key)
     stay = classes(keyed.select(F.col("__key").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     left = keyed.join(stay, F.col("__key") == F.col("__id"), "left_semi")
-    # repeated rows of one doc_id and text count once
-    one = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return left.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    # repeated rows of one doc_id and text count once; they are reduced before the shuffle
+    one = left.groupBy("__key", F.xxhash64("text").alias("__h")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return one.select("__row.*")
