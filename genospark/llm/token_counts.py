@@ -5,13 +5,15 @@ counted by length.  Suffix sums over the lengths answer, for any limit L: how ma
 least L long, how many tokens all hold, and how many remain when each document is truncated at L.
 
 Edge cases.  A null or empty text has length 0.  Null group values are a group of their own.  An
-empty table gives an empty histogram.  Repeated rows count each time.  A run without white space is encoded as a whole, as the tokenizer does it.
+empty table gives an empty histogram.  Repeated rows count each time.  Runs of any length, of
+white space or without any, are encoded as the tokenizer does it.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -24,6 +26,9 @@ from .common import slices
 #: The pattern that splits a text before the merges of the public rank files (a fixed value of the tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Runs of the characters that have the property White_Space (a fixed value).
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
@@ -35,6 +40,19 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def length_of(enc, text: str) -> int:
+    """The number of tokens of a text; long runs of white space don't meet the pattern, whose matching would overflow its stack.
+
+    The pattern takes such a run as one piece up to its last character, which begins the next piece unless the text ends there.
+    """
+    total = at = 0
+    for m in LONG_BLANK.finditer(text):
+        last = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : last]))
+        at = last
+    return total + len(enc.encode_ordinary(text[at:]))
+
+
 def with_lengths(docs: DataFrame, ranks: str, by: list[str] | None = None, ship: bool = True) -> DataFrame:
     """The `by` columns and n_tokens of every row.  ship: the rank file goes to the executors with the job."""
     by = by or []
@@ -46,7 +64,7 @@ def with_lengths(docs: DataFrame, ranks: str, by: list[str] | None = None, ship:
         enc = encoder(SparkFiles.get(name) if ship else ranks)
         for b in batches:
             texts = [t or "" for t in b.column("__text").to_pylist()]
-            n = [len(enc.encode_ordinary(t)) for t in texts]
+            n = [length_of(enc, t) for t in texts]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(n, pa.int64())], [*by, "n_tokens"])
 
     kinds = dict(docs.dtypes)
