@@ -74,28 +74,33 @@ class ToxicityModel:
 
 
 def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int, float]]:
-    """All maximal segments (first word, last word, score) of a text.
+    """All maximal segments (first word, last word, score) of a text, in linear time.
 
     hits: (position, positive score) in order; every other position scores `other` < 0.
     """
-    # each entry: start, end, total before it, total after it
-    found: list[tuple[int, int, float, float]] = []
+    # each entry: start, end, total before it, total after it, the last earlier entry with a lower total before it (-1: none)
+    done: list[tuple[int, int, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for at, score in hits:
         total += other * (at - last - 1)
-        last = at
-        new = (at, at, total, total + score)
+        last, start, before, j = at, at, total, len(found) - 1
         total += score
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
+        while True:
+            # entries between an entry and the one it points to have no lower total before them
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
                 break
-            new = (found[j][0], new[1], found[j][2], new[3])
+            start, before, back = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append(new)
-    return [(s, e, after - before) for s, e, before, after in found]
+            j = back
+        if j < 0:
+            # no earlier entry can grow any more
+            done += [(s, e, after - low) for s, e, low, after, _ in found]
+            found.clear()
+        found.append((start, at, before, total, j))
+    return done + [(s, e, after - low) for s, e, low, after, _ in found]
 
 
 def evidence(text: str | None, m: ToxicityModel) -> tuple[float, int, float]:
@@ -165,7 +170,7 @@ def _terms(counts: DataFrame, t, c, n_tox: int, n_clean: int, max_terms: int, fl
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, max_terms: int = 20_000, flat: float = 0.5, pooled: float = 1.0, z_min: float = 2.5, shrink: float = 1.5, least: float = 1.8, e_max: float = 1.0) -> ToxicityModel:
     """Learn from a bounded labelled sample (max_labelled rows); the lexicon keeps the max_terms most significant terms."""
-    sample = labelled_sample(docs, labels, max_labelled)
+    sample = stored(labelled_sample(docs, labels, max_labelled), "toxic-sample")
     counts = stored(term_counts(sample), "toxic-terms")
     whole = (counts.where("term = ''").collect() or [dict.fromkeys(NAMES, 0)])[0]
     n_tox, n_clean = whole["tox0"] + whole["tox1"], whole["clean0"] + whole["clean1"]
@@ -178,39 +183,57 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, max_term
         return prior
     halves = [Lexicon(_terms(counts, F.col(f"tox{h}"), F.col(f"clean{h}"), whole[f"tox{h}"], whole[f"clean{h}"], *how)) for h in (0, 1)]
 
-    def stats(batches):
+    def hits_of(text: str | None, half: int) -> tuple[list[tuple[int, float]], int]:
+        tokens = LETTERS.findall(text.lower()) if text else []
+        return [(i, x) for i, x in enumerate(map(halves[1 - half].__getitem__, tokens)) if x is not None], len(tokens)
+
+    def each(batches):
         for b in slices(batches):
-            out = []
-            for text, y, half in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
-                tokens = LETTERS.findall(text.lower()) if text else []
-                hits = [(i, s) for i, s in enumerate(map(halves[1 - half].__getitem__, tokens)) if s is not None]
-                out.append(([i for i, _ in hits], [s for _, s in hits], int(y == 1), len(tokens)))
-            kinds = (pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["at", "s", "y", "n"])
-
-    # at most max_labelled rows with the hits of their texts
-    rows = [(list(zip(r["at"], r["s"], strict=True)), r["y"], r["n"]) for r in sample.mapInArrow(stats, "at array<int>, s array<double>, y int, n long").collect()]
-    clean_words, tox_words = (sum(n for _, y, n in rows if y == v) for v in (0, 1))
-    clean_hits = np.array([s for h, y, _ in rows if y == 0 for _, s in h])
-    tox_hits = sum(len(h) for h, y, _ in rows if y == 1)
-    rate_tox, rate_clean = (tox_hits + 0.5) / (tox_words + 1), (len(clean_hits) + 0.5) / (clean_words + 1)
-    scores = clean_hits if len(clean_hits) else np.array(list(terms.values()))
+            yield from zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True)
+
+    def tally(batches):
+        # how many hits of each score, and (without a score) how many words
+        count = Counter()
+        for text, y, half in each(batches):
+            hits, n = hits_of(text, half)
+            count.update((int(y == 1), x) for _, x in hits)
+            count[int(y == 1), None] += n
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.int32()), pa.array([k[1] for k in count], pa.float64()), pa.array(list(count.values()), pa.int64())], ["y", "s", "n"])
+
+    # at most two rows a term
+    tallied = sample.mapInArrow(tally, "y int, s double, n long").groupBy("y", "s").agg(F.sum("n").alias("n")).collect()
+    clean_words, tox_words = (sum(r["n"] for r in tallied if r["y"] == v and r["s"] is None) for v in (0, 1))
+    clean_hits = np.array([(r["s"], r["n"]) for r in tallied if r["y"] == 0 and r["s"] is not None]).reshape(-1, 2)
+    tox_hits = sum(r["n"] for r in tallied if r["y"] == 1 and r["s"] is not None)
+    rate_tox, rate_clean = (tox_hits + 0.5) / (tox_words + 1), (clean_hits[:, 1].sum() + 0.5) / (clean_words + 1)
+    scores, weights = clean_hits.T if len(clean_hits) else (np.array(list(terms.values())), np.ones(len(terms)))
     # at least twice what clean hits bring, so that clean text drifts downwards
-    other = min(-1e-3, math.log((1 - min(rate_tox, 0.5)) / (1 - min(rate_clean, 0.49))), -2 * rate_clean * float(scores.mean()) / (1 - min(rate_clean, 0.5)))
-    lam = _lambda(scores, rate_clean, other)
-    found = [[s for _, _, s in segments(h, other)] for h, _, _ in rows]
+    other = min(-1e-3, math.log((1 - min(rate_tox, 0.5)) / (1 - min(rate_clean, 0.49))), -2 * rate_clean * float(np.average(scores, weights=weights)) / (1 - min(rate_clean, 0.5)))
+    lam = _lambda(scores, weights, rate_clean, other)
+
+    def numbers(f):
+        """y and a number of each text: at most max_labelled rows."""
+
+        def run(batches):
+            got = [(int(y == 1), f([x for _, _, x in segments(hits, other)], n)) for text, y, half in each(batches) for hits, n in [hits_of(text, half)]]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64())], ["y", "x"])
+
+        return sample.mapInArrow(run, "y int, x double").collect()
+
     # K from the share of clean texts whose best segment passes a high level
-    best = np.array([max(f, default=0.0) for f, (_, y, _) in zip(found, rows, strict=True) if y == 0])
+    best = np.array([r["x"] for r in numbers(lambda found, n: max(found, default=0.0)) if r["y"] == 0])
     level = max(float(np.quantile(best, 0.95)), 1.0)
     k = min(10.0, max(1e-6, (1 + float((best >= level).sum())) / (max(1, clean_words) * math.exp(-lam * level))))
-    x = np.array([sum(v for s in f if (v := lam * s - math.log(k * max(1, n))) > -math.log(e_max)) for f, (_, _, n) in zip(found, rows, strict=True)])
-    bias, slope = _logistic(np.log1p(x), np.array([y for _, y, _ in rows], dtype=float))
+    rows = numbers(lambda found, n: sum(v for x in found if (v := lam * x - math.log(k * max(1, n))) > -math.log(e_max)))
+    # sorted, so that the curve doesn't depend on the order of tasks
+    x, y = np.array(sorted((r["x"], float(r["y"])) for r in rows)).T
+    bias, slope = _logistic(np.log1p(x), y)
     return ToxicityModel(Lexicon(terms), other, lam, k, e_max, bias, slope)
 
 
-def _lambda(scores: np.ndarray, p_hit: float, other: float) -> float:
+def _lambda(scores: np.ndarray, weights: np.ndarray, p_hit: float, other: float) -> float:
     """The positive root of (1-p) exp(l other) + p mean(exp(l s)) = 1, by bisection."""
-    f = lambda v: (1 - p_hit) * math.exp(v * other) + p_hit * float(np.mean(np.exp(np.minimum(v * scores, 600)))) - 1
+    f = lambda v: (1 - p_hit) * math.exp(v * other) + p_hit * float(np.average(np.exp(np.minimum(v * scores, 600)), weights=weights)) - 1
     lo, hi = 1e-6, 1.0
     while f(hi) < 0 and hi < 64:
         hi *= 2
