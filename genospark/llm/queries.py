@@ -58,8 +58,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secrets.grow(secrets.labelled_findings(spark))
-    return secrets.findings(table(spark, sf_dir, "documents"), forest)
+    docs = table(spark, sf_dir, "documents")
+    lang = secrets.language(docs)
+    return secrets.findings(docs, secrets.grow(secrets.labelled_findings(spark, lang), lang), lang)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

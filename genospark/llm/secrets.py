@@ -1,11 +1,14 @@
 """Secret scan: candidate strings, judged by a random forest, in DataFrame functions only.
 
-Candidates are all runs of at least `shortest` letters, digits and +/_.~- (with = as padding at the end) in words that
-mix letters with digits or capitals inside, found in the whole text; words may have any length and hold several.  The key of
-a run is the name in front of it, if only quotes and = or : lie between.  Features of a candidate: its length, the share of
-changes between character classes, the share of digits and of capitals, the share of its letters that lie in dictionary
-words, whether it is hexadecimal, whether the path looks like tests or samples, and whether a neighbouring word or
-the key in front names a secret or a placeholder.
+Candidates are all runs of at least `shortest` letters, digits and +/_.~- (with = as padding at the end) that
+mix letters with digits or capitals, and runs of at least 6 of any kind behind a key that names a secret, found in the whole text;
+words may have any length and hold several.  The key of a run is the name in front of it, if only quotes and = or : lie between.
+Features of a candidate: its length, the mean logarithm of its character transitions' probability, the share of changes between
+character classes, the share of digits and of capitals, the share of it that dictionary words cover, whether it is hexadecimal, whether
+the path looks like tests or samples, and whether a neighbouring word or the key in front names a secret or a placeholder.
+
+The transitions and the dictionary are learned from all words of the documents (`language`): the table of transitions holds the
+probabilities of a letter after another in them, and the dictionary their `most` most frequent words of four letters or more.
 
 The forest is grown from labelled findings level by level: one aggregate a level counts the bootstrapped
 labels of every tree, node, feature and bin, and the best Gini split of each node is chosen from those counts.  The
@@ -18,18 +21,22 @@ result.  Columns other than the id, the text and the path are not read.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Words that name secrets, words that mark placeholders, and a small dictionary.
+from .common import drop, stored
+
+# Words that name secrets, and words that mark placeholders.
 SECRET_WORDS = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "credential", "credentials", "auth", "bearer", "private", "access"]
 PLACEHOLDER_WORDS = ["example", "sample", "dummy", "placeholder", "changeme", "test", "todo", "xxxx", "your"]
-DICTIONARY = ["the", "and", "for", "that", "with", "this", "from", "test", "user", "name", "pass", "word", "example", "sample", "value", "data", "file", "http", "www", "com", "org", "mail", "page", "index", "html", "tion", "ing", "ment", "heit", "keit", "ción", "ung", "eaux", "elle", "able", "ation"]
 
 FEATURES = {
     "length": [12, 14, 16, 18, 20, 21, 24, 32, 40, 48, 64],
+    "transitions": [-7.0, -6.0, -5.0, -4.5, -4.0, -3.75, -3.5, -3.25, -3.0, -2.75, -2.5, -2.25],
     "changes": [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7],
     "digits": [0.01, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 0.95],
     "capitals": [0.01, 0.1, 0.3, 0.5, 0.7, 0.9],
@@ -40,10 +47,38 @@ FEATURES = {
     "placeholder": [0.5],
 }
 
+#: The states of the transitions: letters, any digit, anything else.
+STATES = "abcdefghijklmnopqrstuvwxyz0."
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 CLASSES = "a" * 26 + "A" * 26 + "0" * 10
 
 
+@dataclass(frozen=True)
+class Language:
+    """What ordinary words look like: the logarithms of transitions (by STATES, row by row), and frequent words."""
+
+    transitions: list[float]
+    words: list[str]
+
+
+def language(docs: DataFrame, most: int = 4000) -> Language:
+    """Learned from the words of all texts; at most `most` words and the table of transitions reach the driver."""
+    w = F.explode(F.split(F.lower(F.col(docs_text(docs)).cast("string")), r"[^\p{L}]+")).alias("w")
+    counts = docs.select(w).where("w rlike '^[a-z]{2,24}$'").groupBy("w").agg(F.count("*").alias("n"))
+    counts = stored(counts, "secret-words")
+    top = counts.where("length(w) >= 4").orderBy(F.desc("n"), "w").limit(most).collect()
+    pairs = counts.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("p")).groupBy("p").agg(F.sum("n").alias("n")).collect()
+    drop(counts)
+    n = {r["p"]: r["n"] for r in pairs}
+    total = max(1, sum(n.values()))
+    table = []
+    for a in STATES:
+        # a little of every transition, so that none is impossible
+        row = [n.get(a + b, 0) + 1e-5 * total / len(STATES) + 0.5 for b in STATES]
+        table += [math.log(x / sum(row)) for x in row]
+    return Language(table, [r["w"] for r in top])
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source", shortest: int = 12) -> DataFrame:
     """id, path, position (of the word), part (number of the piece in the word), before, key, value of every candidate."""
     w = F.split(F.coalesce(F.col(docs_text(docs)).cast("string"), F.lit("")), r"[ \n\t\r]")
@@ -51,7 +86,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source"
     # cheap tests first: most words are short or plain
     odd = F.filter(
         F.transform("w", lambda x, i: F.when(F.length(x) >= shortest, F.struct(i.alias("position"), x.alias("word")))),
-        lambda x: x.isNotNull() & x["word"].rlike(r"[0-9]|[a-z][A-Z]|[A-Z]{12}"),
+        lambda x: x.isNotNull() & x["word"].rlike(r"[0-9]|[a-z][A-Z]|[A-Z]{12}|(?i:" + "|".join(SECRET_WORDS) + r")[\\\"']*[=:]"),
     )
     at = lambda k: F.coalesce(F.try_element_at("w", F.col("c.position") + 1 + k), F.lit(""))
     before = F.lower(F.concat_ws(" ", F.when(F.col("c.position") >= 2, at(-2)), F.when(F.col("c.position") >= 1, at(-1))))
@@ -59,7 +94,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source"
     pieces = F.regexp_extract_all("c.word", F.lit(r"([A-Za-z0-9+/_.~-]+|[^A-Za-z0-9+/_.~-]+)"), 1)
     found = rows.select("id", "path", "w", F.explode(odd).alias("c")).select("id", "path", F.col("c.position").cast("long").alias("position"), before.alias("before"), pieces.alias("x"))
     beside = lambda i: F.coalesce(F.get("x", i), F.lit(""))
-    run = lambda x, i: F.when((F.length(x) >= shortest) & x.rlike("^[A-Za-z0-9+/_.~-]"), F.struct(i.alias("part"), x.alias("run"), beside(i - 2).alias("name"), beside(i - 1).alias("left"), beside(i + 1).alias("right"), (F.size("x") == i + 2).alias("last")))
+    run = lambda x, i: F.when((F.length(x) >= 6) & x.rlike("^[A-Za-z0-9+/_.~-]"), F.struct(i.alias("part"), x.alias("run"), beside(i - 2).alias("name"), beside(i - 1).alias("left"), beside(i + 1).alias("right"), (F.size("x") == i + 2).alias("last")))
     found = found.select("id", "path", "position", "before", F.explode(F.filter(F.transform("x", run), lambda r: r.isNotNull())).alias("r"))
     key = F.when(F.col("r.left").rlike(r"^\\?[\"']?[=:]"), F.lower(F.regexp_extract("r.name", r"([A-Za-z_.-]+)$", 1))).otherwise("")
     # the user of an address begins after the slashes
@@ -68,36 +103,45 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source"
     fill = F.regexp_extract("r.right", "^(={1,2})", 1)
     filled = F.col("r.last") | (((F.length(bare) + F.length(fill)) % 4 == 0) & (F.length("r.right") > F.length(fill)))
     out = found.select("id", "path", "position", F.col("r.part").cast("long").alias("part"), "before", key.alias("key"), F.concat(bare, F.when(filled, fill).otherwise("")).alias("value"))
-    return out.where((F.length("value") >= shortest) & F.col("value").rlike("[0-9A-Z]") & F.col("value").rlike("[A-Za-z]"))
+    keyed = F.col("key").rlike("(" + "|".join(SECRET_WORDS) + ")$")
+    return out.where(keyed | ((F.length("value") >= shortest) & F.col("value").rlike("[0-9A-Z]") & F.col("value").rlike("[A-Za-z]")))
 
 
 def docs_text(docs: DataFrame) -> str:
     return "text" if "text" in docs.columns else "html"
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def with_features(found: DataFrame, lang: Language) -> DataFrame:
     """The candidates with one double column `f_<name>` for each feature."""
     v, n = F.col("value"), F.length("value")
+    table = F.array(*[F.lit(float(x)) for x in lang.transitions])
+    state = lambda i: F.position(F.substring(F.col("__low"), i, F.lit(1)), F.lit(STATES))
+    moves = F.aggregate(F.sequence(F.lit(1), F.length("__low") - 1), F.lit(0.0), lambda a, i: a + F.element_at(table, (state(i) - 1) * len(STATES) + state(i + 1)))
+    # runs of letters, cut before capitals
+    pieces = F.regexp_extract_all(v, F.lit("([A-Z]?[a-z]+|[A-Z]+)"), 1)
+    covered = F.aggregate(pieces, F.lit(0), lambda a, x: a + F.when(F.lower(x).isin(lang.words or [""]), F.length(x)).otherwise(0))
     kinds = F.translate(v, LETTERS, CLASSES)
     runs = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1"))
     share = lambda pattern: (n - F.length(F.regexp_replace(v, pattern, ""))) / n
     named = lambda xs: F.when(F.concat_ws(" ", "before", "key").rlike("|".join(xs)), 1.0).otherwise(0.0)
     values = {
         "length": n.cast("double"),
+        "transitions": F.when(n > 1, moves / (n - 1)).otherwise(0.0),
         "changes": (runs - 1) / n,
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
-        "dictionary": (n - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))) / n,
+        "dictionary": covered / n,
         "hexadecimal": F.when(v.rlike("^[0-9a-f]+$"), 1.0).otherwise(0.0),
         "path": F.when(F.lower(F.coalesce("path", F.lit(""))).rlike("test|example|sample|fixture|mock"), 1.0).otherwise(0.0),
         "near": named(SECRET_WORDS),
         "placeholder": F.when((named(PLACEHOLDER_WORDS) > 0) | F.lower(v).rlike("|".join(PLACEHOLDER_WORDS)), 1.0).otherwise(0.0),
     }
-    return found.withColumns({f"f_{k}": c.cast("double") for k, c in values.items()})
+    low = F.regexp_replace(F.regexp_replace(F.lower(v), "[0-9]", "0"), "[^a-z0]", ".")
+    return found.withColumn("__low", low).withColumns({f"f_{k}": c.cast("double") for k, c in values.items()}).drop("__low")
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """path, before, key, value, secret: n labelled findings of known kinds, the same each time.
+def labelled_findings(spark: SparkSession, lang: Language, n: int = 6000) -> DataFrame:
+    """path, before, key, value, kind, secret: n labelled findings of known kinds, the same each time for a language.
 
     Secrets: random hexadecimal, base64 and access-key strings behind keys or bare.  False positives: file names, version and
     date strings, capitalised and invented words, addresses, placeholders, repeated characters, checksums without a key.
@@ -107,7 +151,10 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     part = lambda c, a, k: F.substring(c, a, k)
     pick = lambda xs, tag: F.element_at(F.array(*[F.lit(x) for x in xs]), F.pmod(F.xxhash64(F.lit(tag), "id"), F.lit(len(xs))).cast("int") + 1)
     syllables = ["the", "an", "tion", "er", "re", "in", "on", "ed", "ment", "le", "que", "ver", "ein", "sch", "de", "los", "ing", "ble"]
-    word = F.concat(*[pick(syllables, f"s{i}") for i in range(5)])
+    invented = F.concat(*[pick(syllables, f"s{i}") for i in range(5)])
+    # half of the words are invented, half are two frequent ones
+    common = lang.words[:500] or syllables
+    word = F.when(F.pmod(F.xxhash64(F.lit("which"), "id"), F.lit(2)) == 0, invented).otherwise(F.concat(pick(common, "c0"), pick(common, "c2")))
     digits = F.regexp_replace(r("d"), "[a-f]", "")
     kind = F.pmod(F.col("id"), F.lit(20))
     value = (
@@ -122,7 +169,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     key = F.when(keyed, pick(["token", "password", "secret", "api_key", "auth_token"], "k")).when(kind == 13, F.lit("password")).when(kind == 14, pick(["", "token"], "k")).when(kind == 19, F.lit("token")).otherwise("")
     before = F.concat_ws(" ", pick(syllables, "w1"), pick(syllables, "w2"))
     path = pick(["src1", "src2", "repo/main.py", "docs/readme", "repo/tests/data", "samples/a"], "p")
-    rows = spark.range(n, numPartitions=4).select("id", path.alias("path"), before.alias("before"), key.alias("key"), value.alias("value"), (kind < 8).cast("int").alias("secret"))
+    rows = spark.range(n, numPartitions=4).select("id", path.alias("path"), before.alias("before"), key.alias("key"), value.alias("value"), kind.alias("kind"), (kind < 8).cast("int").alias("secret"))
     return rows
 
 
@@ -139,12 +186,12 @@ def _leaf(tree: dict, node: int, inner, leaf) -> Column:
     return F.when(inner(name, b), _leaf(tree, 2 * node + 1, inner, leaf)).otherwise(_leaf(tree, 2 * node, inner, leaf))
 
 
-def grow(findings: DataFrame, trees: int = 12, depth: int = 5, tried: int = 5, least: int = 4) -> list[dict]:
+def grow(findings: DataFrame, lang: Language, trees: int = 12, depth: int = 5, tried: int = 5, least: int = 4) -> list[dict]:
     """A forest from labelled findings (path, before, key, value, secret).
 
     `tried` features, chosen by a hash, compete at each node.  Counts come from one aggregate a level.
     """
-    rows = _binned(with_features(findings)).select("secret", F.xxhash64("path", "before", "key", "value").alias("h"), *[f"b_{k}" for k in FEATURES]).cache()
+    rows = _binned(with_features(findings, lang)).select("secret", F.xxhash64("path", "before", "key", "value").alias("h"), *[f"b_{k}" for k in FEATURES]).cache()
     forest = [{"splits": {}, "leaves": {}} for _ in range(trees)]
     u = F.pmod(F.xxhash64("h", "tree"), F.lit(1 << 20)) / float(1 << 20)
     # Poisson(1) bootstrap weights
@@ -187,9 +234,9 @@ def forest_score(forest: list[dict]) -> Column:
     return sum(trees[1:], trees[0]) / float(len(trees))
 
 
-def findings(docs: DataFrame, forest: list[dict], id_col: str = "doc_id", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
+def findings(docs: DataFrame, forest: list[dict], lang: Language, id_col: str = "doc_id", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
     """id_col, position, part, key, value_sha256, shown (a masked form), length, score, is_secret of every candidate."""
-    found = with_features(candidates(docs, id_col, path_col)).withColumn("score", F.round(forest_score(forest), 6))
+    found = with_features(candidates(docs, id_col, path_col), lang).withColumn("score", F.round(forest_score(forest), 6))
     return found.select(
         F.col("id").alias(id_col), "position", "part", "key", F.sha2("value", 256).alias("value_sha256"), F.concat(F.substring("value", 1, 4), F.lit("…")).alias("shown"),
         F.length("value").alias("length"), "score", (F.col("score") >= threshold).cast("int").alias("is_secret"),
