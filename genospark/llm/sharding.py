@@ -7,8 +7,8 @@ of the subtrees whose weights change.  The first `base` shards are laid out in r
 later shard opens a region of its own, so that one more shard takes keys only into itself.
 
 Slots number the rows of a shard from 0 without gaps, in the order of doc_id, checksum, size.  Rows
-equal in all three are counted before the shuffle and numbered as one run.  The numbering works on
-ranges of doc_id, whose totals are summed up per shard; no task holds a shard.
+equal in all three are counted before the shuffle and numbered as one run; long runs are cut before they become rows again.  The
+numbering works on ranges of doc_id (of checksums, for rows without an id), whose totals are summed up per shard; no task holds a shard.
 
 Edge cases.  A null doc_id is a key of its own; a null text has no bytes, so size 8 and checksum 0;
 repeated rows get the same shard and different slots; an empty table gives an empty result.
@@ -73,19 +73,21 @@ def shard_of(key: Column, tree: dict) -> Column:
     return _winner(key, F.element_at(shards_of, rack + 1)).cast("int")
 
 
-def digest(docs: DataFrame, shards: int = 24, rows_per_range: int = 200_000, tree: dict | None = None, grown: dict | None = None) -> DataFrame:
+def digest(docs: DataFrame, shards: int = 24, rows_per_range: int = 200_000, run: int = 100_000, tree: dict | None = None, grown: dict | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     tree, grown = tree or layout(shards), grown or layout(shards + 1)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     # the texts are read once; what is kept has some 30 bytes a row
     same = stored(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "shard-digest")
-    count = same.agg(F.sum("n")).first()[0]
-    parts = min(2000, max(1, -(-(count or 0) // rows_per_range)))
+    count, most = same.agg(F.sum("n"), F.max("n")).first()
+    # each range is numbered in each shard apart
+    parts = min(2000, max(1, -(-(count or 0) // (rows_per_range * shards))))
     # boundaries of doc_id ranges with about as many rows each: at most 2000 numbers; the result doesn't depend on them
     cuts = same.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    part = F.coalesce(_range_of(F.col("doc_id"), cuts), F.lit(-1))
+    # rows without an id come first, in 256 ranges of their checksums
+    part = F.coalesce(_range_of(F.col("doc_id"), cuts), (F.floor(F.col("text_crc32") / (1 << 24)) - 256).cast("int"))
     placed = same.withColumns({"shard": shard_of(F.col("doc_id"), tree), "part": part})
     totals = placed.groupBy("shard", "part").agg(F.sum("n").alias("rows"))
     # one number a shard and range; ordered before the numbering of its range
@@ -93,11 +95,12 @@ def digest(docs: DataFrame, shards: int = 24, rows_per_range: int = 200_000, tre
     offsets = totals.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
     inside = W.partitionBy("shard", "part").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
     runs = placed.withColumn("skip", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["shard", "part"])
-    return runs.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("base") + F.col("skip"), F.col("base") + F.col("skip") + F.col("n") - 1)).alias("slot"),
-        shard_of(F.col("doc_id"), grown).alias("grown_shard"),
-    )
+    runs = runs.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("skip")).alias("slot"), "n", shard_of(F.col("doc_id"), grown).alias("grown_shard"))
+    if (most or 0) > run:
+        # many equal rows: their run is cut into pieces, which are dealt out before they become rows
+        piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / run)))
+        runs = runs.withColumn("k", piece).withColumns({"slot": F.col("slot") + F.col("k") * run, "n": F.least(F.lit(run), F.col("n") - F.col("k") * run)}).repartition("doc_id", "text_crc32", "k")
+    return runs.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("slot", F.col("slot") + F.col("n") - 1)).alias("slot"), "grown_shard")
 
 
 def _range_of(value: Column, cuts: list[int]) -> Column:
