@@ -8,7 +8,7 @@ Rates.  Document i with n_i tokens and posteriors p_i gets a rate r_i >= 0 so th
 S_d = sum r_i n_i p_id meet targets T_d.  Projected gradient on the least-squares residual, from r = 1:
 r <- max(0, r - p . g), g = M^-1 (S - T), M = sum n_i p_i p_i^T over the documents with r > 0.  Each
 pass is one aggregate over the documents; only the totals reach the driver.  Steps that do not lessen the
-residual are halved.
+residual are halved; where that doesn't help, the plain gradient goes on.  With `most_rate` the rates are also bounded from above, and documents at a bound stay out of M.
 
 Edge cases.  A null or empty text has no tokens and gets the prior as its posterior.  Labelled rows with a null
 domain are left out; a doc_id labelled twice takes the smaller domain name.  Repeated rows each get their rate.
@@ -71,7 +71,7 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     return out.withColumn("p", F.transform("__e", lambda x: x / norm)).drop("__l", "__e") if k else out
 
 
-def rate_of(steps: list[np.ndarray]) -> Column:
+def rate_of(steps: list[np.ndarray], most_rate: float = float("inf")) -> Column:
     """r after the given steps, from the column p.
 
     Written out step by step: inside a higher-order function the optimizer would compute p again at every step.
@@ -79,44 +79,50 @@ def rate_of(steps: list[np.ndarray]) -> Column:
     r = F.lit(1.0)
     for g in steps:
         r = F.greatest(F.lit(0.0), r - sum((F.col("p")[i] * float(x) for i, x in enumerate(g)), F.lit(0.0)))
+        if most_rate < float("inf"):
+            r = F.least(F.lit(float(most_rate)), r)
     return r
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, most: int = 25, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(rows: DataFrame, targets: np.ndarray, most: int = 25, tolerance: float = 1e-6, most_rate: float = float("inf")) -> tuple[list[np.ndarray], np.ndarray]:
     """The gradient steps that give the rates, and the totals they reach.  rows: n_tokens, p."""
     k = len(targets)
     p = lambda i: F.col("p")[i]
 
     def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        at = rows.select("p", F.col("n_tokens").cast("double").alias("n"), rate_of(steps).alias("r"))
-        live = F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
+        at = rows.select("p", F.col("n_tokens").cast("double").alias("n"), rate_of(steps, most_rate).alias("r"))
+        # at the start every rate is free, also where it begins at the bound
+        live = F.when((F.col("r") > 0) & ((F.col("r") < most_rate) if steps else F.lit(True)), F.col("n")).otherwise(0.0)
         got = at.agg(*[F.sum(F.col("n") * F.col("r") * p(i)).alias(f"s{i}") for i in range(k)], *[F.sum(live * p(i) * p(j)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
         m = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         return np.array([got[f"s{i}"] or 0.0 for i in range(k)]), m
 
     steps: list[np.ndarray] = []
     s, m = totals(steps)
-    gap = lambda s: float(np.abs(s - targets).max() / max(1.0, float(targets.sum())))
+    gap = lambda s: float(np.linalg.norm(s - targets) / max(1.0, float(targets.sum())))
+    # with this step the plain gradient never overshoots
+    short = 1 / max(1e-300, float(np.linalg.eigvalsh(m)[-1]))
     scale = 1.0
     for _ in range(most):
         if gap(s) <= tolerance or not m.any():
             break
-        g = scale * np.linalg.lstsq(m, s - targets, rcond=1e-9)[0]
+        g = scale * np.linalg.lstsq(m, s - targets, rcond=1e-9)[0] if scale > 0.2 else short * (s - targets)
         s2, m2 = totals([*steps, g])
         if gap(s2) < gap(s):
-            steps, s, m, scale = [*steps, g], s2, m2, 1.0
-        elif scale < 1e-3:
+            steps, s, m = [*steps, g], s2, m2
+            scale = 1.0 if scale > 0.2 else scale
+        elif scale <= 0.2:
             break
         else:
             scale /= 2
     return steps, s
 
 
-def solve(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], grow_only: bool = False, **options) -> tuple[dict, DataFrame, list[np.ndarray]]:
+def solve(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], once: bool = False, **options) -> tuple[dict, DataFrame, list[np.ndarray]]:
     """The classifier, the written table doc_id, n_tokens, p, and the steps of the rates.
 
-    weights: share of the tokens wanted of each domain.  The total stays, or with grow_only it rises until no domain
-    has to give tokens away, so that rates stay near or above 1.
+    weights: share of the tokens wanted of each domain.  The total stays, or with `once` it falls to what the scarcest domain
+    allows without repeating a document, and no rate exceeds 1.
     """
     domains = sorted(weights)
     model = fit_classifier(docs, labels, domain, domains, **options)
@@ -124,8 +130,8 @@ def solve(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str,
     share = np.array([weights[d] for d in domains], dtype=float)
     share = share / share.sum()
     have = np.array([v or 0.0 for v in rows.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(len(domains))]).first()])
-    total = float(np.max(have[share > 0] / share[share > 0])) if grow_only else float(have.sum())
-    steps, _ = fit_rates(rows, share * total)
+    total = float(np.min(have[share > 0] / share[share > 0])) if once else float(have.sum())
+    steps, _ = fit_rates(rows, share * total, most_rate=1.0 if once else float("inf"))
     return model, rows, steps
 
 
@@ -138,19 +144,21 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str,
 def copies_of(rate: Column, key: Column) -> Column:
     """How often a document is taken: the rate rounded up or down by a draw from its key, so the mean is the rate."""
     u = F.pmod(F.xxhash64(F.lit("mixing"), key), F.lit(1 << 30)) / float(1 << 30)
-    return F.floor(rate + u).cast("int")
+    # rates of 1 reach it up to rounding
+    return F.floor(rate + u + 1e-9).cast("int")
 
 
-def resample(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], **options) -> DataFrame:
-    """The documents, each as often as its rate says, with their columns.
+def resample(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], once: bool = False, **options) -> DataFrame:
+    """The documents, each as often as its rate says, with their columns; with `once` none is repeated.
 
     The posteriors are computed again beside the text, so no text is shuffled.
     """
-    model, _, steps = solve(docs, labels, domain, weights, **options)
+    model, _, steps = solve(docs, labels, domain, weights, once, **options)
     # the row travels in a struct, so that none of its columns can clash with the model's
     again = posteriors(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text"), model)
-    copies = copies_of(F.col("__rate"), F.col("doc_id"))
-    taken = again.withColumn("__rate", rate_of(steps)).withColumn("__copies", copies)
+    # rows without an id are drawn by their text
+    copies = copies_of(F.col("__rate"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    taken = again.withColumn("__rate", rate_of(steps, 1.0 if once else float("inf"))).withColumn("__copies", copies)
     # an outer explode: a filter on the copies would be pushed below the model and have it computed over and over
     each = taken.select("__doc", F.explode_outer(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies")))).alias("__k"))
     return each.where("__k is not null").select("__doc.*")
