@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Edge cases.  Null and empty texts pass toxicity and decontamination, are near duplicates of equal ones with other ids only if empty, and take part in mixing
+without tokens.  Rows without a doc_id take part in every stage, and go by their text where a stage needs a key.  Repeated rows count
+once from near_dedup on.  Labels that name no document, or name it twice, are handled by the operators (see there).  An empty table goes
+through all stages; without labels nothing is toxic and quality is unknown, so that all documents have the same rate.  Further columns
+are kept up to the last stage, which returns op2's columns.
+"""
 
 from __future__ import annotations
 
@@ -28,9 +35,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates say that bring labelled quality to TARGETS; the total grows, so that nearly all stay."""
+    """Documents whose tokens have the shares of labelled quality that TARGETS names: of a domain with too many a part goes, by rates of at most 1, and none is repeated."""
     quality = F.when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high")
-    return mixing.resample(docs, common.table(spark, sf_dir, "labels"), quality, TARGETS, grow_only=True)
+    return mixing.resample(docs, common.table(spark, sf_dir, "labels"), quality, TARGETS, once=True)
 
 
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
