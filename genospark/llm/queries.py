@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bagminhash, decontaminate, katz, mixing, secrets, sharding, substring, token_counts, toxicity
+from . import ann, bagminhash, decontaminate, katz, mixing, oracles, secrets, sharding, substring, token_counts, toxicity
 from .common import crc_bucket, table
 
 #: Rank file of a public byte-level BPE.
@@ -76,5 +76,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_nearest_neighbours, op5_mixing, op6_decontamination, op7_near_duplicates, op8_secrets, op9_katz, op10_substring_dedup)}
 
-#: None of these operators can be written in portable SQL over the tables (checksums, alignment, tokenizers, sketches).
-ORACLES: dict[str, str] = {}
+#: The other operators can't be written in portable SQL over the tables (alignment, tokenizers, sketches, trained models).
+ORACLES = oracles.ORACLES

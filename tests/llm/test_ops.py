@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genospark.llm import ann, bagminhash, common, decontaminate, katz, mixing, secrets, sharding, substring, token_counts, toxicity
-from genospark.llm.queries import QUERIES, RANKS
+from genospark.llm.queries import ORACLES, QUERIES, RANKS
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -166,6 +166,17 @@ def test_shards_brute_force(spark):
     assert all((r.a, r.b) == (slow_shard(r.id, 24), slow_shard(r.id, 26)) for r in rows)
 
 
+def test_sharding_oracle(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    want = con.execute(ORACLES["op2_sharding"]).df()
+    got = QUERIES["op2_sharding"](spark, sf).toPandas()[list(want.columns)]
+    key = ["shard", "slot"]
+    assert got.sort_values(key).reset_index(drop=True).equals(want.sort_values(key).reset_index(drop=True).astype(got.dtypes.to_dict()))
+
+
 def test_slots_of_equal_rows_and_of_rows_without_an_id(spark):
     rows = [(7, "same")] * 50 + [(None, f"t{i % 9}") for i in range(60)] + [(i, "x") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
