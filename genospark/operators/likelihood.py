@@ -118,8 +118,8 @@ def embed_smc(species: DataFrame, members: DataFrame, genes: DataFrame, coal: Da
 
 def edge_path(species: DataFrame, members: DataFrame, genes: DataFrame) -> DataFrame:
     """tree, edge, i, start, stop, node, neff, nedges, dist: epochs along every gene edge, from its lower end up."""
-    held = contained(species, members, genes).persist()
-    coal = coalescences(species, members, genes, held).persist()
+    held = contained(species, members, genes)
+    coal = coalescences(species, members, genes, held)
     epochs = embed_smc(species, members, genes, coal)
     up = genes.select("tree", F.col("gnode").alias("parent"), F.col("height").alias("top"))
     edges = genes.where("parent is not null").join(up, ["tree", "parent"]).select("tree", F.col("gnode").alias("edge"), "parent", F.col("height").alias("low"), "top")

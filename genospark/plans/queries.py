@@ -527,7 +527,7 @@ def genes(spark, d) -> DataFrame:
 
 
 def path(spark, d) -> DataFrame:
-    return L.edge_path(*species(spark), genes(spark, d)).persist()
+    return L.edge_path(*species(spark), genes(spark, d))
 
 
 @query
