@@ -199,7 +199,7 @@ def counted(chunks: DataFrame, parts: int) -> DataFrame:
 SPANS = "doc_id long, span_start long, span_end long, n_chunks long, first_doc_id long, copies long"
 
 
-def repeated_spans(docs: DataFrame, reach: int = 16, most: int = 256, least_words: int = 24, within: bool = False, split_bytes: int = 8 << 20, part_chunks: int = 1_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, reach: int = 16, most: int = 256, least_words: int = 24, within: bool = False, split_bytes: int = 3 << 20, part_chunks: int = 1_000_000) -> DataFrame:
     """doc_id, span_start, span_end (bytes), n_chunks, first_doc_id (the smallest of its chunks' first documents), copies of every repeated span."""
     chunks = stored(splits(docs, reach, most, split_bytes), "chunk-splits")
     parts = max(1, -(-int(chunks.agg(F.sum("n")).first()[0] or 0) // part_chunks))
