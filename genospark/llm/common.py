@@ -31,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/genospark-shared-{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session's Python process ends."""
+    path = f"{shared_dir(spark)}/genospark/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 #: A write is a query of its own, so its shuffle files may go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -41,7 +48,7 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     The files go with `drop`, or when the session's Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/genospark/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -49,7 +56,6 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    atexit.register(_delete, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back

@@ -1,4 +1,4 @@
-"""Queries op1 .. op10: each applies its operator, with production parameters, to its whole table."""
+"""Queries op1 .. op13: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bagminhash, decontaminate, katz, mixing, oracles, secrets, sharding, substring, token_counts, toxicity
+from . import ann, bagminhash, decontaminate, katz, mixing, oracles, periodic, secrets, sharding, spelling, substring, token_counts, token_output, toxicity
 from .common import crc_bucket, table
 
 #: Rank file of a public byte-level BPE.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The same vocabulary for the tokenizers library.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +76,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_nearest_neighbours, op5_mixing, op6_decontamination, op7_near_duplicates, op8_secrets, op9_katz, op10_substring_dedup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), slip=199))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.collapse(periodic.rolled(docs)))
+
+
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_output.round_trip(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_nearest_neighbours, op5_mixing, op6_decontamination, op7_near_duplicates, op8_secrets, op9_katz, op10_substring_dedup, op11_spelling_variants, op12_periodic_runs, op13_token_output)}
 
 #: The other operators can't be written in portable SQL over the tables (alignment, tokenizers, sketches, trained models).
 ORACLES = oracles.ORACLES
