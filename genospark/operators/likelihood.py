@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from . import nested
 from .trees import root_paths
 
 EARLIEST = 1e-4
@@ -45,13 +47,6 @@ def kingman_grid(intervals: DataFrame, grid: DataFrame) -> DataFrame:
     return grid.crossJoin(F.broadcast(s)).select("ne", (-(F.col("n") * F.ln(r) - r * F.col("area"))).alias("loss"))
 
 
-def _node_tips(genes: DataFrame) -> DataFrame:
-    """tree, gnode, sample: the samples below every gene node (a leaf is below itself)."""
-    inner = genes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    up = root_paths(genes.select("tree", F.col("gnode").alias("node"), "parent"))
-    return up.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("ancestor").alias("gnode"), F.col("node").alias("sample"))
-
-
 def _over(species: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sample, node): species nodes over a sample; (node, below): nodes in the subtree of a node."""
     up = root_paths(species.select(F.lit(0).alias("tree"), "node", "parent")).select(F.col("node").alias("below"), F.col("ancestor").alias("node"))
@@ -60,12 +55,23 @@ def _over(species: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def contained(species: DataFrame, members: DataFrame, genes: DataFrame) -> DataFrame:
-    """tree, gnode, ntips, node: species nodes that hold all tips of a gene node."""
+    """tree, gnode, ntips, node: species nodes that hold all tips of a gene node.
+
+    Species tips are numbered so that each species node holds a range of numbers.  A gene node has the least and the largest number of its tips, and is held by the
+    species nodes over its least one whose range reaches the largest.
+    """
     over, _ = _over(species, members)
-    tips = _node_tips(genes)
-    size = tips.groupBy("tree", "gnode").agg(F.count("*").alias("ntips"))
-    held = tips.join(over, "sample").groupBy("tree", "gnode", "node").agg(F.count("*").alias("n"))
-    return held.join(size, ["tree", "gnode"]).where("n = ntips").select("tree", "gnode", "ntips", "node")
+    numbers = nested.labels(species.select(F.lit(0).alias("tree"), "node", "parent")).select("node", "pre", "last")
+    numbers = F.broadcast(numbers)  # one row a species node
+    tips = F.broadcast(members.join(numbers, "node").select(F.col("sample").alias("gnode"), F.col("pre").alias("lo")))  # one row a sample
+    inner = genes.where("parent is not null").select("tree", F.col("parent").alias("gnode"), F.lit(1).alias("inner")).distinct()
+    rows = genes.select("tree", "gnode", "parent").join(inner, ["tree", "gnode"], "left").join(tips, "gnode", "left")
+    tip = F.col("inner").isNull()
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    rows = rows.select("tree", F.col("gnode").alias("node"), "parent", one(tip).alias("ntips"), one(tip & F.col("lo").isNotNull()).alias("known"), F.when(tip, F.col("lo")).alias("lo"), F.when(tip, F.col("lo")).alias("hi"))
+    span = nested.folded(rows, {"ntips": "sum", "known": "sum", "lo": "min", "hi": "max"}).where("known = ntips").withColumnRenamed("node", "gnode")
+    holders = over.join(members.select("sample", F.col("node").alias("tip")), "sample").select("tip", "node").distinct().join(numbers.select(F.col("node").alias("tip"), F.col("pre").alias("lo")), "tip").join(numbers.select("node", F.col("last")), "node")
+    return span.join(F.broadcast(holders.select("lo", "node", "last")), "lo").where("hi <= last").select("tree", "gnode", "ntips", "node")
 
 
 def coalescences(species: DataFrame, members: DataFrame, genes: DataFrame, held: DataFrame | None = None) -> DataFrame:
@@ -118,8 +124,8 @@ def embed_smc(species: DataFrame, members: DataFrame, genes: DataFrame, coal: Da
 
 def edge_path(species: DataFrame, members: DataFrame, genes: DataFrame) -> DataFrame:
     """tree, edge, i, start, stop, node, neff, nedges, dist: epochs along every gene edge, from its lower end up."""
-    held = contained(species, members, genes).persist()
-    coal = coalescences(species, members, genes, held).persist()
+    held = written(contained(species, members, genes), "held")
+    coal = written(coalescences(species, members, genes, held), "coalescences")
     epochs = embed_smc(species, members, genes, coal)
     up = genes.select("tree", F.col("gnode").alias("parent"), F.col("height").alias("top"))
     edges = genes.where("parent is not null").join(up, ["tree", "parent"]).select("tree", F.col("gnode").alias("edge"), "parent", F.col("height").alias("low"), "top")
@@ -225,9 +231,10 @@ def distances_by_node(species: DataFrame, members: DataFrame, genes: DataFrame,
     """node, tree, expected: expected distances of the gene trees in which the samples of an inner species node form a clade."""
     inner = species.where("parent is not null").select(F.col("parent").alias("node")).distinct()
     over, _ = _over(species, members)
-    own = over.join(F.broadcast(inner), "node").groupBy("node").agg(F.sort_array(F.collect_set("sample")).alias("tips"))
-    clades = _node_tips(genes).groupBy("tree", "gnode").agg(F.sort_array(F.collect_set("sample")).alias("tips")).select("tree", "tips").distinct()
-    return clades.join(F.broadcast(own), "tips").join(expected.select("tree", "expected"), "tree").select("node", "tree", "expected")
+    f = [x.alias(f"f{i}") for i, x in enumerate(nested.fingerprint(F.col("sample")))]
+    own = over.join(F.broadcast(inner), "node").select("node", "sample").distinct().select("node", *f).groupBy("node").agg(F.count("*").alias("ntips"), F.sum("f0").alias("f0"), F.sum("f1").alias("f1"))
+    clades = nested.clades(genes.select("tree", F.col("gnode").alias("node"), "parent")).select("tree", "ntips", "f0", "f1").distinct()
+    return clades.join(F.broadcast(own), ["ntips", "f0", "f1"]).join(expected.select("tree", "expected"), "tree").select("node", "tree", "expected")
 
 
 def theta_table(species: DataFrame, mu: float = 1.0) -> DataFrame:

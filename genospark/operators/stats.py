@@ -46,10 +46,37 @@ def breakpoint_intervals(points: DataFrame) -> DataFrame:
     return points.select("locus", "position").distinct().withColumns({"end": F.lead("position").over(w), "tidx": F.row_number().over(w) - 1}).where("end is not null").select("locus", F.col("position").alias("start"), "end", (F.col("end") - F.col("position")).alias("nbps"), "tidx")
 
 
+def carried(points: DataFrame, marks: DataFrame, by: list[str], at: str, column: str, width: int = 10_000, levels: int = 2) -> DataFrame:
+    """points (by, at) with `column` of the last of the marks (by, at, column) at or before each; null where there is none.
+
+    Both are laid out in bins of `width` whole positions and carried along within a bin; what a bin begins with is the last mark of the bins before, found
+    in the same way with bins as positions.  So a task holds a bin of one group, or all bins of bins, and never a whole group.
+    """
+    kind = marks.schema[column].dataType
+    rows = points.select(*by, at, F.lit(1).alias("__point"), F.lit(None).cast(kind).alias(column)).unionByName(marks.select(*by, at, F.lit(0).alias("__point"), column))
+    if not levels:
+        last = F.last(column, ignorenulls=True).over(W.partitionBy(*by).orderBy(at, "__point").rowsBetween(W.unboundedPreceding, 0))
+        return rows.withColumn(column, last).where("__point = 1").drop("__point")
+    # bins are positions of the next level
+    b, nth = f"__bin{levels}", F.floor(F.col(at) / width).cast("long")
+    rows = rows.withColumn(b, nth)
+    inside = F.last(column, ignorenulls=True).over(W.partitionBy(*by, b).orderBy(at, "__point").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn(column, inside).where("__point = 1").drop("__point")
+    ends = marks.select(*by, nth.alias(b), at, column).groupBy(*by, b).agg(F.max_by(column, at).alias(column))
+    open_ = rows.where(F.col(column).isNull()).select(*by, (F.col(b) - 1).alias(b)).distinct()
+    before = carried(open_, ends, by, b, column, width, levels - 1).select(*by, (F.col(b) + 1).alias(b), F.col(column).alias("__before"))
+    return rows.join(before, [*by, b], "left").withColumn(column, F.coalesce(column, "__before")).drop(b, "__before")
+
+
 def site_to_tree(sites: DataFrame, intervals: DataFrame) -> DataFrame:
-    """The interval [start, end) that covers each (locus, site): an equi-join on locus with a range condition."""
-    i = intervals.select(F.col("locus").alias("l"), "start", "end", "tidx")
-    return sites.join(i, (sites["locus"] == i["l"]) & (sites["site"] >= i["start"]) & (sites["site"] < i["end"])).drop("l")
+    """The interval [start, end) that covers each (locus, site).  Intervals of a locus don't overlap; empty ones cover nothing.
+
+    Distinct sites and starts are merged, and each site has the last start before it: no site meets all intervals of its locus.
+    """
+    marks = intervals.where("end > start").select("locus", F.col("start").cast("long").alias("site"), F.struct("start", "end", "tidx").alias("__i"))
+    points = sites.select("locus", F.col("site").cast("long").alias("site")).distinct()
+    held = carried(points, marks, ["locus"], "site", "__i").where(F.col("site") < F.col("__i.end"))
+    return sites.join(held.select("locus", "site", F.col("__i.start").alias("start"), F.col("__i.end").alias("end"), F.col("__i.tidx").alias("tidx")), ["locus", "site"])
 
 
 def site_windows(calls: DataFrame, width: int) -> DataFrame:

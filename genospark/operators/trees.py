@@ -7,31 +7,48 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from ..sources.tables import written
+from . import nested
 
 ROOT_DIST = 1e-5
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """name, ancestor, depth of every node and each of its ancestors, itself at depth 0.
+RECURSION = """
+with recursive up(name, ancestor, depth) max recursion level {levels} as (
+  select name, name, 0L from {{nodes}} union all select up.name, n.parent, up.depth + 1 from up join {{nodes}} n on up.ancestor = n.name where n.parent is not null)
+select name, ancestor, depth from up"""
 
-    Paths double with each pass, so depth d needs log2(d) joins; each pass cuts the plan, which would grow with them.
+
+def ancestors(nodes: DataFrame, shallow: int = 32) -> DataFrame:
+    """name, ancestor, depth of every node and each of its ancestors, itself at depth 0: as many rows as nodes times their depth.
+
+    Trees of up to `shallow` levels are walked by a recursive query, deeper ones by paths whose length doubles with each written table.  For tests of single pairs take
+    `nested.labels`, which has one row a node.
     """
-    step = nodes.where("parent is not null").select("name", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).persist()
-    after = lambda far, near: near.select("name", F.col("ancestor").alias("mid"), "depth").join(far.select(F.col("name").alias("mid"), F.col("ancestor").alias("top"), F.col("depth").alias("more")), "mid").select("name", F.col("top").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-    paths, jump, reach = step, step, 1
-    # no path has more steps than there are nodes
-    most = nodes.count()
-    while reach < most:
+    nodes = written(nodes.select("name", "parent"), "nodes")
+    spark = nodes.sparkSession
+    deepest = nested.folded(as_nested(nodes).withColumn("depth", F.lit(1).cast("long")), {}, {"depth": "sum"}).agg(F.max("depth")).first()[0] or 0
+    if deepest <= shallow:
+        # the session's limit on rows holds for all rows of a recursion together
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+        return spark.sql(RECURSION.format(levels=shallow + 1), nodes=nodes)
+    step = nodes.where("parent is not null").select("name", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
+    paths = jump = step
+    reach = 1
+    while reach < deepest:
         # paths reach depth `reach`, jump holds those of just that depth
-        longer = after(paths, jump).persist()
-        longer = longer.sparkSession.createDataFrame(longer.rdd, longer.schema)
-        if not longer.limit(1).count():
-            break
+        far = paths.select(F.col("name").alias("__mid"), F.col("ancestor").alias("__top"), F.col("depth").alias("__more"))
+        longer = written(jump.join(far, jump["ancestor"] == F.col("__mid")).select("name", F.col("__top").alias("ancestor"), (F.col("depth") + F.col("__more")).alias("depth")), "paths")
         paths, jump, reach = paths.unionByName(longer), longer.where(F.col("depth") == 2 * reach), 2 * reach
     own = nodes.select("name", F.col("name").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
     return own.unionByName(paths)
 
 
+def as_nested(nodes: DataFrame) -> DataFrame:
+    """tree, node, parent: one tree of named nodes, as `nested` has them."""
+    return nodes.select(F.lit(0).alias("tree"), F.col("name").alias("node"), "parent")
+
+
 def root_paths(nodes: DataFrame) -> DataFrame:
     """tree, node, ancestor, depth for many small trees (tree, node, parent): every tree is one row while its paths are walked.
 
@@ -50,24 +67,21 @@ def root_paths(nodes: DataFrame) -> DataFrame:
     return paths.select("tree", F.col("p.node").alias("node"), F.posexplode("p.path").alias("depth", "ancestor"))
 
 
-def mrca(closure: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, mrca: the deepest common ancestor (closest to a) of given pairs."""
-    up = lambda side: closure.select(F.col("name").alias(side), "ancestor", F.col("depth").alias(f"d{side}"))
-    both = pairs.join(up("a"), "a").join(up("b"), ["b", "ancestor"])
-    return both.groupBy("a", "b").agg(F.min_by("ancestor", "da").alias("mrca"), F.min("da").alias("depth_a"))
-
+def mrca(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, mrca: the deepest common ancestor (closest to a) of given pairs, and depth_a, the steps from a up to it."""
+    return nested.lowest_common(as_nested(nodes), pairs.withColumn("tree", F.lit(0))).drop("tree")
 
-def clade_tips(nodes: DataFrame, closure: DataFrame) -> DataFrame:
-    """ancestor, tips (sorted), ntips."""
-    tips = nodes.where("is_leaf").select("name")
-    return closure.join(tips, "name").groupBy("ancestor").agg(F.sort_array(F.collect_set("name")).alias("tips"), F.countDistinct("name").alias("ntips"))
 
+def monophyletic(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """group, ancestor (the clade with exactly the group's tips, else null), is_monophyletic.  groups: group, tip.
 
-def monophyletic(groups: DataFrame, clades: DataFrame) -> DataFrame:
-    """group, ancestor (the clade with exactly the group's tips, else null), is_monophyletic.  groups: group, tip."""
-    sets = groups.groupBy("group").agg(F.sort_array(F.collect_set("tip")).alias("tips"))
-    hit = sets.join(clades.select("ancestor", "tips"), "tips", "left").groupBy("group").agg(F.min("ancestor").alias("ancestor"))
-    return hit.withColumn("is_monophyletic", F.col("ancestor").isNotNull())
+    Sets of tips meet by their sizes and fingerprints of 120 bits, so that no set is gathered.
+    """
+    f = [x.alias(f"f{i}") for i, x in enumerate(nested.fingerprint(F.col("tip")))]
+    sets = groups.select("group", "tip").distinct().select("group", *f).groupBy("group").agg(F.count("*").alias("ntips"), F.sum("f0").alias("f0"), F.sum("f1").alias("f1"))
+    clades = nested.clades(as_nested(nodes)).select(F.col("node").alias("ancestor"), "ntips", F.col("f0").alias("c0"), F.col("f1").alias("c1"))
+    hit = sets.join(clades, (sets["ntips"] == clades["ntips"]) & (F.col("f0") == F.col("c0")) & (F.col("f1") == F.col("c1")), "left")
+    return hit.groupBy("group").agg(F.min("ancestor").alias("ancestor")).withColumn("is_monophyletic", F.col("ancestor").isNotNull())
 
 
 def edges_at(nodes: DataFrame, times: DataFrame) -> DataFrame:
@@ -76,24 +90,30 @@ def edges_at(nodes: DataFrame, times: DataFrame) -> DataFrame:
     return at.groupBy("time").agg(F.count("*").alias("nedges"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
 
 
-def edge_at(closure: DataFrame, nodes: DataFrame, points: DataFrame) -> DataFrame:
-    """As-of lookup: for each (tip, time) the ancestor edge that holds the time: the highest node at or below it."""
-    heights = nodes.select(F.col("name").alias("ancestor"), "height")
-    up = points.join(closure.select(F.col("name").alias("tip"), "ancestor"), "tip").join(heights, "ancestor").where("height <= time")
-    return up.groupBy("tip", "time").agg(F.max_by("ancestor", "height").alias("edge"), F.max("height").alias("edge_height"))
+def edge_at(nodes: DataFrame, points: DataFrame) -> DataFrame:
+    """As-of lookup: tip, time, edge, edge_height: for each (tip, time) the edge above the tip that holds the time, the highest node at or below it."""
+    tree = nodes.select(F.lit(0).alias("tree"), F.col("name").alias("node"), "parent", "height")
+    start = nodes.select(F.col("name").alias("tip"), F.col("height").alias("__low"))
+    here = points.join(start, "tip").where("__low <= time").select(F.lit(0).alias("tree"), "tip", "time", F.col("tip").alias("edge")).distinct()
+    at = nested.climbed(tree, here, "edge", {"height": F.col("height")}, F.col("__height") <= F.col("time"))
+    return at.join(tree.select(F.col("node").alias("edge"), F.col("height").alias("edge_height")), "edge").select("tip", "time", "edge", "edge_height")
 
 
-def overlap(nodes: DataFrame, lower: float | None = None, upper: float | None = None, sisters: bool = True) -> DataFrame:
+def overlap(nodes: DataFrame, lower: float | None = None, upper: float | None = None, sisters: bool = True, buckets: int = 64) -> DataFrame:
     """src, dest, lo, hi: ordered pairs of edges, neither the root's, that overlap in time.
 
+    Edges meet in the buckets of time that they cross, and a pair counts in the first that both cross.
     The overlap is cut to the proportions lower and upper of its length; sisters=False leaves out children of one parent.
     """
-    side = lambda p: nodes.where("parent is not null").select(F.col("name").alias(p), F.col("parent").alias(f"{p}_parent"), F.col("height").alias(f"{p}_lo"), F.col("up_height").alias(f"{p}_hi"))
+    edges = nodes.where("parent is not null").select("name", "parent", F.col("height").alias("lo"), F.col("up_height").alias("hi"))
+    span = F.broadcast(edges.agg(F.min("lo").alias("first"), ((F.max("hi") - F.min("lo")) / buckets).alias("width")))  # one row
+    slot = lambda x: F.when(F.col("width") > 0, F.floor((x - F.col("first")) / F.col("width"))).otherwise(0).cast("int")
+    edges = edges.crossJoin(span).withColumn("bucket", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi"))))).withColumn("own", slot(F.col("lo")))
+    side = lambda p: edges.select("bucket", *[F.col(c).alias(f"{p}{tail}") for c, tail in (("name", ""), ("parent", "_parent"), ("lo", "_lo"), ("hi", "_hi"), ("own", "_own"))])
     lo, hi = F.greatest("src_lo", "dest_lo"), F.least("src_hi", "dest_hi")
-    on = (F.col("src") != F.col("dest")) & (lo < hi)
+    pairs = side("src").join(side("dest"), "bucket").where((F.col("src") != F.col("dest")) & (lo < hi) & (F.col("bucket") == F.greatest("src_own", "dest_own")))
     if not sisters:
-        on = on & (F.col("src_parent") != F.col("dest_parent"))
-    pairs = side("src").join(side("dest"), on)
+        pairs = pairs.where("src_parent <> dest_parent")
     size = hi - lo
     start = lo + F.lit(lower) * size if lower is not None else lo
     end = lo + F.lit(upper) * size if upper is not None else hi

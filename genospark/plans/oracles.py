@@ -99,6 +99,10 @@ add("distinct_loci", "select count(distinct locus) as nloci, count(distinct gene
 add("breakpoint_intervals", 'select * from (select locus, position as start, lead(position) over w as "end", lead(position) over w - position as nbps, row_number() over w - 1 as tidx from (select distinct locus, position from points) window w as (partition by locus order by position)) where "end" is not null', "locus:b start:b end:b nbps:b tidx:b", POINTS)
 add("site_to_tree", 'select o_orderkey, s.locus, site, start, "end", tidx from (select o_orderkey, o_custkey % 150 as locus, o_orderkey * 7919 % 2592000 as site from orders) s join inter i on i.locus = s.locus and site >= start and site < "end"', "o_orderkey:b locus:b site:b start:b end:b tidx:b", POINTS, INTER)
 add("union_chunks", "select *, locus % 2 as chunk from inter", I_COLS + " chunk:b", POINTS, INTER)
+add("site_to_tree_skewed", """select l_orderkey, l_linenumber, s.locus, site, start, tidx from
+  (select l_orderkey, l_linenumber, case when l_orderkey % 3 < 2 then 0 else 1 + l_orderkey % 50 end as locus, l_orderkey * 8 + l_linenumber + l_partkey % 40 as site from lineitem) s
+  asof join (select case when o_orderkey % 3 < 2 then 0 else 1 + o_orderkey % 50 end as locus, o_orderkey * 8 as start, o_orderkey * 8 + 5 as "end", o_orderkey as tidx from orders) i on i.locus = s.locus and site >= start
+  where site < "end\"""", "l_orderkey:b l_linenumber:b locus:b site:b start:b tidx:b")
 add("top_genealogies", "select * from inter order by nbps desc, locus, tidx limit 10", I_COLS, POINTS, INTER)
 add("sample_rows", "select * from inter order by md5('sample:' || locus || ':' || tidx), locus, tidx limit 100", I_COLS, POINTS, INTER)
 add("phymap", "select row_number() over (order by locus) as chrom, sum(nbps) over (order by locus) - nbps as phy0, sum(nbps) over (order by locus) as phy1, 0 as pos0, nbps as pos1 from (select locus, sum(nbps) as nbps from inter group by 1)", "chrom:b phy0:b phy1:b pos0:b pos1:b", POINTS, INTER)

@@ -16,6 +16,7 @@ from ..operators import stats as S
 from ..operators import trees as T
 from ..sources import adapters as A
 from ..sources import writers
+from ..sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MISSING = 0.05
@@ -75,9 +76,9 @@ def tree_nodes(spark, d):
 def samples(spark, d) -> DataFrame:
     """pop, k, name, rank: 1 + idx mod 3 samples a tip."""
     tips = A.tree_nodes(spark, d).where("is_leaf").select(F.col("name").alias("pop"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("idx") % 3)).alias("k"))
-    many = F.max("k").over(W.partitionBy()) > 0
-    named = tips.withColumn("name", F.when(many, F.concat_ws("_", "pop", F.col("k").cast("string"))).otherwise(F.col("pop")))
-    return named.withColumn("rank", F.row_number().over(W.orderBy("name")))
+    most = F.broadcast(tips.agg((F.max("k") > 0).alias("many")))  # one row
+    named = tips.crossJoin(most).withColumn("name", F.when(F.col("many"), F.concat_ws("_", "pop", F.col("k").cast("string"))).otherwise(F.col("pop"))).drop("many")
+    return numbering.ranked(named, ["name"], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 @query
@@ -104,7 +105,7 @@ def tree_ancestors(spark, d):
 def tree_mrca(spark, d):
     nodes = A.tree_nodes(spark, d)
     pairs = A.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("a"), F.concat(F.lit("s"), F.col("s_suppkey") + 1).alias("b"))
-    return T.mrca(T.ancestors(nodes), pairs)
+    return T.mrca(nodes, pairs)
 
 
 @query
@@ -112,7 +113,7 @@ def monophyly(spark, d):
     nodes = A.tree_nodes(spark, d)
     tips = A.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("tip"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("g1"), F.concat(F.lit("m"), F.col("s_suppkey") % 7).alias("g2"))
     groups = tips.select("tip", F.explode(F.array("g1", "g2")).alias("group"))
-    return T.monophyletic(groups, T.clade_tips(nodes, T.ancestors(nodes)))
+    return T.monophyletic(groups, nodes)
 
 
 @query
@@ -125,7 +126,7 @@ def edges_at_time(spark, d):
 def asof_edge(spark, d):
     nodes = A.tree_nodes(spark, d)
     points = A.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("tip"), (F.abs("s_acctbal") * 32).alias("time"))
-    return T.edge_at(T.ancestors(nodes), nodes, points)
+    return T.edge_at(nodes, points)
 
 
 @query
@@ -282,6 +283,15 @@ def site_to_tree(spark, d):
     return S.site_to_tree(sites, A.intervals(spark, d)).select("o_orderkey", "locus", "site", "start", "end", "tidx")
 
 
+@query
+def site_to_tree_skewed(spark, d):
+    """Two thirds of the sites (lines) and intervals (orders) are of one locus."""
+    locus = lambda key, other: F.when(key % 3 < 2, 0).otherwise(1 + other % 50)
+    i = A.table(spark, d, "orders").select(locus(F.col("o_orderkey"), F.col("o_orderkey")).alias("locus"), (F.col("o_orderkey") * 8).alias("start"), (F.col("o_orderkey") * 8 + 5).alias("end"), F.col("o_orderkey").alias("tidx"))
+    sites = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", locus(F.col("l_orderkey"), F.col("l_orderkey")).alias("locus"), (F.col("l_orderkey") * 8 + F.col("l_linenumber") + F.col("l_partkey") % 40).alias("site"))
+    return S.site_to_tree(sites, i).select("l_orderkey", "l_linenumber", "locus", "site", "start", "tidx")
+
+
 @query
 def union_chunks(spark, d):
     i = A.intervals(spark, d)
@@ -527,7 +537,7 @@ def genes(spark, d) -> DataFrame:
 
 
 def path(spark, d) -> DataFrame:
-    return L.edge_path(*species(spark), genes(spark, d)).persist()
+    return written(L.edge_path(*species(spark), genes(spark, d)), "edge-paths")
 
 
 @query

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from ..operators import numbering
 
 SITES_PER_LOCUS = 16
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -77,6 +78,6 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = nodes.select(F.col("name").alias("parent"), F.col("height").alias("up_height"))
     inner = nodes.select(F.col("parent").alias("name")).where("name is not null").distinct().withColumn("has_child", F.lit(True))
     out = nodes.join(up, "parent", "left").join(inner, "name", "left")
-    return out.select(
-        F.row_number().over(W.orderBy("name")).cast("long").alias("idx"), "name", "parent", "height", "up_height", (F.col("up_height") - F.col("height")).alias("dist"), "ne", F.col("has_child").isNull().alias("is_leaf")
+    return numbering.ranked(out, ["name"], "idx").select(
+        (F.col("idx") + 1).alias("idx"), "name", "parent", "height", "up_height", (F.col("up_height") - F.col("height")).alias("dist"), "ne", F.col("has_child").isNull().alias("is_leaf")
     )
