@@ -19,9 +19,10 @@ links have joined by then is skipped.  A comparison computes the exact weighted
 unit, so no pairs of a group travel; texts travel to the units that need them, one copy a unit.
 
 Edge cases.  A text with fewer words than a shingle is one shingle of all its words.  Texts without
-words are copies of byte-equal texts only; a null text is in a class of its own.  Rows that share doc_id
-and text are one document; rows that share only the doc_id keep each the class of its text, the smaller one for the
-document's id.  An empty table gives an empty result.  Other columns are not read.
+words are copies of byte-equal texts only; a null text is in a class of its own (of null ids, one).  Rows that share doc_id
+and text are one document; rows that share only the doc_id are documents apart, each in the class of its text.  Rows without an id take part, after all
+others: a class of such rows alone has a null class_id, and the one with the smallest digest of its text stays.  An empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -168,8 +169,27 @@ def digests(doc_id: int | None, text: str | None, tokens: list[str]) -> tuple[in
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
+def mark():
+    """The digest of a row's text; a null text has none."""
+    return F.coalesce(F.md5(F.col("text").cast("string")), F.lit(""))
+
+
+def numbered(df: DataFrame, *by: str) -> DataFrame:
+    """df with `rep`, the place of each row in the order of the columns: numbers within ranges, and the rows in the ranges before."""
+    split, place = F.spark_partition_id().alias("__split"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__place")
+    # written, so that a range's rows keep their numbers
+    ordered = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", split, place), "near-reps")
+    ranges = ordered.groupBy("__split").agg(F.count("*").alias("n")).orderBy("__split").collect()  # one row a range
+    starts, total = [], 0
+    for r in ranges:
+        starts.append((r["__split"], total))
+        total += r["n"]
+    first = df.sparkSession.createDataFrame(starts, "__split int, __first long")
+    return ordered.join(F.broadcast(first), "__split").withColumn("rep", F.col("__first") + F.col("__place")).drop("__split", "__place", "__first")
+
+
 def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, d1, d2 (digest of the word sequence), keys (bucket of each band; none without words), size (shingles), sketch (a byte of each register)."""
+    """doc_id, mark (digest of the text), d1, d2 (digest of the word sequence), keys (bucket of each band; none without words), size (shingles), sketch (a byte of each register)."""
 
     def run(batches):
         hashes = WordHashes()
@@ -185,9 +205,10 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1)))
             total = np.bincount(doc, weights=count, minlength=len(tokens)).astype(np.int64)
             sketch = [x.tobytes() for x in (mix64(regs) >> np.uint64(56)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists, pa.array(total), pa.array(sketch, pa.binary())], ["doc_id", "d1", "d2", "keys", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(dig[:, 0]), pa.array(dig[:, 1]), lists, pa.array(total), pa.array(sketch, pa.binary())], ["doc_id", "mark", "d1", "d2", "keys", "size", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, keys array<long>, size long, sketch binary")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark().alias("mark"))
+    return marked.mapInArrow(run, "doc_id long, mark string, d1 long, d2 long, keys array<long>, size long, sketch binary")
 
 
 LINKS = "a long, b long, sim double"
@@ -253,41 +274,39 @@ def relabelled(df: DataFrame, column: str, comps: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, block: int = 128) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the near-duplicate class), kept (this document stays) of every row.
+    """doc_id, class_id (smallest doc_id of the near-duplicate class), kept (this document stays), text_md5 of every row.
 
     With the defaults a pair at exactly 0.8 shares a bucket with probability 0.99994.
     """
     sig = stored(signed(docs, n, bands, rows), "near-signed")
-    ids = stored(sig.select("doc_id", "d1", "d2"), "near-ids")
-    reps = stored(sig.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "near-reps")
+    ids = stored(sig.select("doc_id", "mark", "d1", "d2"), "near-ids")
+    # a class of equal word sequences by its first row: the smallest id, then the digest of the text
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("own")
+    reps = sig.groupBy("d1", "d2").agg(own, F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    reps = numbered(reps.select("own.*", "d1", "d2", "keys", "size", "sketch"), "no_id", "doc_id", "mark", "d1", "d2")
     drop(sig)
-    members = stored(_led_members(reps.where("rep is not null").select("rep", F.explode("keys").alias("key"))), "near-members")
+    members = stored(_led_members(reps.select("rep", F.explode("keys").alias("key"))), "near-members")
     # only texts with company go on
     own = stored(reps.join(members.select("rep").distinct(), "rep"), "near-own")
-    texts = stored(_texts(docs, own.select("rep", "d1", "d2")), "near-texts")
+    texts = stored(_texts(docs, own.select("rep", "doc_id", "mark")), "near-texts")
     links = stored(led(_first_pairs(members), texts, n, threshold, block), "near-links")
     comps = joined_components(None, links)
     rest = stored(_rest(own, members, texts, comps, n, threshold, bands * rows, block), "near-links")
     comps = joined_components(comps, rest)
     drop(members, own, texts)
-    final = reps.select("d1", "d2", F.col("rep").alias("class_id"))
+    heads = reps.select("rep", F.col("doc_id").alias("class_id"), F.col("mark").alias("class_mark"))
+    final = reps.select("d1", "d2", "rep")
     if comps is not None:
-        final = relabelled(final, "class_id", comps)
-    out = ids.join(final, ["d1", "d2"])
-    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        final = relabelled(final, "rep", comps)
+    out = ids.join(final.join(heads, "rep").drop("rep"), ["d1", "d2"])
+    return out.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))).alias("kept"), F.col("mark").alias("text_md5"))
 
 
 def _texts(docs: DataFrame, own: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(small(own), "rep")
-
-    def same(batches):
-        for b in slices(batches):
-            ok = [digests(i, t, words(t)) == (x, y) for i, t, x, y in zip(*(b.column(c).to_pylist() for c in ("rep", "text", "d1", "d2")), strict=True)]
-            kept = b.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("rep"), kept.column("text")], ["rep", "text"])
-
-    # a doc_id may stand at several texts; the representative is the one with the class's words
-    return rows.select("rep", "text", "d1", "d2").mapInArrow(same, "rep long, text string")
+    """rep, text of the representatives, each once."""
+    own = small(own.select("rep", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark().alias("mark"))
+    return rows.join(own, (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id"))).groupBy("rep").agg(F.first("text").alias("text"))
 
 
 def _led_members(keyed: DataFrame) -> DataFrame:
@@ -372,11 +391,9 @@ def _rest(own: DataFrame, members: DataFrame, texts: DataFrame, comps: DataFrame
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, one of each class, with their columns."""
-    # a row without an id goes by its text, after all rows with ids
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
-    keyed = docs.withColumn("__key", key)
-    stay = classes(keyed.select(F.col("__key").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    left = keyed.join(stay, F.col("__key") == F.col("__id"), "left_semi")
+    stay = classes(docs.select("doc_id", "text"), **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__stay")).distinct()
+    keyed = docs.withColumns({"__key": F.col("doc_id").cast("long"), "__mark": mark()})
+    left = keyed.join(stay, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__stay")), "left_semi")
     # repeated rows of one doc_id and text count once; they are reduced before the shuffle
-    one = left.groupBy("__key", F.xxhash64("text").alias("__h")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    one = left.groupBy("__key", "__mark").agg(F.first(F.struct(*docs.columns)).alias("__row"))
     return one.select("__row.*")

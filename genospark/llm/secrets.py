@@ -2,7 +2,7 @@
 
 Candidates are all runs of at least `shortest` letters, digits and +/_.~- (with = as padding at the end) that
 mix letters with digits or capitals, and runs of at least 6 of any kind behind a key that names a secret, found in the whole text;
-words may have any length and hold several.  The key of a run is the name in front of it, if only quotes and = or : lie between.
+words may have any length and hold several.  The key of a run is the name in front of it, if only quotes and = or :, and blanks beside it, lie between.
 Features of a candidate: its length, the mean logarithm of its character transitions' probability, the share of changes between
 character classes, the share of digits and of capitals, the share of it that dictionary words cover, whether it is hexadecimal, whether
 the path looks like tests or samples, and whether a neighbouring word or the key in front names a secret or a placeholder.
@@ -34,6 +34,9 @@ from .common import drop, stored
 SECRET_WORDS = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "credential", "credentials", "auth", "bearer", "private", "access"]
 PLACEHOLDER_WORDS = ["example", "sample", "dummy", "placeholder", "changeme", "test", "todo", "xxxx", "your"]
 
+#: Blanks of any script, and line ends.
+BLANK = r"[\s\x{85}\p{Z}]"
+
 FEATURES = {
     "length": [12, 14, 16, 18, 20, 21, 24, 32, 40, 48, 64],
     "transitions": [-7.0, -6.0, -5.0, -4.5, -4.0, -3.75, -3.5, -3.25, -3.0, -2.75, -2.5, -2.25],
@@ -81,30 +84,41 @@ def language(docs: DataFrame, most: int = 4000) -> Language:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source", shortest: int = 12) -> DataFrame:
     """id, path, position (of the word), part (number of the piece in the word), before, key, value of every candidate."""
-    w = F.split(F.coalesce(F.col(docs_text(docs)).cast("string"), F.lit("")), r"[ \n\t\r]")
+    w = F.split(F.coalesce(F.col(docs_text(docs)).cast("string"), F.lit("")), BLANK)
     rows = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), w.alias("w"))
-    # cheap tests first: most words are short or plain
+    names, quotes = "(?i:" + "|".join(SECRET_WORDS) + ")", r"[\\\"']*"
+    # cheap tests first: most words are short or plain.  A run may end with two = that don't count here
+    loose = lambda x: (F.length(x) >= shortest) & x.rlike("[0-9A-Z]") & x.rlike("[A-Za-z0-9+/_.~-]{%d}" % (shortest - 2))
+    keyed = lambda x: (F.length(x) >= 6) & (F.instr(x, "=") + F.instr(x, ":") > 0) & x.rlike(names + quotes + "[=:]")
+    word = lambda i, k: F.coalesce(F.get("w", i + k), F.lit(""))
+    # a key before blanks: `key: value`, `key = value`, `key =value`
+    opened = lambda x, i: (F.length(x) >= 6) & ((x.startswith("=") | x.startswith(":") | word(i, -1).endswith("=") | word(i, -1).endswith(":")) & F.concat_ws(" ", word(i, -2), word(i, -1), F.regexp_extract(x, "^([=:]?)", 1)).rlike(names + quotes + r"\s*[=:]\s*$"))
     odd = F.filter(
-        F.transform("w", lambda x, i: F.when(F.length(x) >= shortest, F.struct(i.alias("position"), x.alias("word")))),
-        lambda x: x.isNotNull() & x["word"].rlike(r"[0-9]|[a-z][A-Z]|[A-Z]{12}|(?i:" + "|".join(SECRET_WORDS) + r")[\\\"']*[=:]"),
+        F.transform("w", lambda x, i: F.when(loose(x) | keyed(x) | opened(x, i), F.struct(i.alias("position"), x.alias("word")))),
+        lambda x: x.isNotNull(),
     )
-    at = lambda k: F.coalesce(F.try_element_at("w", F.col("c.position") + 1 + k), F.lit(""))
-    before = F.lower(F.concat_ws(" ", F.when(F.col("c.position") >= 2, at(-2)), F.when(F.col("c.position") >= 1, at(-1))))
+    at = lambda k: F.coalesce(F.get("w", F.col("c.position") + k), F.lit(""))
+    before = F.concat_ws(" ", F.when(F.col("c.position") >= 2, at(-2)), F.when(F.col("c.position") >= 1, at(-1)))
     # a word is cut into runs and what lies between them
     pieces = F.regexp_extract_all("c.word", F.lit(r"([A-Za-z0-9+/_.~-]+|[^A-Za-z0-9+/_.~-]+)"), 1)
     found = rows.select("id", "path", "w", F.explode(odd).alias("c")).select("id", "path", F.col("c.position").cast("long").alias("position"), before.alias("before"), pieces.alias("x"))
     beside = lambda i: F.coalesce(F.get("x", i), F.lit(""))
     run = lambda x, i: F.when((F.length(x) >= 6) & x.rlike("^[A-Za-z0-9+/_.~-]"), F.struct(i.alias("part"), x.alias("run"), beside(i - 2).alias("name"), beside(i - 1).alias("left"), beside(i + 1).alias("right"), (F.size("x") == i + 2).alias("last")))
     found = found.select("id", "path", "position", "before", F.explode(F.filter(F.transform("x", run), lambda r: r.isNotNull())).alias("r"))
-    key = F.when(F.col("r.left").rlike(r"^\\?[\"']?[=:]"), F.lower(F.regexp_extract("r.name", r"([A-Za-z_.-]+)$", 1))).otherwise("")
+    # the first run of a word may have its key in the words before
+    opener = F.when(F.col("r.left").rlike(r"^[=:]?[\\\"']*$") & (F.col("r.part") <= 1), F.concat("before", F.lit(" "), F.regexp_extract("r.left", "^([=:]?)", 1))).otherwise("")
+    ahead = F.regexp_extract(opener, r"([A-Za-z_.-]+)" + quotes + r"\s*[=:]\s*$", 1)
+    key = F.lower(F.when(F.col("r.left").rlike(r"^\\?[\"']?[=:]") & (F.col("r.name") != ""), F.regexp_extract("r.name", r"([A-Za-z_.-]+)$", 1)).otherwise(ahead))
     # the user of an address begins after the slashes
     bare = F.when(F.col("r.left").endswith(":") & F.col("r.right").rlike("^[@:]"), F.regexp_replace("r.run", "^//", "")).otherwise(F.col("r.run"))
     # = belongs to the run at the word's end, and elsewhere if it fills up a group of four and doesn't lead to a value
     fill = F.regexp_extract("r.right", "^(={1,2})", 1)
     filled = F.col("r.last") | (((F.length(bare) + F.length(fill)) % 4 == 0) & (F.length("r.right") > F.length(fill)))
-    out = found.select("id", "path", "position", F.col("r.part").cast("long").alias("part"), "before", key.alias("key"), F.concat(bare, F.when(filled, fill).otherwise("")).alias("value"))
-    keyed = F.col("key").rlike("(" + "|".join(SECRET_WORDS) + ")$")
-    return out.where(keyed | ((F.length("value") >= shortest) & F.col("value").rlike("[0-9A-Z]") & F.col("value").rlike("[A-Za-z]")))
+    # a name that is a key itself is no value
+    name = F.col("r.right").rlike(r"^[\\\"']*[=:]") & ~F.col("r.last")
+    out = found.select("id", "path", "position", F.col("r.part").cast("long").alias("part"), F.lower("before").alias("before"), key.alias("key"), F.concat(bare, F.when(filled, fill).otherwise("")).alias("value"), name.alias("name"))
+    secret = F.col("key").rlike("(" + "|".join(SECRET_WORDS) + ")$") & ~(F.col("name") & F.lower("value").rlike("(" + "|".join(SECRET_WORDS) + ")$"))
+    return out.where(secret | ((F.length("value") >= shortest) & F.col("value").rlike("[0-9A-Z]") & F.col("value").rlike("[A-Za-z]"))).drop("name")
 
 
 def docs_text(docs: DataFrame) -> str:

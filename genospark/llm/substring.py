@@ -17,7 +17,8 @@ reach bytes and a chunk behind.  With the defaults any shared passage of over 50
 up to 16 words stays below the limit.
 
 Edge cases.  Null and empty texts have no chunks.  Rows that share a doc_id are rows of their own, repeated rows too: all but one of them
-repeat the whole text.  Null doc_ids come after all others.  An empty table gives an empty result.  Other columns are not read.
+repeat the whole text.  Null doc_ids come after all others.  An empty table gives an empty result.  Other columns are not read, and kept by `without_spans`, which knows a row
+by its id and the digest of its text.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import mix64, slices, stored
 from .packing import cuts, packed, packed_ids, packed_values, small, unpacked, unpacked_ids, unpacked_values, whole
 
-SPLIT = "split long, n long, doc_ids array<long>, chunks array<int>, sizes binary, words binary, place binary, digests binary, first binary, copies binary"
+SPLIT = "split long, n long, doc_ids array<long>, marks array<string>, chunks array<int>, sizes binary, words binary, place binary, digests binary, first binary, copies binary"
 MESSAGE = "part int, split long, digests binary, first binary, copies binary, own binary"
 #: Stands for a null doc_id: after all others.
 LAST = (1 << 63) - 1
@@ -133,6 +134,11 @@ def chunk_batch(texts: list[str | None], reach: int, most: int, piece: int = 64)
     return doc, idx, lo - starts[doc] if len(doc) else lo, hi - lo, begins[hi] - begins[lo], got
 
 
+def mark(text):
+    """The text's digest of 128 bits; with the doc_id it names a row, up to repeated rows."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def splits(docs: DataFrame, reach: int, most: int, split_bytes: int) -> DataFrame:
     """The chunks of each split, and its distinct digests with their first document and the number of documents that have them."""
 
@@ -146,11 +152,11 @@ def splits(docs: DataFrame, reach: int, most: int, split_bytes: int) -> DataFram
             by = np.array(ids, dtype=np.int64)[pair % len(ids)]
             copies = np.bincount(pair // len(ids), minlength=len(some))
             first = np.minimum.reduceat(by, np.cumsum(copies) - copies) if len(some) else by
-            row = [(TaskContext.get().partitionId() << 32) + k, len(some), b.column("doc_id").to_pylist(), np.bincount(doc, minlength=len(ids)).astype(np.int32), packed(small(size)), packed(small(words)), packed(small(place)), packed_ids(some), packed_values(first), packed(small(copies))]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 6]
+            row = [(TaskContext.get().partitionId() << 32) + k, len(some), b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), np.bincount(doc, minlength=len(ids)).astype(np.int32), packed(small(size)), packed(small(words)), packed(small(place)), packed_ids(some), packed_values(first), packed(small(copies))]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [c.split()[0] for c in SPLIT.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark(F.col("text")).alias("mark"))
     return rows.mapInArrow(run, SPLIT)
 
 
@@ -196,11 +202,12 @@ def counted(chunks: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(add, MESSAGE)
 
 
-SPANS = "doc_id long, span_start long, span_end long, n_chunks long, first_doc_id long, copies long"
+SPANS = "doc_id long, span_start long, span_end long, n_chunks long, first_doc_id long, copies long, text_md5 string"
+NONE = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in SPANS.split(", ")])
 
 
 def repeated_spans(docs: DataFrame, reach: int = 16, most: int = 256, least_words: int = 24, within: bool = False, split_bytes: int = 3 << 20, part_chunks: int = 1_000_000) -> DataFrame:
-    """doc_id, span_start, span_end (bytes), n_chunks, first_doc_id (the smallest of its chunks' first documents), copies of every repeated span."""
+    """doc_id, span_start, span_end (bytes), n_chunks, first_doc_id (the smallest of its chunks' first documents), copies and text_md5 of every repeated span."""
     chunks = stored(splits(docs, reach, most, split_bytes), "chunk-splits")
     parts = max(1, -(-int(chunks.agg(F.sum("n")).first()[0] or 0) // part_chunks))
     replies = stored(counted(chunks, parts), "chunk-counts")
@@ -210,7 +217,7 @@ def repeated_spans(docs: DataFrame, reach: int = 16, most: int = 256, least_word
         ids, sizes, words, place = r["doc_ids"], whole(r["sizes"]), whole(r["words"]), whole(r["place"])
         doc = np.repeat(np.arange(len(ids)), r["chunks"])
         if not len(doc):
-            return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in SPANS.split(", ")})
+            return NONE.empty_table()
         ends = np.cumsum(sizes)
         base = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(r["chunks"])])[:-1]][doc]
         many = np.concatenate([unpacked(x, np.uint8) for x in told["digests"]]).astype(bool)
@@ -233,7 +240,7 @@ def repeated_spans(docs: DataFrame, reach: int = 16, most: int = 256, least_word
             first = np.where(many, first, LAST)
         at = np.flatnonzero(repeat)
         if not len(at):
-            return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in SPANS.split(", ")})
+            return NONE.empty_table()
         new = np.ones(len(at), dtype=bool)
         new[1:] = (np.diff(at) > 1) | (doc[at][1:] != doc[at][:-1])
         heads = np.flatnonzero(new)
@@ -243,15 +250,28 @@ def repeated_spans(docs: DataFrame, reach: int = 16, most: int = 256, least_word
         whose = np.where(many[place[at]], first[place[at]], key[at])
         least, most_copies = np.minimum.reduceat(whose, heads), np.maximum.reduceat(np.maximum(copies[place[at]], 1), heads)
         keep = (w >= least_words) | (hi - lo >= 12 * least_words)
-        cols = [[ids[d] for d in doc[at][heads][keep]], lo[keep], hi[keep], n[keep], [None if x == LAST else int(x) for x in least[keep]], most_copies[keep]]
-        return pa.table({c.split()[0]: pa.array(x, pa.int64()) for c, x in zip(SPANS.split(", "), cols, strict=True)})
+        cols = [[ids[d] for d in doc[at][heads][keep]], lo[keep], hi[keep], n[keep], [None if x == LAST else int(x) for x in least[keep]], most_copies[keep], [r["marks"][d] for d in doc[at][heads][keep]]]
+        return pa.table([pa.array(x, t) for x, t in zip(cols, NONE.types, strict=True)], schema=NONE)
 
     return chunks.drop("digests", "first", "copies").groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(run, SPANS)
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The documents with the spans cut from their texts; a byte at a span's edge that splits a character is dropped."""
-    cut = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("__spans"))
+    """The documents with the spans cut from their texts; a byte at a span's edge that splits a character is dropped.
+
+    A row is known by its doc_id and its text.  Repeated rows repeat the whole text, all but one: one of them gets the spans that aren't the whole text, if
+    a whole text is reported less often than there are rows.
+    """
+    each = spans.groupBy("doc_id", "text_md5", "span_start", "span_end").agg(F.count("*").alias("n"))
+    told = each.groupBy(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__mark")).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end", "n"))).alias("__all"))
+    # the place of a row tells repeated rows apart; it is written, so that it stays the same
+    placed = stored(docs.withColumns({"__at": F.monotonically_increasing_id(), "__m": mark(F.col("text"))}), "without-spans")
+    heads = placed.groupBy(F.col("doc_id").cast("long").alias("__head_id"), F.col("__m").alias("__head_m")).agg(F.min("__at").alias("__head"), F.count("*").alias("__n"))
+    heads = heads.join(told, F.col("__head_id").eqNullSafe(F.col("__id")) & (F.col("__head_m") == F.col("__mark"))).select("__head", "__n")
+    rows = placed.join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left").join(heads, F.col("__at") == F.col("__head"), "left")
+    whole = lambda s: (s["span_start"] == 0) & (s["span_end"] == F.octet_length(F.col("text")))
+    times = F.aggregate(F.filter("__all", whole), F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    rows = rows.withColumn("__spans", F.when(F.col("__head").isNotNull() & (times < F.col("__n")), F.filter("__all", lambda s: ~whole(s))).when(times > 0, F.filter("__all", whole)).otherwise(F.col("__all")))
 
     @F.pandas_udf("string")
     def remove(text, spans_of):
@@ -266,5 +286,4 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             out.append(t)
         return type(text)(out, dtype=object)
 
-    names = docs.columns
-    return docs.join(cut, docs["doc_id"] == cut["__id"], "left").withColumn("text", remove("text", "__spans")).select(*names)
+    return rows.withColumn("text", remove("text", "__spans")).select(*docs.columns)

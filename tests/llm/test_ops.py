@@ -860,3 +860,84 @@ def test_pipeline(spark, sf):
             assert not [r for r in got.select("text").collect() if any(i in " ".join(common.words(r.text)) for i in items if len(i.split()) >= 8)]
     last = c.STAGES[-1][1](spark, got, sf)
     assert last.count() == got.count()
+
+
+# rows and ids
+
+
+def test_without_spans_knows_rows(spark):
+    """A row without a repeat keeps its text, whatever its id; of repeated rows one keeps it."""
+    a, b, p = (" ".join(rng_words(n, s, 4000)) for n, s in ((120, 1), (120, 2), (60, 3)))
+    docs = spark.createDataFrame([(5, f"{a} {p}", "x"), (5, b, "y"), (6, f"{p} end", "z"), (None, None, "n"), (None, f"{p} none", "m")] + [(9, " ".join(rng_words(90, 8, 4000)), "w")] * 3, "doc_id long, text string, row string")
+    spans = substring.repeated_spans(docs)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.row, r.text) for r in substring.without_spans(docs, spans).collect())
+    assert len(got) == 8
+    kept = {r[1]: r[2] for r in got}
+    assert kept["y"] == b and kept["x"] == f"{a} {p}" and kept["n"] is None and len(kept["z"]) < 100 and len(kept["m"]) < 150
+    nine = sorted(len(r[2]) for r in got if r[0] == 9)
+    assert nine[:2] == [0, 0] and nine[2] == len(" ".join(rng_words(90, 8, 4000)))
+    assert substring.without_spans(docs.limit(0), spans.limit(0)).count() == 0
+
+
+def test_keep_one_knows_rows(spark):
+    """Rows that share an id with a row that stays go if their own class stays elsewhere; rows without an id take part."""
+    x, y, z = (" ".join(rng_words(60, s, 4000)) for s in (1, 2, 3))
+    near = " ".join([*y.split()[:-1], "other"])
+    docs = spark.createDataFrame([(3, y), (5, x), (5, y), (5, z), (5, z.upper()), (None, near), (None, "alone"), (None, "alone"), (None, None), (7, None)], "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in bagminhash.keep_one(docs).collect())
+    upper = {(5, z), (5, z.upper())}
+    assert all(n == 1 for n in kept.values()) and len(upper & set(kept)) == 1
+    assert set(kept) - upper == {(3, y), (5, x), (None, "alone"), (None, None), (7, None)}
+    got = {(r.doc_id, r.text_md5): r.class_id for r in bagminhash.classes(docs).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got[5, md5(y)] == got[None, md5(near)] == 3 and got[5, md5(x)] == 5 and got[5, md5(z)] == 5 and got[None, md5("alone")] is None
+
+
+@pytest.mark.parametrize("n", [20, 60])
+def test_adjacent_copies_are_counted_once(spark, n):
+    item = " ".join(rng_words(30, 5, 3000))
+    got = decontaminate.matches(docs_of(spark, [" ".join([item] * n)]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert len(got) == n and all(r.score == 1 for r in got) and len({r.char_start for r in got}) == n
+
+
+@pytest.mark.parametrize("others", [3, 400])
+def test_edited_copies_above_the_threshold_are_found(spark, others):
+    """Every third, fourth or fifth word replaced, or a word put between all; among few and among many texts."""
+    item = rng_words(30, 5, 3000)
+    copies = [[x if (k + 1) % every else f"new{k}" for k, x in enumerate(item)] for every in (3, 4, 5)] + [[y for x in item for y in (x, "between")], [x for k, x in enumerate(item) if k % 5]]
+    body = [rng_words(250, 60 + k, 3000) for k in range(others)]
+    texts = [" ".join([*body[k % others][:50], *c, *body[k % others][50:]]) for k, c in enumerate(copies)] + [" ".join(w) for w in body]
+    got = {r.doc_id: r.score for r in decontaminate.matches(docs_of(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == set(range(len(copies)))
+
+
+def test_matches_brute_force(spark):
+    """Every item aligned with every text, against what the seeds find."""
+    r = np.random.default_rng(4)
+    items = [rng_words(int(r.integers(10, 40)), 200 + i, 800) for i in range(8)]
+    texts = []
+    for i in range(60):
+        w, item = rng_words(120, 300 + i, 800), list(items[i % 8])
+        for k in r.choice(len(item), int(r.random() * 0.4 * len(item)), replace=False):
+            item[k] = f"edit{k}"
+        at = int(r.integers(0, 120))
+        texts.append([*w[:at], *item, *w[at:]] if i % 3 else w)
+    code = {}
+    codes = lambda w: np.array([code.setdefault(x, len(code) + 1) for x in w])
+    want = {(d, i) for d, w in enumerate(texts) for i, item in enumerate(items) if decontaminate.smith_waterman(codes(item), codes(w))[0] >= len(item)}
+    got = {(x.doc_id, x.item_id) for x in decontaminate.matches(docs_of(spark, [" ".join(w) for w in texts]), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_clean_takes_rows_by_their_whole_text(spark):
+    item = " ".join(rng_words(20, 5, 3000))
+    docs = spark.createDataFrame([(None, f"x {item}"), (1, "clean"), (1, item), (None, None), (2, "")], "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect())
+    assert kept == [(0, ""), (1, "clean"), (2, "")]
+
+
+def test_candidates_of_any_form(spark):
+    texts = ["pwd=ab12cd", "Qabcdefghijklmnop", "ABCDEFGHIJKabcdefghijk", '{"password": "hunter2x"}', "password: hunter2abc", 'secret = "s3cr3tv4lue"', "token =AbC123xyz", "api_key = zz99yy88xx77", "the token was lost", "key : value12", "plain words: nothing"]
+    rows = secrets.candidates(docs_of(spark, texts)).collect()
+    got = [{(r.key, r.value) for r in rows if r.id == i} for i in range(len(texts))]
+    assert got == [{("pwd", "ab12cd")}, {("", "Qabcdefghijklmnop")}, {("", "ABCDEFGHIJKabcdefghijk")}, {("password", "hunter2x")}, {("password", "hunter2abc")}, {("secret", "s3cr3tv4lue")}, {("token", "AbC123xyz")}, {("api_key", "zz99yy88xx77")}, set(), {("key", "value12")}, set()]
