@@ -172,11 +172,17 @@ class Model:
         """Node and edge tables of the loci that sim_trees and sim_loci of the same size have under the full coalescent."""
         return ancestry.tree_sequences(self.spark, self.demography, nloci, int(nsites), self.recomb, self.seeds[0])
 
-    def evolve(self, genealogy: str | newick.Node, nsites: int, kappa: float = 1.0, equilibrium_frequencies=(0.25,) * 4, gamma: float | None = None, gamma_categories: int | None = None, locus: int = 0) -> tuple[DataFrame, DataFrame]:
-        """Calls and ancestral states of sites that evolve along one genealogy under HKY; gamma: shape of the sites' rates."""
+    def evolve(self, genealogy: str | newick.Node, nsites: int, kappa: float = 1.0, equilibrium_frequencies=(0.25,) * 4, gamma: float | None = None, gamma_categories: int | None = None, locus: int = 0, model=None) -> tuple[DataFrame, DataFrame]:
+        """Calls and ancestral states of sites that evolve along one genealogy under HKY; gamma: shape of the sites' rates.
+
+        model: a name or triple as `substitution` takes it; sites change at the mutation rate to a state that its matrix draws.
+        """
         root = newick.parse(genealogy) if isinstance(genealogy, str) else genealogy
         sites = self.spark.range(nsites).select(F.lit(locus).cast("long").alias("locus"), F.col("id").alias("site"))
-        return evolve.evolved(sites, root, self.mut, kappa, list(equilibrium_frequencies), self.seeds[1], gamma, gamma_categories)
+        if model is None:
+            return evolve.evolved(sites, root, self.mut, kappa, list(equilibrium_frequencies), self.seeds[1], gamma, gamma_categories)
+        letters, start, jump = substitution(model, kappa)
+        return evolve.evolved(sites, root, self.mut, kappa, list(start), self.seeds[1], gamma, gamma_categories, matrix=jump - np.eye(len(letters)))
 
     def sim_loci(self, nloci: int = 1, nsites: int = 1, precision: int = 14) -> Simulated:
         if self.mut <= 0:

@@ -96,11 +96,12 @@ def mask_coverage(calls: DataFrame, coverage: float, seed, by_site: bool = False
 
 def mask_cut_sites(calls: DataFrame, anc: DataFrame, first: int, last: int) -> DataFrame:
     """A haplotype is missing for a locus if one of the first or last bases differs from the ancestor's (missing differs)."""
-    w = W.partitionBy("locus")
-    joined = calls.join(anc, SITE).withColumns({"lo": F.min("site").over(w), "hi": F.max("site").over(w)})
     cut = (F.col("site") < F.col("lo") + first) | (F.col("site") > F.col("hi") - last)
-    lost = F.bool_or(cut & ~F.col("allele").eqNullSafe(F.col("anc"))).over(W.partitionBy("locus", "sample"))
-    return joined.withColumn("allele", F.when(~lost, F.col("allele"))).drop("lo", "hi", "anc")
+    joined = calls.join(anc, SITE)
+    ends = joined.groupBy("locus").agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
+    # only the sites at the ends tell which haplotypes are lost
+    lost = joined.join(ends, "locus").where(cut & ~F.col("allele").eqNullSafe(F.col("anc"))).select("locus", "sample", F.lit(True).alias("lost")).distinct()
+    return joined.join(lost, ["locus", "sample"], "left").withColumn("allele", F.when(F.col("lost").isNull(), F.col("allele"))).drop("lost", "anc")
 
 
 def overlay(baseline: DataFrame, samples: DataFrame, mutations: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Sequence evolution along a tree from its root to its tips, under HKY with rates that differ between sites."""
+"""Sequence evolution along a tree from its root to its tips, under HKY or any rate matrix, with rates that differ between sites."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hky
+from ..functions import hky, markov
 from ..functions.rng import categorical, open_uniform
 from ..sources.newick import Node
 
@@ -47,9 +47,11 @@ def site_rates(sites: DataFrame, shape: float | None, bins: int | None, seed) ->
     return at.join(mean, ["locus", "bin"]).select(*sites.columns, F.col("mean").alias("rate"))
 
 
-def evolved(sites: DataFrame, tree: Node, mut: float, kappa: float, pi: list[float], seed, shape: float | None = None, bins: int | None = None) -> tuple[DataFrame, DataFrame]:
+def evolved(sites: DataFrame, tree: Node, mut: float, kappa: float, pi: list[float], seed, shape: float | None = None, bins: int | None = None, matrix=None) -> tuple[DataFrame, DataFrame]:
     """Calls (locus, sample, site, allele) of the tree's tips, and the ancestral states (locus, site, anc).
 
+    matrix: the rate matrix of any number of states, instead of HKY's; kappa is not used then.
+
     A site is one row while its states are drawn from parent to child; the tree is a model's or a genealogy's, with as many
     columns as nodes.
     """
@@ -66,6 +68,11 @@ def evolved(sites: DataFrame, tree: Node, mut: float, kappa: float, pi: list[flo
         for child in node.children:
             j = number[id(child)] = len(number)
             t = F.col("rate") * float(child.dist * mut)
+            if matrix is not None:
+                # without rates a branch's matrix is known beforehand
+                row = F.get(markov.literal(markov.matrix_at(matrix, child.dist * mut)), F.col(f"n{i}")) if shape is None else markov.transition_row(markov.literal(matrix), t, F.col(f"n{i}"), len(pi))
+                made[f"n{j}"] = markov.drawn(row, seed, j, *key)
+                continue
             states = [categorical([hky.probability(k, freq, t, a, b) for b in range(4)], seed, j, *key) for a in range(4)]
             made[f"n{j}"] = F.when(F.col(f"n{i}") == 0, states[0]).when(F.col(f"n{i}") == 1, states[1]).when(F.col(f"n{i}") == 2, states[2]).otherwise(states[3])
         if made:

@@ -111,9 +111,16 @@ def fixed(a="s0", b="s1", c="s2", d="s3") -> Column:
     return (F.col(a) == F.col(b)) & (F.col(b) == F.col(c)) & (F.col(c) == F.col(d))
 
 
-def site_patterns(quads: DataFrame, by: list[str] | None = None) -> DataFrame:
+def _n(weight: str | None, on: Column | None = None) -> Column:
+    """The number of sites for which `on` holds; rows may stand for `weight` sites each."""
+    if weight is None:
+        return F.count("*") if on is None else F.count_if(on)
+    return F.coalesce(F.sum(weight if on is None else F.when(on, F.col(weight))), F.lit(0))
+
+
+def site_patterns(quads: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """row = 4 s0 + s1, col = 4 s2 + s3, n."""
-    return quads.groupBy(*(by or []), (PATTERN * F.col("s0") + F.col("s1")).alias("row"), (PATTERN * F.col("s2") + F.col("s3")).alias("col")).agg(F.count("*").alias("n"))
+    return quads.groupBy(*(by or []), (PATTERN * F.col("s0") + F.col("s1")).alias("row"), (PATTERN * F.col("s2") + F.col("s3")).alias("col")).agg(_n(weight).alias("n"))
 
 
 def dense(patterns: DataFrame) -> DataFrame:
@@ -123,49 +130,56 @@ def dense(patterns: DataFrame) -> DataFrame:
     return patterns.select(F.col("row").cast("long"), F.col("col").cast("long"), "n").agg(cells.alias("m")).select(F.array(*[F.array(*[at(i, j) for j in range(16)]) for i in range(16)]).alias("matrix"))
 
 
-def d_statistic(quads: DataFrame, by: list[str] | None = None) -> DataFrame:
+def d_statistic(quads: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """abba, baba, fixed, nsites, dstat ((abba - baba) / (abba + baba), 0 without either), abs_dstat."""
-    counts = quads.groupBy(*(by or [])).agg(F.count_if(abba()).alias("abba"), F.count_if(baba()).alias("baba"), F.count_if(fixed()).alias("fixed"), F.count("*").alias("nsites"))
+    counts = quads.groupBy(*(by or [])).agg(_n(weight, abba()).alias("abba"), _n(weight, baba()).alias("baba"), _n(weight, fixed()).alias("fixed"), _n(weight).alias("nsites"))
     both = F.col("abba") + F.col("baba")
     d = F.when(both > 0, (F.col("abba") - F.col("baba")) / both).otherwise(0.0)
     return counts.withColumns({"dstat": d, "abs_dstat": F.abs(d)})
 
 
+def patterns(calls: DataFrame, key: str) -> DataFrame:
+    """p (struct k, a: the key and allele of all that aren't missing, in order), n: the distinct columns of an alignment, and how many sites have each."""
+    packed = calls.where("allele is not null").groupBy("locus", "site").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("allele").alias("a")))).alias("p"))
+    return packed.groupBy("p").agg(F.count("*").alias("n"))
+
+
 def quartets(calls: DataFrame, key: str) -> DataFrame:
-    """For all a < b < c < d: locus, site, q0..q3, s0..s3.  A site's alleles are packed once and quartets drawn from the packed array.
+    """For all a < b < c < d: q0..q3, s0..s3, n: the alleles of four at n sites.  Quartets are drawn from the distinct columns, not from the sites.
 
-    n samples make n (n-1)(n-2)(n-3)/24 quartets a site: meant for population representatives.
+    n samples make n (n-1)(n-2)(n-3)/24 quartets a column: meant for population representatives.
     """
-    packed = calls.where("allele is not null").groupBy("locus", "site").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("allele").alias("a")))).alias("p"))
-    out = packed
+    out = patterns(calls, key)
     for i in range(4):
         after = F.lit(0) if i == 0 else F.col(f"i{i - 1}") + 1
         # the last start leaves room for the samples still to come
         size = F.size("p") - (3 - i)
         out = out.withColumn("from", after).where(F.col("from") < size).withColumn(f"i{i}", F.explode(F.sequence(F.col("from"), size - 1)))
-    return out.select("locus", "site", *[F.col("p")[F.col(f"i{i}")]["k"].alias(f"q{i}") for i in range(4)], *[F.col("p")[F.col(f"i{i}")]["a"].alias(f"s{i}") for i in range(4)])
+    return out.select(*[F.col("p")[F.col(f"i{i}")]["k"].alias(f"q{i}") for i in range(4)], *[F.col("p")[F.col(f"i{i}")]["a"].alias(f"s{i}") for i in range(4)], "n")
 
 
-def pairwise(calls: DataFrame, model: str | None = None, block: int = 63, tiles: int = 8) -> DataFrame:
+def pairwise(calls: DataFrame, model: str | None = None, block: int = 63, tile: int = 256) -> DataFrame:
     """s0 < s1, nsites, ndiff, dist of all pairs of samples; missing is a state.
 
-    Calls are packed as bit masks, one a state, for blocks of 63 sites, so that the pair join carries one row a block
-    instead of one a site; samples meet by tiles, each `tiles` times. model None: proportion of differing sites; "JC": Jukes-Cantor distance.
+    Calls are packed as bit masks, one a state, for blocks of 63 sites, so that the pair join carries one row a block instead of one a site.  Samples are dealt to tiles of
+    about `tile`, and each two tiles of a block are a unit, so that a unit has tile * tile pairs whatever the number of samples.  model None: proportion of
+    differing sites; "JC": Jukes-Cantor distance.
     """
     if model not in (None, "JC", "JC69"):
         raise NotImplementedError(f"no distance model {model}")
     states = [0, 1, 2, 3, 9]
-    # samples are dealt to tiles, so that a block's pairs come from tiles * (tiles + 1) / 2 tasks
-    tile = F.pmod(F.xxhash64("sample"), F.lit(tiles)).cast("int")
+    samples = calls.agg(F.approx_count_distinct("sample")).first()[0]
+    tiles = max(1, -(-samples // tile))
     bit = F.expr(f"shiftleft(1L, cast(site % {block} as int))")
     masks = calls.withColumn("state", F.coalesce("allele", F.lit(9))).groupBy("sample", F.floor(F.col("site") / block).alias("b")).agg(*[F.bit_or(F.when(F.col("state") == s, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{s}") for s in states])
-    masks = masks.withColumn("t", tile)
-    every = F.sequence(F.lit(0), F.lit(tiles - 1))
-    a = masks.select("b", F.col("t").alias("t0"), F.explode(every).alias("t1"), F.col("sample").alias("s0"), *[F.col(f"m{s}").alias(f"a{s}") for s in states])
-    z = masks.select("b", F.explode(every).alias("t0"), F.col("t").alias("t1"), F.col("sample").alias("s1"), *[F.col(f"m{s}").alias(f"z{s}") for s in states])
+    masks = masks.withColumn("t", F.pmod(F.xxhash64("sample"), F.lit(tiles)).cast("int"))
+    a = masks.select("b", F.col("t").alias("t0"), F.explode(F.sequence(F.col("t"), F.lit(tiles - 1))).alias("t1"), F.col("sample").alias("s0"), *[F.col(f"m{s}").alias(f"a{s}") for s in states])
+    z = masks.select("b", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("t0"), F.col("t").alias("t1"), F.col("sample").alias("s1"), *[F.col(f"m{s}").alias(f"z{s}") for s in states])
     have = lambda p: sum((F.bit_count(F.col(f"{p}{s}")) for s in states[1:]), F.bit_count(F.col(f"{p}0")))
     same = sum((F.bit_count(F.col(f"a{s}").bitwiseAND(F.col(f"z{s}"))) for s in states[1:]), F.bit_count(F.col("a0").bitwiseAND(F.col("z0"))))
-    pairs = a.join(z, ["b", "t0", "t1"]).where("s0 < s1").groupBy("s0", "s1").agg(F.sum(have("a")).alias("nsites"), F.sum(have("a") - same).alias("ndiff"))
+    # a unit of two tiles has each pair once, in any order of names
+    pairs = a.join(z, ["b", "t0", "t1"]).where((F.col("t0") < F.col("t1")) | (F.col("s0") < F.col("s1")))
+    pairs = pairs.groupBy(F.least("s0", "s1").alias("s0"), F.greatest("s0", "s1").alias("s1")).agg(F.sum(have("a")).alias("nsites"), F.sum(have("a") - same).alias("ndiff"))
     p = F.col("ndiff") / F.col("nsites")
     return pairs.select("s0", "s1", "nsites", "ndiff", (p if model is None else jukes_cantor(p)).alias("dist"))
 

@@ -497,12 +497,12 @@ def representatives(spark, d) -> DataFrame:
 
 @query
 def quartet_patterns(spark, d):
-    return S.site_patterns(representatives(spark, d), ["q0", "q1", "q2", "q3"])
+    return S.site_patterns(representatives(spark, d), ["q0", "q1", "q2", "q3"], "n")
 
 
 @query
 def dstat_all(spark, d):
-    return S.d_statistic(representatives(spark, d), ["q0", "q1", "q2", "q3"])
+    return S.d_statistic(representatives(spark, d), ["q0", "q1", "q2", "q3"], "n")
 
 
 @query

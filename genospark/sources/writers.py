@@ -112,22 +112,24 @@ def vcf_rows(calls: DataFrame, anc: DataFrame, pairs: DataFrame | None = None, f
     return sites.join(columns, C.SITE).select(chrom.alias("chrom"), pos.alias("pos"), line.alias("line"))
 
 
-def vcf_header(contigs: list[tuple[int, int]], samples: list[str]) -> str:
-    """Header text; contig ids count from 1 as the rows' CHROM does."""
-    lines = ["##fileformat=VCFv4.2", "##source=genospark", "##reference=true_simulated_ancestral_sequence", *(f"##contig=<ID={c},length={n}>" for c, n in contigs), '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
-    return "\n".join([*lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])])
+def vcf_header(samples: list[str]) -> tuple[str, str]:
+    """What stands before and after the contig lines of a header."""
+    head = ["##fileformat=VCFv4.2", "##source=genospark", "##reference=ancestral states of the loci"]
+    tail = ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+    return "\n".join(head), "\n".join(tail)
 
 
 def vcf_lines(calls: DataFrame, anc: DataFrame, pairs: DataFrame | None = None, fill: bool = True) -> DataFrame:
-    """chrom, pos, line: a VCF document in the order of chrom and pos; its header is the line of chrom 0.
+    """chrom, pos, line: a VCF document in the order of chrom and pos; its header are the lines of chrom 0.
 
-    The header lists the loci that vary and the sample names: its size is that of a row and of the list of loci.
+    The loci that vary have a line each, whose pos is their chrom.  The sample names, as many as a row has columns, go through the driver.
     """
     people = calls.select(F.col("sample").cast("string").alias("n")) if pairs is None else pairs.select(F.col("individual").cast("string").alias("n"))
-    names = sorted(r["n"] for r in people.distinct().collect())
-    contigs = sorted((r["chrom"], r["length"]) for r in C.contig_lines(calls).collect())
-    head = calls.sparkSession.createDataFrame([(0, 0, vcf_header(contigs, names))], "chrom long, pos long, line string")
-    return head.unionByName(vcf_rows(calls, anc, pairs, fill).select(F.col("chrom").cast("long").alias("chrom"), F.col("pos").cast("long").alias("pos"), "line"))
+    head, tail = vcf_header(sorted(r["n"] for r in people.distinct().collect()))
+    edges = calls.sparkSession.createDataFrame([(0, 0, head), (0, (1 << 62), tail)], "chrom long, pos long, line string")
+    contig = F.concat(F.lit("##contig=<ID="), F.col("chrom").cast("string"), F.lit(",length="), F.col("length").cast("string"), F.lit(">"))
+    contigs = C.contig_lines(calls).select(F.lit(0).cast("long").alias("chrom"), F.col("chrom").cast("long").alias("pos"), contig.alias("line"))
+    return edges.unionByName(contigs).unionByName(vcf_rows(calls, anc, pairs, fill).select(F.col("chrom").cast("long").alias("chrom"), F.col("pos").cast("long").alias("pos"), "line"))
 
 
 def phymap(summary: DataFrame) -> DataFrame:
