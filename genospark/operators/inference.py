@@ -12,7 +12,8 @@ from ..sources.newick import Node, parse, write
 
 def jc_matrix(seqs: list[str]) -> np.ndarray:
     x = np.array([list(s) for s in seqs])
-    p = (x[:, None, :] != x[None, :, :]).mean(axis=2) if x.size else np.zeros((len(seqs), len(seqs)))
+    # a sequence against all at a time
+    p = np.array([(one != x).mean(axis=1) for one in x]) if x.size else np.zeros((len(seqs), len(seqs)))
     return -0.75 * np.log(1 - 4 / 3 * np.minimum(p, 0.7499))
 
 
@@ -83,7 +84,7 @@ def concatenated_tree(seqs: DataFrame, estimator: str = "nj", precision: int = 6
     def count(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("name")
         names, x = list(g["name"]), np.array([list(s) for s in g["seq"]])
-        diff = (x[:, None, :] != x[None, :, :]).sum(axis=2) if x.size else np.zeros((len(names), len(names)), dtype=int)
+        diff = np.array([(one != x).sum(axis=1) for one in x]) if x.size else np.zeros((len(names), len(names)), dtype=int)
         at = [(a, b, int(diff[i, j]), x.shape[1]) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
         return pd.DataFrame(at, columns=["s0", "s1", "ndiff", "nsites"])
 
@@ -103,12 +104,14 @@ def concatenated_tree(seqs: DataFrame, estimator: str = "nj", precision: int = 6
 def window_trees(calls: DataFrame, width: int, estimator: str = "nj") -> DataFrame:
     """locus, window, start, end, nvariable, gene_tree of every tumbling window of sites."""
     from ..sources.writers import pack
+    from .numbering import ranked
     from .stats import site_windows
 
     number = F.floor(F.col("site") / width)
     keyed = calls.withColumn("locus", F.struct("locus", number.alias("window")))
     each = pack(keyed).select(F.col("locus").alias("w"), F.col("sample").cast("string").alias("name"), "seq")
-    numbers = each.select("w").distinct().withColumn("id", F.xxhash64("w.locus", "w.window"))
+    # windows are numbered, so that no two meet
+    numbers = ranked(each.select("w").distinct(), ["w"], "id")
     trees = gene_trees(each.join(numbers, "w").select(F.col("id").alias("locus"), "name", "seq"), estimator)
     named = trees.join(numbers, trees["locus"] == numbers["id"]).select("w.locus", "w.window", "gene_tree")
     return site_windows(calls, width).join(named, ["locus", "window"])

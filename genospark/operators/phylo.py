@@ -122,12 +122,14 @@ def _log_likelihood(lengths: Column, q: Column | None, pi: list[float]) -> Colum
     return let(branches, lambda b: F.aggregate("sites", F.lit(0.0), lambda sum_, x: sum_ + x["n"] * site(x["states"], b)))
 
 
+#: By what branch lengths are multiplied and divided in turn: from far to the optimum, and near a tree whose lengths are there.
 FACTORS = [4.0, 2.0, 1.5, 1.2, 1.1, 1.05, 1.02, 1.01, 1.003, 1.001]
+NEAR = [3.0, 1.5, 1.2, 1.07]
 
 
-def scored(candidates: DataFrame, sites: DataFrame, climb: bool = True, sweeps: int = 3, q: Column | None = None, pi: list[float] | None = None) -> DataFrame:
+def scored(candidates: DataFrame, sites: DataFrame, climb: bool = True, sweeps: int = 3, factors: list[float] | None = None, q: Column | None = None, pi: list[float] | None = None) -> DataFrame:
     """candidates with lengths (in the order of `shape`) and loglik; with `climb` the lengths are those of largest likelihood, else the trees' own."""
-    pi = pi or [0.25] * 4
+    pi, factors = pi or [0.25] * 4, factors or FACTORS
 
     def run(batches):
         for b in batches:
@@ -142,12 +144,12 @@ def scored(candidates: DataFrame, sites: DataFrame, climb: bool = True, sweeps:
     value = lambda x: _log_likelihood(x, q, pi)
 
     def step(a: Column, i: Column) -> Column:
-        f = F.get(literal(FACTORS), F.floor(i / (edges * sweeps)).cast("int"))
+        f = F.get(literal(factors), F.floor(i / (edges * sweeps)).cast("int"))
         moved = lambda g: F.transform(a["x"], lambda t, k: F.when(k == i % edges, F.least(F.greatest(t * g, F.lit(1e-8)), F.lit(20.0))).otherwise(t))
         better = lambda p, x: let(x, lambda y: let(value(y), lambda v: F.when(v > p["best"], F.struct(y.alias("x"), v.alias("best"))).otherwise(p)))
         return let(better(a, moved(f)), lambda p: better(p, F.when(p["best"] > a["best"], p["x"]).otherwise(moved(1 / f))))
 
-    steps = F.sequence(F.lit(0), edges * sweeps * len(FACTORS) - 1)
+    steps = F.sequence(F.lit(0), edges * sweeps * len(factors) - 1)
     out = rows.withColumn("out", F.aggregate(steps, F.struct(F.col("lengths").alias("x"), value(F.col("lengths")).alias("best")), step))
     return out.select("locus", "tree", F.col("out.x").alias("lengths"), F.col("out.best").alias("loglik"))
 
@@ -159,7 +161,8 @@ def _best(scores: DataFrame) -> DataFrame:
 def ml_trees(seqs: DataFrame, q: Column | None = None, pi: list[float] | None = None, precision: int = 6) -> DataFrame:
     """locus, nsamples, gene_tree, loglik: the unrooted tree of largest likelihood that interchanges reach from the neighbour-joining tree.
 
-    Each round scores all interchanges of the loci that still got better, in one pass; loci of fewer than four sequences have one tree.
+    Each round scores all interchanges of the loci that still got better, in one pass, with lengths near the tree's; the best of a locus then gets its own lengths.
+    Loci of three sequences have one tree, of fewer none.
     """
     sites = written(columns(seqs), "site-patterns")
 
@@ -172,6 +175,10 @@ def ml_trees(seqs: DataFrame, q: Column | None = None, pi: list[float] | None =
             rows = [(locus, t) for locus, tree, lengths in zip(b["locus"], b["tree"], b["lengths"], strict=True) for t in neighbours(_with_lengths(parse(tree), lengths))]
             yield pd.DataFrame(rows, columns=["locus", "tree"])
 
+    def lengthened(batches):
+        for b in batches:
+            yield pd.DataFrame({"locus": b["locus"], "tree": [write(_with_lengths(parse(t), x), 8) for t, x in zip(b["tree"], b["lengths"], strict=True)]})
+
     def finish(batches):
         for b in batches:
             yield pd.DataFrame({"locus": b["locus"], "nsamples": [len(parse(t).leaves()) for t in b["tree"]], "gene_tree": [write(_with_lengths(parse(t), x), precision) for t, x in zip(b["tree"], b["lengths"], strict=True)], "loglik": b["loglik"]})
@@ -180,7 +187,8 @@ def ml_trees(seqs: DataFrame, q: Column | None = None, pi: list[float] | None =
     best = written(_best(scored(first, sites, q=q, pi=pi)), "ml-trees")
     open_ = best
     while open_.limit(1).count():
-        tried = _best(scored(open_.mapInPandas(around, "locus long, tree string"), sites, q=q, pi=pi))
+        near = _best(scored(open_.mapInPandas(around, "locus long, tree string"), sites, sweeps=1, factors=NEAR, q=q, pi=pi)).mapInPandas(lengthened, "locus long, tree string")
+        tried = _best(scored(near, sites, sweeps=2, q=q, pi=pi))
         old = best.select("locus", F.col("loglik").alias("__old"))
         open_ = written(tried.join(old, "locus").where(F.col("loglik") > F.col("__old") + 1e-6).drop("__old"), "ml-better")
         new = written(best.join(open_.select("locus"), "locus", "left_anti").unionByName(open_), "ml-trees")

@@ -140,7 +140,7 @@ PACK = f"pack as (select locus, sample, string_agg({LETTER('allele')}, '' order
 add("decode_bases", "select * from pack", "locus:b sample:b seq:s", CALLS, MISS, PACK)
 SEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
 add("phylip_locus", f"""select doc_id // 10 as locus, count(*) || ' ' || max(length(seq)) || chr(10) || string_agg(rpad(name, cast(greatest(10, length(name)) as integer), ' ') || ' ' || seq, chr(10) order by name) as text
-  from (select doc_id, 's' || doc_id as name, rpad(substr({SEQ}, 1, 64), 64, 'N') as seq from documents) group by 1""", "locus:b text:s")
+  from (select doc_id, name, rpad(seq, cast(max(length(seq)) over (partition by doc_id // 10) as integer), 'N') as seq from (select doc_id, 's' || doc_id as name, {SEQ} as seq from documents)) group by 1""", "locus:b text:s")
 add("phylip_concat", "select rpad('s' || sample, cast(greatest(10, length('s' || sample)) as integer), ' ') || ' ' || string_agg(seq, '' order by locus) as line from pack group by sample", "line:s", CALLS, MISS, PACK)
 add("nexus_blocks", f"select block, name, substr(seq, cast(block * 100 + 1 as bigint), 100) as text from (select name, seq, unnest(range(0, cast(ceil(length(seq) / 100.0) as bigint))) as block from (select 's' || doc_id as name, {SEQ} as seq from documents))", "block:b name:s text:s")
 add("nexus_concat", "select block, name, substr(seq, cast(block * 10 + 1 as bigint), 10) as text from (select name, seq, unnest(range(0, cast(ceil(length(seq) / 10.0) as bigint))) as block from (select 's' || sample as name, string_agg(seq, '' order by locus) as seq from pack group by sample))", "block:b name:s text:s", CALLS, MISS, PACK)
@@ -151,6 +151,9 @@ add("site_patterns", "select 4 * s0 + s1 as row, 4 * s2 + s3 as col, count(*) as
 KIND = "case when s0 = s3 and s1 = s2 and s0 <> s1 then 'abba' when s0 = s2 and s1 = s3 and s0 <> s1 then 'baba' when s0 = s1 and s1 = s2 and s2 = s3 then 'fixed' else 'other' end"
 D = lambda src, by: f"select *, abs(dstat) as abs_dstat from (select *, case when abba + baba > 0 then (abba - baba) / (abba + baba)::double else 0 end as dstat from (select {by}, count(*) filter (kind = 'abba') as abba, count(*) filter (kind = 'baba') as baba, count(*) filter (kind = 'fixed') as fixed, count(*) as nsites from (select *, {KIND} as kind from {src}) group by {by}))"
 add("dstat", D("quads", "k"), "k:b abba:b baba:b fixed:b nsites:b dstat:d abs_dstat:d", CALLS, QUADS)
+P_JC = lambda a, b, t: f"(case when {a} = {b} then 0.25 + 0.75 * exp(-4 * {t}::double / 3) else 0.25 - 0.25 * exp(-4 * {t}::double / 3) end)"
+add("tree_loglik", f"""select k, sum(ln(p)) as loglik from (select k, locus, site, sum(0.25 * {P_JC('r', 'x', 0.05)} * {P_JC('x', 's0', 0.1)} * {P_JC('x', 's1', 0.2)} * {P_JC('r', 's2', 0.3)} * {P_JC('r', 's3', 0.15)}) as p
+  from quads, range(4) a(r), range(4) b(x) group by 1, 2, 3) group by 1""", "k:b loglik:d", CALLS, QUADS)
 add("pattern_cube", f"select locus, kind, count(*) as n from (select locus, {KIND} as kind from quads) group by cube (locus, kind)", "locus:b kind:s n:b", CALLS, QUADS)
 CONS = "cons as (select pop, locus, site, arg_max(allele, n * 4 - allele) as allele from (select pop, locus, site, allele, count(*) as n from mcalls where allele is not null group by 1, 2, 3, 4) group by 1, 2, 3)"
 REPS = "reps as (select a.locus, a.site, a.pop as q0, b.pop as q1, c.pop as q2, d.pop as q3, a.allele as s0, b.allele as s1, c.allele as s2, d.allele as s3 from cons a join cons b on a.locus = b.locus and a.site = b.site and a.pop < b.pop join cons c on c.locus = b.locus and c.site = b.site and b.pop < c.pop join cons d on d.locus = c.locus and d.site = c.site and c.pop < d.pop)"
@@ -204,3 +207,5 @@ add("topo_unchanged", """select tree, edge, any_value(length) as length, sum((ca
   union all select tree, edge, parent, 1, 0, 'inf'::double, '', 1, 1, 'inf'::double, 'inf'::double from (select distinct tree, edge, parent from pa) where parent = 'n3'),
 mg as (select *, row_number() over w - 1 as x, coalesce(sum(h) over (partition by tree, edge order by part, i rows between unbounded preceding and 1 preceding), 0) as c from mr window w as (partition by tree, edge order by part, i)),
 sz as (select o.tree, o.edge, count(*) as ib, sum(o.t) as length, coalesce(min(case when s.tree is not null then o.x end), count(*)) as m from mg o left join pa s on s.tree = o.tree and s.parent = o.parent and s.edge <> o.edge and s.node = o.node and s.start = o.start where o.part = 0 group by 1, 2)""")
+
+ORACLES["general_pmat"] = ORACLES["hky_pmat"]

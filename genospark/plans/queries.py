@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import bases, hky, rng
+from ..functions import bases, hky, markov, rng
 from ..operators import calls as C
-from ..operators import evolve, inference, numbering
+from ..operators import evolve, inference, numbering, phylo
 from ..operators import likelihood as L
 from ..operators import stats as S
 from ..operators import trees as T
@@ -206,6 +206,17 @@ def hky_pmat(spark, d):
     return p.select("p_partkey", _cells(lambda i, j: hky.probability(F.col("kappa"), pi, F.col("t"), i, j))).select("p_partkey", "c.i", "c.j", F.col("c.v").alias("p"))
 
 
+@query
+def general_pmat(spark, d):
+    """The same by uniformisation, which takes any matrix."""
+    p, pi = hky_params(spark, d)
+    q = F.array(*[F.array(*[hky.rate(F.col("kappa"), pi, i, j) for j in range(4)]) for i in range(4)])
+    # much work a row
+    made = p.withColumn("q", q).repartition(spark.sparkContext.defaultParallelism, "p_partkey").select("p_partkey", markov.transition(F.col("q"), F.col("t"), 4).alias("m"))
+    rows = made.select("p_partkey", F.posexplode("m").alias("i", "row"))
+    return rows.select("p_partkey", "i", F.posexplode("row").alias("j", "p"))
+
+
 @query
 def rate_bins(spark, d):
     """Rates binned by equal widths; a bin's rate is its mean."""
@@ -445,7 +456,7 @@ def decode_bases(spark, d):
 @query
 def phylip_locus(spark, d):
     s = A.seqs(spark, d).select(F.floor(F.col("sample") / 10).alias("locus"), F.concat(F.lit("s"), F.col("sample")).alias("name"), "seq")
-    return writers.phylip(s)
+    return writers.phylip(writers.aligned(s))
 
 
 @query
@@ -456,7 +467,7 @@ def phylip_concat(spark, d):
 
 @query
 def nexus_blocks(spark, d):
-    return writers.nexus_blocks(A.seqs(spark, d, None).select(F.concat(F.lit("s"), F.col("sample")).alias("name"), "seq"))
+    return writers.nexus_blocks(A.seqs(spark, d).select(F.concat(F.lit("s"), F.col("sample")).alias("name"), "seq"))
 
 
 @query
@@ -638,8 +649,29 @@ def gamma_rates(spark, d):
 
 @query
 def concat_tree(spark, d):
-    c = A.calls(spark, d).where("sample < 60")
-    return inference.concatenated_tree(writers.pack(c).select("locus", F.concat(F.lit("s"), F.col("sample")).alias("name"), "seq"))
+    """One tree of the populations' consensus sequences, all loci side by side."""
+    c = S.consensus(A.calls(spark, d, MISSING)).withColumnRenamed("pop", "sample")
+    return inference.concatenated_tree(writers.pack(c).select("locus", F.concat(F.lit("p"), F.col("sample")).alias("name"), "seq"))
+
+
+LIKELY = "((p0:0.1,p1:0.2):0.05,p2:0.3,p3:0.15);"
+
+
+@query
+def tree_loglik(spark, d):
+    """Log-likelihood of one tree of populations 0 to 3 for the alignment of their k-th samples."""
+    rows = quads(spark, d).select("k", "locus", "site", F.explode(F.array(*[F.struct(F.lit(f"p{i}").alias("name"), F.col(f"s{i}").alias("a")) for i in range(4)])).alias("x"))
+    letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("locus", "site", bases.base(F.col("x.a")).alias("b")))), lambda x: x["b"]), "")
+    seqs = rows.groupBy(F.col("k").alias("locus"), F.col("x.name").alias("name")).agg(letters.alias("seq"))
+    trees = seqs.select(F.col("locus").cast("long").alias("locus"), F.lit(LIKELY).alias("tree")).distinct()
+    return phylo.scored(trees, phylo.columns(seqs), climb=False).select(F.col("locus").alias("k"), "loglik")
+
+
+@query
+def ml_trees(spark, d):
+    """The trees of largest likelihood of the populations' consensus sequences, by locus."""
+    c = S.consensus(A.calls(spark, d, MISSING)).withColumnRenamed("pop", "sample")
+    return phylo.ml_trees(writers.pack(c).select("locus", F.concat(F.lit("p"), F.col("sample")).alias("name"), "seq"))
 
 
 @query

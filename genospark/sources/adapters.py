@@ -42,10 +42,9 @@ def ancestral(calls_: DataFrame, sample: int = 0) -> DataFrame:
     return calls_.where(F.col("sample") == sample).select("locus", "site", F.col("allele").alias("anc"))
 
 
-def seqs(spark: SparkSession, sf_dir: str, length: int | None = 64) -> DataFrame:
+def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, RECODED)
-    seq = F.rpad(F.substring(letters, 1, length), length, "N") if length else letters
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample"), F.col("lang").alias("pop"), seq.alias("seq"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample"), F.col("lang").alias("pop"), letters.alias("seq"))
 
 
 def breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:

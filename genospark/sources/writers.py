@@ -42,6 +42,12 @@ def padded(name: Column, width: int = 10) -> Column:
     return F.rpad(name, F.greatest(F.length(name), F.lit(width)), F.lit(" "))
 
 
+def aligned(seqs: DataFrame, fill: str = "N") -> DataFrame:
+    """Sequences filled up to the longest of their locus."""
+    longest = seqs.groupBy("locus").agg(F.max(F.length("seq")).alias("__longest"))
+    return seqs.join(longest, "locus").withColumn("seq", F.rpad("seq", F.col("__longest"), F.lit(fill))).drop("__longest")
+
+
 def phylip(seqs: DataFrame) -> DataFrame:
     """locus, text: one phylip document a locus.  seqs: locus, name, seq."""
     line = F.concat(padded(F.col("name")), F.lit(" "), F.col("seq"))
