@@ -15,7 +15,7 @@ from .operators import calls as C
 from .operators import ancestry, evolve
 from .operators import simulate as S
 from .operators import stats as S_
-from .sources import newick, writers
+from .sources import bgzf, newick, writers
 
 # State letters of the supported substitution models.
 ALPHABETS = {"JC69": "ACGT", "HKY": "ACGT", "BINARY": "01", "PAM": "ARNDCQEGHILKMFPSTWYV", "BLOSUM62": "ARNDCQEGHILKMFPSTWYV"}
@@ -272,13 +272,17 @@ class Simulated:
         lines = writers.nexus_lines(self.seqs(idxs, diploid))
         writers.write_text(lines.orderBy("part", "block", "name").select("value"), path)
 
-    def write_vcf(self, path: str | None = None, diploid: bool = False, fill_missing_alleles: bool = True, codec: str | None = None) -> DataFrame | None:
-        """The rows, or with a path a VCF document with its header."""
+    def write_vcf(self, path: str | None = None, diploid: bool = False, fill_missing_alleles: bool = True, codec: str | None = None, bgzip: bool = False) -> DataFrame | None:
+        """The rows, or with a path a VCF document with its header; bgzip: in block-gzip files."""
         pairs = self.pairs() if diploid else None
         if path is None:
             return writers.vcf_rows(self.calls, self.ancestral, pairs, fill_missing_alleles)
         lines = writers.vcf_lines(self.calls, self.ancestral, pairs, fill_missing_alleles)
-        writers.write_text(lines.orderBy("chrom", "pos").select("line"), path, codec=codec)
+        ordered = lines.orderBy("chrom", "pos").select("line")
+        if bgzip:
+            bgzf.write_lines(ordered, path, "vcf.gz")
+        else:
+            writers.write_text(ordered, path, codec=codec)
         return None
 
     def write_popfile(self, path: str, diploid: bool = False) -> None:
