@@ -136,8 +136,9 @@ def scored(candidates: DataFrame, sites: DataFrame, climb: bool = True, sweeps:
             rows = [(*r, *shape(parse(r[1]))) for r in zip(b["locus"], b["tree"], strict=True)]
             yield pd.DataFrame(rows, columns=["locus", "tree", "ntips", "nodes", "lengths"])
 
-    # a task for a few candidates, as each is much work
-    rows = candidates.select("locus", "tree").mapInPandas(run, SHAPE).join(sites, "locus").repartition(F.xxhash64("locus", "tree"))
+    # each is much work: dealt to all cores, whatever the size of their rows
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    rows = candidates.select("locus", "tree").mapInPandas(run, SHAPE).join(sites, "locus").repartition(cores, "locus", "tree")
     if not climb:
         return rows.withColumn("loglik", _log_likelihood(F.col("lengths"), q, pi)).select("locus", "tree", "lengths", "loglik")
     edges = F.size("lengths")
