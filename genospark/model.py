@@ -18,6 +18,8 @@ from .operators import stats as S_
 from .sources import bgzf, newick, writers
 
 # State letters of the supported substitution models.
+#: Generations that an admixture keeps from the ends of its edges, as far as they are long enough.
+INSET = 1e-3
 ALPHABETS = {"JC69": "ACGT", "HKY": "ACGT", "BINARY": "01", "PAM": "ARNDCQEGHILKMFPSTWYV", "BLOSUM62": "ARNDCQEGHILKMFPSTWYV"}
 
 
@@ -142,6 +144,9 @@ class Model:
                 a = b = at(0.5 if time is None else time)
             if not (lo <= a <= b <= hi):
                 raise ModelError("the admixture lies outside the time that its edges share")
+            # it neither begins nor ends together with an edge
+            inset = min(INSET, (hi - lo) / 4)
+            a, b = min(max(a, lo + inset), hi - inset), max(min(b, hi - inset), lo + inset)
             s, d = pops[id(src)], pops[id(dest)]
             events += [(a, "pulse", s, d, rate)] if a == b else [(a, "migration", s, d, rate), (b, "migration", s, d, 0.0)]
         tips = {t.name: t for t in self.tips}

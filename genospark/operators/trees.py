@@ -127,11 +127,15 @@ def recombination_map(positions: DataFrame, peaks: int, low: float, high: float)
     return positions.crossJoin(F.broadcast(top)).select("position", ((-F.cos(x) + 1) * ((high - low) / 2) + low).alias("recomb_rate"))
 
 
-def drawn_recombination_map(spark: SparkSession, length: float, n: int, low: float, high: float, seed) -> DataFrame:
-    """position, recomb_rate: n uniform positions within the length, in order, with rates drawn evenly between low and high; the first is 0."""
-    u = lambda tag: uniform(seed, tag, F.col("id"))
-    at = F.when(F.col("id") == 0, 0.0).otherwise(u("position") * length)
-    return spark.range(n).select(at.alias("position"), (u("rate") * (high - low) + low).alias("recomb_rate")).orderBy("position")
+def drawn_positions(keys: DataFrame, key: str, length: float, seed) -> DataFrame:
+    """position: a uniform place within the length for every row, drawn by its key, and both ends."""
+    at = keys.select((uniform(seed, "position", F.col(key)) * length).alias("position"))
+    return at.unionByName(keys.sparkSession.range(2).select((F.col("id") * float(length)).alias("position")))
+
+
+def drawn_recombination_map(spark: SparkSession, length: float, n: int, peaks: int, low: float, high: float, seed) -> DataFrame:
+    """position, recomb_rate: the wave of `recombination_map` at both ends and n - 2 drawn positions."""
+    return recombination_map(drawn_positions(spark.range(max(0, n - 2)), "id", length, seed), peaks, low, high)
 
 
 def even_positions(spark: SparkSession, length: float, n: int) -> DataFrame:
@@ -152,3 +156,20 @@ def resolve_polytomies(nodes: DataFrame) -> DataFrame:
         added.alias("name"), F.when(F.col("k") == 2, F.col("parent")).otherwise(F.concat(F.col("parent"), F.lit("+"), (F.col("of") - F.col("k") + 1).cast("string"))).alias("parent"), F.lit(ROOT_DIST).alias("dist"),
     )
     return moved.select("name", F.col("new_parent").alias("parent"), "dist").unionByName(extra)
+
+
+def tree_scalars(nodes: DataFrame) -> DataFrame:
+    """tree, nnodes, ntips, total_length (of all edges), tree_height (the longest way from the root to a tip).  nodes: tree, node, parent, dist; a root's own edge counts as 0."""
+    edge = F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce("dist", F.lit(0.0)))
+    rows = nodes.select("tree", "node", "parent", edge.cast("double").alias("way"))
+    inner = rows.where("parent is not null").select("tree", F.col("parent").alias("node"), F.lit(1).alias("__inner")).distinct()
+    deep = nested.folded(rows, {}, {"way": "sum"}).groupBy("tree").agg(F.max("way").alias("tree_height"))
+    own = rows.join(inner, ["tree", "node"], "left").groupBy("tree").agg(F.count("*").alias("nnodes"), F.count_if(F.col("__inner").isNull()).alias("ntips"), F.sum("way").alias("total_length"))
+    return own.join(deep, "tree")
+
+
+def rescaled(nodes: DataFrame, height: float) -> DataFrame:
+    """nodes with dist multiplied so that each tree's height is `height`; trees of height 0 stay as they are."""
+    tall = tree_scalars(nodes).select("tree", "tree_height")
+    factor = F.when(F.col("tree_height") > 0, F.lit(float(height)) / F.col("tree_height")).otherwise(1.0)
+    return nodes.join(tall, "tree").withColumn("dist", F.col("dist") * factor).select(*nodes.columns)

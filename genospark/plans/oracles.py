@@ -69,6 +69,12 @@ PAIRS = "a.name as src, b.name as dest, greatest(a.height, b.height) as lo0, lea
 add("edge_overlap", f"select src, dest, lo0 as lo, hi0 as hi from (select {PAIRS} and a.parent <> b.parent)", "src:s dest:s lo:d hi:d", NODES)
 add("admix_edges", f"select src, dest, lo0 + 0.25 * (hi0 - lo0) as lo, lo0 + 0.75 * (hi0 - lo0) as hi from (select {PAIRS})", "src:s dest:s lo:d hi:d", NODES)
 add("recomb_map", "select cast(p_partkey as double) as position, (1 - cos(10 * pi() * p_partkey / max(p_partkey) over ())) * (5.0 - 0.001) / 2 + 0.001 as recomb_rate from part", "position:d recomb_rate:d")
+add("recomb_map_drawn", f"select position, (1 - cos(10 * pi() * position / 1e6)) * (5.0 - 0.001) / 2 + 0.001 as recomb_rate from (select {u(chr(39) + 'map' + chr(39), chr(39) + 'position' + chr(39), 'p_partkey')} * 1e6 as position from part union all values (0.0), (1e6))", "position:d recomb_rate:d")
+LEAF = "leaf as (select l_orderkey as tree, l_linenumber, l_partkey, l_suppkey, max(l_quantity) as dist from lineitem group by all), sup as (select tree, l_suppkey, max(dist) as far from leaf group by all)"
+add("tree_scalars", "select tree, n + m + 1 as nnodes, n as ntips, len + m as total_length, far + 1 as tree_height from (select tree, count(*) as n, sum(dist) as len, max(dist) as far from leaf group by tree) a join (select tree, count(*) as m from sup group by tree) b using (tree)", "tree:b nnodes:b ntips:b total_length:d tree_height:d", LEAF)
+add("names_minus", "select distinct o_custkey as name from orders where o_custkey not in (select user_id from events)", "name:b")
+add("breakpoint_sessions", """select locus, min(position) as start, max(position) + 86400 as "end", count(*) as n from
+  (select *, sum(new) over (partition by locus order by ts, event_id) as k from (select *, case when ts - lag(ts) over (partition by locus order by ts, event_id) < interval 1 day then 0 else 1 end as new from points)) group by locus, k""", "locus:b start:b end:b n:b", POINTS)
 add("theta_table", "select name as node, 4 * ne as theta from tn", "node:s theta:d", NODES)
 add("names_intersect", "select o_custkey as name from orders intersect select user_id from events", "name:b")
 add("names_except", "select c_custkey as name from customer where c_custkey not in (select o_custkey from orders)", "name:b")

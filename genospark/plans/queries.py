@@ -14,9 +14,11 @@ from ..operators import evolve, inference, numbering, phylo
 from ..operators import likelihood as L
 from ..operators import stats as S
 from ..operators import trees as T
+from ..operators.species import quartet_species_tree
 from ..sources import adapters as A
 from ..sources import writers
 from ..sources.tables import written
+from ..streaming.sites import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MISSING = 0.05
@@ -144,6 +146,22 @@ def recomb_map(spark, d):
     return T.recombination_map(A.table(spark, d, "part").select(F.col("p_partkey").cast("double").alias("position")), 5, 1e-3, 5.0)
 
 
+@query
+def recomb_map_drawn(spark, d):
+    """The same wave at positions drawn by part key, with both ends."""
+    return T.recombination_map(T.drawn_positions(A.table(spark, d, "part"), "p_partkey", 1e6, "map"), 5, 1e-3, 5.0)
+
+
+@query
+def tree_scalars(spark, d):
+    """Of every order a tree: its lines hang below their suppliers, with quantities as lengths."""
+    line = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tree"), F.concat_ws("-", F.lit("l"), "l_linenumber", "l_partkey", "l_suppkey").alias("leaf"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("sup"), F.col("l_quantity").cast("double").alias("dist"))
+    tip = line.groupBy("tree", "leaf", "sup").agg(F.max("dist").alias("dist")).select("tree", F.col("leaf").alias("node"), F.col("sup").alias("parent"), "dist")
+    mid = line.select("tree", F.col("sup").alias("node"), F.lit("o").alias("parent"), F.lit(1.0).alias("dist")).distinct()
+    root = line.select("tree", F.lit("o").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0.0).alias("dist")).distinct()
+    return T.tree_scalars(tip.unionByName(mid).unionByName(root))
+
+
 @query
 def theta_table(spark, d):
     return L.theta_table(A.tree_nodes(spark, d).withColumnRenamed("name", "node"))
@@ -160,6 +178,12 @@ def names_except(spark, d):
     return A.table(spark, d, "customer").select(F.col("c_custkey").alias("name")).exceptAll(A.table(spark, d, "orders").select("o_custkey").distinct())
 
 
+@query
+def names_minus(spark, d):
+    """Customers with orders who have no events."""
+    return A.table(spark, d, "orders").select(F.col("o_custkey").alias("name")).subtract(A.table(spark, d, "events").select("user_id"))
+
+
 @query
 def trait_scale(spark, d):
     """Traits with -999 as null, matched by normalised names and rescaled to Ne between 1e3 and 1e5."""
@@ -680,6 +704,20 @@ def window_trees(spark, d):
     return inference.window_trees(S.consensus(A.calls(spark, d, MISSING)).withColumnRenamed("pop", "sample"), 8)
 
 
+@query
+def species_quartets(spark, d):
+    """The species tree of most shared quartets, from gene trees of windows of the populations' consensus sequences."""
+    c = S.consensus(A.calls(spark, d, MISSING)).withColumnRenamed("pop", "sample")
+    return quartet_species_tree(inference.window_trees(c, 8))
+
+
+@query
+def breakpoint_sessions(spark, d):
+    """Breakpoints of a locus that follow each other within less than a day; times in seconds."""
+    sec = lambda c: F.expr(f"timestampdiff(SECOND, timestamp_ntz'{A.EPOCH}', cast({c} as timestamp_ntz))")
+    return sessions(A.breakpoints(spark, d), "1 day").select("locus", sec("session_start").alias("start"), sec("session_end").alias("end"), "n")
+
+
 @query
 def internode_distances(spark, d):
     loci = _model(spark, recomb=0.0).sim_trees(100, 1)

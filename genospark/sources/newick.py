@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIECE = re.compile(r"\s*([(),;]|:[^(),;]*|'[^']*'|[^(),:;]+)")
 SCHEMA = "tree long, idx int, parent int, name string, dist double, height double, is_leaf boolean"
@@ -96,6 +97,25 @@ def write(root: Node, precision: int = 14) -> str:
     return done[id(root)][1] + ";"
 
 
+def bare(root: Node) -> str:
+    """Newick text of the topology alone, without lengths and names of inner nodes; children are ordered by their smallest tip name."""
+    done: dict[int, tuple[str, str]] = {}
+    for node in root.walk():
+        parts = sorted(done[id(c)] for c in node.children)
+        done[id(node)] = (parts[0][0], "(" + ",".join(p for _, p in parts) + ")") if parts else (node.name, node.name)
+    return done[id(root)][1] + ";"
+
+
+def topologies(trees: DataFrame, column: str = "newick") -> DataFrame:
+    """trees with a column topology: the tree as `bare` writes it, null where there is none.  Trees of one topology have one text."""
+
+    @F.pandas_udf("string")
+    def strip(texts):
+        return texts.map(lambda x: bare(parse(x)) if x else None).astype(object)
+
+    return trees.withColumn("topology", strip(column))
+
+
 def rows(root: Node, tree: int = 0) -> list[tuple]:
     """Rows of SCHEMA; tips are numbered first, in the order of the text."""
     order = [*root.leaves(), *(n for n in root.walk() if n.children)]
@@ -123,7 +143,6 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     A file is read as one piece, as tree files are small; its lines are numbered in it, and files by sums over their counts.
     """
     from pyspark.sql import Window as W
-    from pyspark.sql import functions as F
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(x) != "").alias("lines"))
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)  # one row a file

@@ -1,12 +1,15 @@
 """Species trees by quartets against the best of all trees, and streams of calls and breakpoints against batch results."""
 
 import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from genospark.model import Model
 from genospark.operators import species
+from genospark.operators import trees as T
 from genospark.sources import newick
 from genospark.streaming import sites
 
@@ -53,7 +56,7 @@ def drawn(taxa: list[str], rng: random.Random, polytomies: bool = False) -> str:
 
 
 def score(tree: str, trees: list[str], imap: dict) -> int:
-    """Quartets of samples of four taxa, and of three, that the species tree and the gene trees resolve alike."""
+    """Quartets of samples of four taxa that the species tree and the gene trees resolve alike."""
     want, total = resolved(newick.parse(tree)), 0
     for text in trees:
         for pair in resolved(newick.parse(text)):
@@ -159,3 +162,40 @@ def test_sessions(spark, sf, tmp_path):
     run(sites.sessions(spark.readStream.schema("locus long, ts timestamp").parquet(f"{tmp_path}/in"), "1 day"), tmp_path)
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").where("session_start < '2100-01-01'").collect()))
     assert got == sorted(map(tuple, sites.sessions(points, "1 day").collect())) and len(got) > 100
+
+
+def test_topologies(spark):
+    texts = ["((b:1,a:2)x:1,c:3);", "(c,(a,b));", "", None, "a:1;"]
+    got = newick.topologies(spark.createDataFrame([(t,) for t in texts], "newick string")).collect()
+    assert [r.topology for r in got] == ["((a,b),c);"] * 2 + [None, None, "a;"]
+
+
+def test_scalars_and_rescaling(spark):
+    rng = random.Random(5)
+    rows = []
+    for tree in range(6):
+        n = rng.choice([1, 5, 30, 90])
+        rows += [(tree, f"n{i}", f"n{rng.randrange(i)}" if i else None, rng.random()) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "tree long, node string, parent string, dist double")
+    up = {(t, n): (p, d) for t, n, p, d in rows}
+
+    def way(t, n):
+        p, d = up[t, n]
+        return 0.0 if p is None else d + way(t, p)
+
+    want = {t: (sum(x[0] == t for x in rows), len({x[1] for x in rows if x[0] == t} - {x[2] for x in rows if x[0] == t}), sum(x[3] for x in rows if x[0] == t and x[2]), max(way(t, x[1]) for x in rows if x[0] == t)) for t in range(6)}
+    for r in T.tree_scalars(nodes).collect():
+        assert (r.nnodes, r.ntips) == want[r.tree][:2] and (r.total_length, r.tree_height) == pytest.approx(want[r.tree][2:])
+    again = {r.tree: r.tree_height for r in T.tree_scalars(T.rescaled(nodes, 10.0)).collect()}
+    assert all(again[t] == pytest.approx(10.0 if w[3] else 0.0) for t, w in want.items())
+
+
+def test_drawn_map(spark):
+    rows = sorted(map(tuple, T.drawn_recombination_map(spark, 1000.0, 50, 2, 1.0, 3.0, 9).collect()))
+    assert len(rows) == 50 and rows[0] == (0.0, 1.0) and rows[-1][0] == 1000.0
+    assert all(r == pytest.approx(2 - math.cos(4 * math.pi * x / 1000)) for x, r in rows)
+
+
+def test_admixture_keeps_from_the_ends(spark):
+    m = Model(spark, "((a:1000,b:1000):1000,c:2000);", Ne=10, admixture_edges=("a", "b", (0, 1000), 0.1))
+    assert [e[0] for e in m.demography.events if e[1] == "migration"] == [0.001, 999.999]
