@@ -139,9 +139,12 @@ def _weights(parts: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarra
     x, y = flat @ a.T, flat @ b.T
     z = flat.sum(axis=1)[:, None] - x - y
     add = lambda v: np.add.reduceat(v, first, axis=0)
-    pairs = lambda v: v * (v - 1) // 2
+    # pairs of samples of different taxa
+    square = flat * flat
+    xx, yy = square @ a.T, square @ b.T
+    zz = square.sum(axis=1)[:, None] - xx - yy
     total = 0
-    for u, v, w in ((pairs(x), y, z), (pairs(y), x, z), (pairs(z), x, y)):
+    for u, v, w in (((x * x - xx) // 2, y, z), ((y * y - yy) // 2, x, z), ((z * z - zz) // 2, x, y)):
         total = total + add(u) * add(v) * add(w) - add(u * v) * add(w) - add(u * w) * add(v) - add(v * w) * add(u) + 2 * add(u * v * w)
     return (n[:, None] * total).sum(axis=0)
 
@@ -170,7 +173,7 @@ def quartet_species_tree(trees: DataFrame, column: str = "gene_tree", imap: dict
 
     imap: taxon of a tip; the tips' own names without it.  Up to `exact` taxa it is the best of all trees; beyond, the best of those whose clades are sides of
     the gene trees' edges or of the tree of internode distances, which makes sure that there is one.  Ties go to the tree that is first as text.  Quartets of
-    samples of fewer than four taxa don't count for or against a tree, as every split has three parts of different taxa.  Null or empty trees take no part;
+    samples of fewer than four taxa don't count.  Null or empty trees take no part;
     without any tree there is no row.  Under four taxa there is one tree, with score 0.
     """
     spark = trees.sparkSession

@@ -108,6 +108,7 @@ def test_several_samples_of_a_taxon(spark):
     trees = [f"((({pair('a')},{pair('b')}),{pair('c')}),({pair('d')},{pair('e')}));"] * 3 + ["((((a_0,b_1),(b_0,a_1)),(c_0,d_0)),((c_1,d_1),(e_0,e_1)));"]
     got = species.quartet_species_tree(spark.createDataFrame([(t,) for t in trees], "gene_tree string"), imap=imap).first()
     assert resolved(newick.parse(got.species_tree)) == resolved(newick.parse("(((a,b),c),(d,e));"))
+    assert got.score == score(got.species_tree, trees, imap)
 
 
 def test_few_taxa(spark):
